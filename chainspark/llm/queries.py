@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from chainspark.llm import exact_dedup, line_dedup
+from chainspark.llm import exact_dedup, line_dedup, sentencepiece_codec
 
 QUERIES = {
+    "op4_sentencepiece": sentencepiece_codec.op4_sentencepiece,
     "op5_line_dedup": line_dedup.op5_line_dedup,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
 }
