@@ -126,7 +126,7 @@ def shingle_hashes(word_hashes: np.ndarray, width: int = SHINGLE) -> np.ndarray:
     if n == 0:
         return word_hashes
     size = min(width, n)
-    out = np.full(n - size + 1, np.uint64(size) * _K3, dtype=np.uint64)
+    out = np.full(n - size + 1, size, dtype=np.uint64) * _K3
     for j in range(size):
         out = out * _K1 + word_hashes[j : n - size + 1 + j]
     return mix(out)

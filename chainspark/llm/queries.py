@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from chainspark.llm import exact_dedup, line_dedup, sentencepiece_codec
+from chainspark.llm import exact_dedup, jaccard_join, line_dedup, sentencepiece_codec
 
 QUERIES = {
     "op4_sentencepiece": sentencepiece_codec.op4_sentencepiece,
     "op5_line_dedup": line_dedup.op5_line_dedup,
+    "op6_jaccard_join": jaccard_join.op6_jaccard_join,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
 }
 
 ORACLE_SQL = {
     "op5_line_dedup": line_dedup.SQL,
+    "op6_jaccard_join": jaccard_join.SQL,
     "op10_exact_dedup": exact_dedup.SQL,
 }
