@@ -97,6 +97,13 @@ def hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
     return out
 
 
+def distinct_counts(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct keys and how often each stands."""
+    ordered = np.sort(keys)
+    heads = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]])) if len(ordered) else np.zeros(0, np.int64)
+    return ordered[heads], np.diff(np.concatenate([heads, [len(ordered)]])).astype(np.int64)
+
+
 class Words:
     """Words of a string column: hash of each, and per row the index of its first word."""
 

@@ -31,6 +31,7 @@ from chainspark.llm.common import (
     SIMILARITY_PERCENT,
     Words,
     count_keys,
+    distinct_counts,
     documents,
     durable,
     in_buckets,
@@ -70,7 +71,7 @@ def rare_keys(docs: DataFrame, percent: int = SIMILARITY_PERCENT) -> DataFrame:
     drop = np.uint64(64 - 8 * width)
 
     def distinct(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        return np.unique((np.concatenate(sets) if sets else np.zeros(0, np.uint64)) >> drop << drop, return_counts=True)
+        return distinct_counts((np.concatenate(sets) if sets else np.zeros(0, np.uint64)) >> drop << drop)
 
     def pick(texts: pa.Table, answers: pa.Table) -> pa.Table:
         sets = sets_of(texts)

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from chainspark.llm import decontaminate, exact_dedup, jaccard_join, line_dedup, quality, sentencepiece_codec
+from chainspark.llm import decontaminate, exact_dedup, jaccard_join, line_dedup, lm_score, quality, sentencepiece_codec
 
 QUERIES = {
+    "op1_lm_score": lm_score.op1_lm_score,
     "op8_quality_classifier": quality.op8_quality_classifier,
     "op2_decontamination": decontaminate.op2_decontamination,
     "op4_sentencepiece": sentencepiece_codec.op4_sentencepiece,
