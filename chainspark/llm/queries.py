@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from chainspark.llm import decontaminate, exact_dedup, jaccard_join, line_dedup, lm_score, quality, sentencepiece_codec
+from chainspark.llm import decontaminate, exact_dedup, jaccard_join, line_dedup, lm_score, quality, sentencepiece_codec, suffix_dedup
 
 QUERIES = {
     "op1_lm_score": lm_score.op1_lm_score,
     "op8_quality_classifier": quality.op8_quality_classifier,
     "op2_decontamination": decontaminate.op2_decontamination,
+    "op3_suffix_dedup": suffix_dedup.op3_suffix_dedup,
     "op4_sentencepiece": sentencepiece_codec.op4_sentencepiece,
     "op5_line_dedup": line_dedup.op5_line_dedup,
     "op6_jaccard_join": jaccard_join.op6_jaccard_join,
