@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from chainspark.llm import decontaminate, exact_dedup, jaccard_join, line_dedup, lm_score, quality, sentencepiece_codec, suffix_dedup
+from chainspark.llm import decontaminate, exact_dedup, jaccard_join, license_scan, line_dedup, lm_score, quality, secret_scan, sentencepiece_codec, suffix_dedup
 
 QUERIES = {
     "op1_lm_score": lm_score.op1_lm_score,
@@ -12,6 +12,8 @@ QUERIES = {
     "op4_sentencepiece": sentencepiece_codec.op4_sentencepiece,
     "op5_line_dedup": line_dedup.op5_line_dedup,
     "op6_jaccard_join": jaccard_join.op6_jaccard_join,
+    "op7_secret_scan": secret_scan.op7_secret_scan,
+    "op9_license_scan": license_scan.op9_license_scan,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
 }
 
