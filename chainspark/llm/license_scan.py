@@ -58,7 +58,8 @@ def _size(words: Column) -> Column:
 
 
 def default_templates(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(TEMPLATES), "template string, text string")
+    rows = F.array(*[F.struct(F.lit(n).alias("template"), F.lit(t).alias("text")) for n, t in TEMPLATES])
+    return spark.range(1).select(F.inline(rows))
 
 
 def find_licenses(docs: DataFrame, templates: DataFrame, percent: int = SIMILARITY_PERCENT, bands: int = BANDS) -> DataFrame:

@@ -48,7 +48,8 @@ def train(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> list[float]:
 
     Fitted on at most ``train_docs`` texts, drawn by a hash of the id over the whole table.
     """
-    drawn = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).orderBy(F.xxhash64("doc_id", F.lit(5)), "doc_id").limit(train_docs)
+    ids = docs.select("doc_id").distinct().orderBy(F.xxhash64("doc_id", F.lit(5)), "doc_id").limit(train_docs)
+    drawn = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(ids), "doc_id")
     ordinary = drawn.select(F.explode(F.regexp_extract_all("text", F.lit(WORD), F.lit(0))).alias("t"), F.lit(0).alias("random")).distinct()
     digest = F.sha2(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), 512)
     samples = F.array(F.base64(F.unhex(digest)), digest, F.upper(F.translate(F.base64(F.unhex(digest)), "+/=", "XYZ")))
