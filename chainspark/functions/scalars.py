@@ -41,17 +41,17 @@ def process_value(host: Column, name: Column) -> Column:
 
 def is_private_ip(ip: Column) -> Column:
     """Private, loopback, link-local, reserved or multicast; what does not parse is private."""
-    parts = F.split(ip, r"\.")
-    octet = [F.expr("try_cast(NULL as bigint)")] * 4
-    octet = [F.get(parts, i).try_cast("bigint") for i in range(4)]
-    sound = ip.rlike(r"^\d{1,3}(\.\d{1,3}){3}$")
-    for o in octet:
-        sound = sound & (o <= 255)
-    value = octet[0] * 16777216 + octet[1] * 65536 + octet[2] * 256 + octet[3]
-    inside = F.lit(False)
-    for base, bits in PRIVATE:
-        inside = inside | value.between(_number(base), _number(base) + (1 << (32 - bits)) - 1)
-    return F.when(sound, inside).when(ip.contains(":"), _private_v6(ip)).otherwise(True)
+    sound = ip.rlike(r"^((25[0-5]|2[0-4]\d|1?\d?\d)(\.(?!$)|$)){4}$")
+    # Bound once in a one-element array, so that the ranges below test one number.
+    number = F.aggregate(F.split(ip, r"\."), F.lit(0).cast("bigint"), lambda acc, o: acc * 256 + F.coalesce(o.try_cast("bigint"), F.lit(0)))
+
+    def inside(v: Column) -> Column:
+        out = F.lit(False)
+        for base, bits in PRIVATE:
+            out = out | v.between(_number(base), _number(base) + (1 << (32 - bits)) - 1)
+        return out
+
+    return F.when(sound, F.exists(F.array(number), inside)).when(ip.contains(":"), _private_v6(ip)).otherwise(True)
 
 
 def _private_v6(ip: Column) -> Column:

@@ -95,3 +95,83 @@ e AS (SELECT p.*, b.technique_id, b.technique_name, b.tactic, coalesce(b.finding
 
 def with_(select: str, *parts: str, recursive: bool = False) -> str:
     return f"WITH {'RECURSIVE ' if recursive else ''}" + ",\n".join((DIMS, P, *parts)) + "\n" + select
+
+CORRELATE = rf"""keys AS (SELECT event_id, unnest([x for x in [
+    'h:' || host, 'u:' || "user", 'sip:' || source_ip, 'dip:' || destination_ip, 'dom:' || domain, 'f:' || lower(file_path),
+    'p:' || coalesce(host || ':', '') || process_name, 'p:' || coalesce(host || ':', '') || parent_process,
+    CASE WHEN host IS NULL THEN 'n:' || process_id END, CASE WHEN host IS NULL THEN 'n:' || parent_process_id END] if x IS NOT NULL]) AS key FROM p),
+shared AS (SELECT DISTINCT a.event_id AS x, b.event_id AS y FROM keys a JOIN keys b ON a.key = b.key AND a.event_id < b.event_id),
+near AS (SELECT a.event_id AS x, b.event_id AS y FROM p a JOIN p b ON b.sec > a.sec AND b.sec <= a.sec + 600 AND (a.host IS NULL OR b.host IS NULL)),
+cand AS (SELECT * FROM shared UNION SELECT * FROM near),
+es AS (SELECT e.*, t.idx, list_last(string_split(replace(lower(coalesce(file_path, '')), '\', '/'), '/')) AS base, lower(coalesce(command_line, '')) AS cmd, coalesce(process_name, '') AS proc FROM e LEFT JOIN tac t USING (tactic)),
+two AS (SELECT a.event_id AS event_a, b.event_id AS event_b, a.technique_id IS NOT NULL AS seed_a, b.technique_id IS NOT NULL AS seed_b, b.sec - a.sec AS gap,
+  coalesce(a.host = b.host, false) AS eq_host, coalesce(a.host <> b.host, false) AS ne_host, coalesce(a.host, '') = coalesce(b.host, '') AS one_host,
+  coalesce(a."user" = b."user", false) AS eq_user, coalesce(a.source_ip = b.source_ip, false) AS eq_sip, coalesce(a.destination_ip = b.destination_ip, false) AS eq_dip,
+  coalesce(a.domain = b.domain, false) AS eq_dom, coalesce(lower(a.file_path) = lower(b.file_path), false) AS eq_file,
+  coalesce(a.process_id = b.parent_process_id, false) OR coalesce(b.process_id = a.parent_process_id, false) OR coalesce(a.process_name = b.process_name, false) AS lineage,
+  a.event_type = 'FILE_CREATED' AND a.base <> '' AND (contains(b.cmd, a.base) OR a.base = b.proc) AS a_made,
+  b.event_type = 'FILE_CREATED' AND b.base <> '' AND (contains(a.cmd, b.base) OR b.base = a.proc) AS b_made,
+  a.event_type = 'LOGIN_SUCCESS' AND b.event_type IN ('PROCESS_CREATED', 'REMOTE_EXECUTION', 'FILE_CREATED', 'REGISTRY_MODIFIED') AS acted,
+  a.event_type = 'DNS_QUERY' AND b.event_type IN ('FILE_CREATED', 'NETWORK_CONNECTION') AND contains(b.cmd, a.domain) AS resolved,
+  a.event_type = 'NETWORK_CONNECTION' AND b.event_type = 'FILE_CREATED' AND contains(b.cmd, a.destination_ip) AS fetched,
+  a.event_type = 'PROCESS_CREATED' AND b.event_type = 'REGISTRY_MODIFIED' AND a.proc <> '' AND contains(b.cmd, a.proc) AS changed, a.idx AS ia, b.idx AS ib
+  FROM cand JOIN es a ON a.event_id = x JOIN es b ON b.event_id = y),
+pts AS (SELECT event_a, event_b, seed_a, seed_b, CASE WHEN gap <= 30 THEN 'STRICT' WHEN gap <= 120 THEN 'NORMAL' WHEN gap <= 600 THEN 'BROAD' END AS "window",
+  CASE WHEN gap <= 30 THEN 20 WHEN gap <= 120 THEN 16 WHEN gap <= 600 THEN 10 ELSE 0 END AS temporal, 20 * eq_host::INT AS same_host, 11 * eq_user::INT AS same_user,
+  4 * eq_sip::INT AS same_source_ip, 4 * eq_dip::INT AS same_destination_ip, 2 * eq_dom::INT AS shared_domain,
+  20 * (one_host AND (lineage OR a_made OR b_made))::INT AS process_relationship, 4 * eq_file::INT AS shared_file,
+  CASE WHEN ia IS NULL OR ib IS NULL THEN 0 WHEN ib < ia THEN 3 WHEN ib - ia <= 6 THEN 10 ELSE 6 END AS attack_progression,
+  5 * (NOT ne_host AND (a_made OR (acted AND eq_user) OR coalesce(resolved, false) OR coalesce(fetched, false) OR changed))::INT AS event_dependency FROM two),
+scores AS (SELECT *, temporal + same_host + same_user + same_source_ip + same_destination_ip + shared_domain + process_relationship + shared_file + attack_progression + event_dependency AS total FROM pts),
+edges AS (SELECT * FROM scores WHERE total >= 35 AND total > temporal + same_host)"""
+
+
+def reach(name: str, edges: str) -> str:
+    """Smallest reachable id of each vertex of an edge selection."""
+    return f"""{name}_e AS (SELECT event_a AS v, event_b AS w FROM {edges} UNION ALL SELECT event_b, event_a FROM {edges}),
+{name}_r AS (SELECT DISTINCT v, v AS c FROM {name}_e UNION SELECT x.w, r.c FROM {name}_r r JOIN {name}_e x ON x.v = r.v WHERE r.c < x.w),
+{name} AS (SELECT v AS event_id, min(c) AS component FROM {name}_r GROUP BY v)"""
+
+
+CHAINS = (
+    "strong AS (SELECT * FROM edges WHERE (seed_a AND seed_b) OR ((seed_a OR seed_b) AND total >= 50)),\n"
+    + reach("cc", "strong")
+    + r""",
+members AS (SELECT c.component AS chain, c.event_id, p.sec, row_number() OVER (PARTITION BY c.component ORDER BY p.sec, c.event_id) AS position FROM cc c JOIN p USING (event_id)),
+internal AS (SELECT a.chain, x.* FROM edges x JOIN members a ON a.event_id = x.event_a JOIN members b ON b.event_id = x.event_b WHERE a.chain = b.chain),
+conf0 AS (SELECT chain, count(*) AS links, avg(temporal) AS g1, avg(same_host) AS g2, avg(same_user) AS g3, avg(same_source_ip + same_destination_ip + shared_domain) AS g4,
+  avg(process_relationship) AS g5, avg(shared_file) AS g6, avg(attack_progression) AS g7, avg(event_dependency) AS g8 FROM internal GROUP BY chain),
+conf AS (SELECT *, round_even(least(100.0, if(g1 >= 0.5, g1, 0) + if(g2 >= 0.5, g2, 0) + if(g3 >= 0.5, g3, 0) + if(g4 >= 0.5, g4, 0) + if(g5 >= 0.5, g5, 0) + if(g6 >= 0.5, g6, 0) + if(g7 >= 0.5, g7, 0) + if(g8 >= 0.5, g8, 0)), 1) AS confidence FROM conf0),
+me AS (SELECT m.chain, m.position, e.* FROM members m JOIN e USING (event_id)),
+md AS (SELECT m.chain, d.* FROM members m JOIN det d USING (event_id)),
+cht AS (SELECT DISTINCT chain, tactic FROM (SELECT chain, tactic FROM me WHERE tactic IS NOT NULL UNION ALL SELECT chain, tactic FROM md)),
+chq AS (SELECT DISTINCT chain, technique_id FROM (SELECT chain, technique_id FROM me WHERE technique_id IS NOT NULL UNION ALL SELECT chain, technique_id FROM md)),
+peak AS (SELECT chain, max(list_position(['INFO', 'LOW', 'MEDIUM', 'HIGH', 'CRITICAL'], severity)) AS pk FROM (SELECT chain, severity FROM me UNION ALL SELECT chain, severity FROM md) GROUP BY chain),
+sized AS (SELECT chain, min(sec) AS start_sec, max(sec) AS end_sec, count(*) AS events, count(DISTINCT host) AS hosts, count(DISTINCT "user") AS users FROM me GROUP BY chain),
+dets AS (SELECT chain, count(*) AS detections FROM md GROUP BY chain),
+tcs AS (SELECT chain, count(*) AS tactics, sum(coalesce(points, 0)) AS tpoints, string_agg(cht.tactic, ',' ORDER BY cht.tactic) AS tactic_list FROM cht LEFT JOIN risk USING (tactic) GROUP BY chain),
+tqs AS (SELECT chain, count(*) AS techniques, string_agg(technique_id, ',' ORDER BY technique_id) AS technique_list FROM chq GROUP BY chain),
+ch0 AS (SELECT s.*, coalesce(d.detections, 0) AS detections, coalesce(t.tactics, 0) AS tactics, coalesce(q.techniques, 0) AS techniques, t.tactic_list, q.technique_list, coalesce(c.confidence, 0) AS confidence, c.links,
+  least(100, [0, 4, 10, 18, 25][pk] + coalesce(tpoints, 0) + if(hosts > 1, least(10, 4 * (hosts - 1)), 0) + if(users > 1, least(8, 3 * (users - 1)), 0) + least(10, coalesce(q.techniques, 0))) AS risk
+  FROM sized s JOIN peak USING (chain) LEFT JOIN dets d USING (chain) LEFT JOIN tcs t USING (chain) LEFT JOIN tqs q USING (chain) LEFT JOIN conf c USING (chain)),
+ch AS (SELECT *, CASE WHEN risk >= 90 THEN 'CRITICAL' WHEN risk >= 56 THEN 'HIGH' WHEN risk >= 30 THEN 'MEDIUM' ELSE 'LOW' END AS risk_level,
+  confidence >= 45 AND risk >= 40 AND (detections > 0 OR techniques > 0) AS is_attack,
+  'CHN-' || lpad((row_number() OVER (ORDER BY start_sec, chain))::VARCHAR, 4, '0') AS chain_no FROM ch0),
+obs AS (SELECT chain, tactic, idx FROM cht JOIN tac USING (tactic)),
+span AS (SELECT chain, min(idx) AS lo, max(idx) AS hi, bool_or(idx IN (2, 4, 7)) AS early FROM obs GROUP BY chain),
+gap AS (SELECT s.chain, t.tactic, t.idx, sug.technique_id, (SELECT min(o.idx) FROM obs o WHERE o.chain = s.chain AND o.idx > t.idx) - t.idx AS dist FROM span s JOIN tac t ON t.idx BETWEEN s.lo AND s.hi JOIN sug USING (tactic)
+  WHERE NOT EXISTS (SELECT 1 FROM obs o WHERE o.chain = s.chain AND o.idx = t.idx)),
+made AS (SELECT chain, position, host, list_last(string_split(replace(lower(file_path), '\', '/'), '/')) AS base FROM me WHERE event_type = 'FILE_CREATED' AND file_path IS NOT NULL),
+ran AS (SELECT DISTINCT m.chain FROM made m JOIN me r ON r.chain = m.chain AND r.event_type = 'PROCESS_CREATED' AND r.position > m.position AND m.base <> ''
+  AND (contains(lower(coalesce(r.command_line, '')), m.base) OR m.base = coalesce(r.process_name, '')) AND (m.host IS NULL OR m.host IS NOT DISTINCT FROM r.host)
+  WHERE m.chain NOT IN (SELECT chain FROM chq WHERE technique_id LIKE 'T1204%')),
+step0 AS (SELECT g.chain, 'MISSING_TACTIC_GAP' AS kind, g.tactic, g.technique_id, greatest(25.0, CASE dist WHEN 1 THEN 66.0 WHEN 2 THEN 56.0 WHEN 3 THEN 47.0 ELSE 40.0 END - if(ch.confidence < 50, 8.0, 0.0)) AS confidence FROM gap g JOIN ch USING (chain)
+  UNION ALL SELECT chain, 'MISSING_EXECUTION_STEP', 'EXECUTION', 'T1204.002', if(ch.confidence >= 50, 61.0, 50.0) FROM ran JOIN ch USING (chain)),
+step1 AS (SELECT * FROM (SELECT s.*, row_number() OVER (PARTITION BY chain ORDER BY confidence DESC, tac.idx, kind) AS r FROM step0 s JOIN tac USING (tactic) WHERE confidence >= 45) WHERE r <= 4),
+step2 AS (SELECT chain, kind, tactic, technique_id, confidence FROM step1 UNION ALL SELECT chain, 'MISSING_PRE_CHAIN', 'INITIAL ACCESS', 'T1566', 46.0 FROM span WHERE lo > 2 AND NOT early),
+steps AS (SELECT chain, kind, tactic, technique_id, confidence::DOUBLE AS confidence FROM (SELECT *, row_number() OVER (PARTITION BY chain ORDER BY (kind = 'MISSING_PRE_CHAIN')::INT, confidence DESC) AS r FROM step2) WHERE r <= 4),
+seen AS (SELECT chain, tactic, idx, min(sec) AS first_sec, min_by(technique_id, event_id) AS technique_id FROM me JOIN tac USING (tactic) GROUP BY ALL),
+placed AS (SELECT *, row_number() OVER w AS place, lead(idx) OVER w AS nxt FROM seen WINDOW w AS (PARTITION BY chain ORDER BY first_sec, idx)),
+path0 AS (SELECT chain, place, -1 AS sub, 'OBSERVED' AS kind, tactic, technique_id, first_sec FROM placed
+  UNION ALL SELECT q.chain, q.place, t.idx, 'INFERRED', t.tactic, s.technique_id, NULL FROM placed q JOIN (SELECT chain, tactic, max_by(technique_id, confidence) AS technique_id FROM steps GROUP BY ALL) s USING (chain) JOIN tac t ON t.tactic = s.tactic WHERE t.idx > q.idx AND t.idx < q.nxt)"""
+)
