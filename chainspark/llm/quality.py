@@ -29,7 +29,7 @@ THRESHOLD = 0.5
 
 PAIRS = 256
 _FOLD = np.random.default_rng(11).integers(0, PAIRS, 1 << 16).astype(np.int64)
-LANGS, SOURCES = 8, 16
+FIGURES, LANGS, SOURCES = 17, 8, 16
 SCORED = "doc_id long, p_text double, p_metadata double, score double, keep boolean"
 
 
@@ -179,7 +179,7 @@ def _views(rows: DataFrame) -> tuple[np.ndarray, list[np.ndarray]]:
                 yield pa.RecordBatch.from_arrays([piece.column("doc_id"), piece.column("quality"), pa.array(raw, pa.binary())], names=["doc_id", "quality", "views"])
 
     got = sorted(rows.mapInArrow(run, "doc_id long, quality int, views binary").collect(), key=lambda r: (r[0] * 0x9E3779B1 % 2**32, r[0]))
-    x = np.array([np.frombuffer(r[2], np.float32) for r in got], np.float64).reshape(len(got), -1)
+    x = np.array([np.frombuffer(r[2], np.float32) for r in got], np.float64).reshape(len(got), PAIRS + FIGURES + LANGS + SOURCES)
     return np.array([r[1] for r in got], np.float64), [x[:, :PAIRS], x[:, PAIRS:]]
 
 

@@ -28,7 +28,8 @@ WORD = r"[A-Za-z0-9+/_=-]{4,}"
 
 KINDS = ("assign", "access", "hex", "markov")
 TRAIN_DOCS = 2_000
-MIN_RATIO = 15.0
+MIN_RATIO = 40.0
+LEAN = 5.0
 _SPAN = "array<struct<start:int,kind:int,end:int,text:string>>"
 
 
@@ -56,12 +57,15 @@ def train(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> list[float]:
     random = drawn.select(F.explode(samples).alias("t"), F.lit(1).alias("random"))
     counted = ordinary.union(random).select("random", F.explode(_steps(F.col("t"))).alias("step")).groupBy("random", "step").count().collect()
     size = len(ALPHABET) + 1
-    seen = [[0.5] * (size * size) for _ in range(2)]
+    seen = [[0] * (size * size) for _ in range(2)]
     for row in counted:
         seen[row["random"]][row["step"]] += row["count"]
-    from_ = [[sum(table[a * size : (a + 1) * size]) for a in range(size)] for table in seen]
-    odds = lambda label, k: math.log(seen[label][k] / from_[label][k // size])
-    return [odds(1, k) - odds(0, k) for k in range(size * size)]
+    cells = range(size)
+    # A transition leans on how often its second character stands at all.
+    alone = [[(sum(t[a * size + b] for a in cells) + 0.5) / (sum(t) + 0.5 * size) for b in cells] for t in seen]
+    from_ = [[sum(t[a * size : (a + 1) * size]) for a in cells] for t in seen]
+    chance = lambda label, k: math.log((seen[label][k] + LEAN * alone[label][k % size]) / (from_[label][k // size] + LEAN))
+    return [chance(1, k) - chance(0, k) for k in range(size * size)]
 
 
 def _spans(text: Column, pattern: str, kind: int, group: int = 0) -> Column:
