@@ -96,7 +96,8 @@ def suggestions(spark: SparkSession) -> DataFrame:
 
 
 def _pick(key: Column, pairs) -> Column:
-    return F.element_at(F.create_map(*[F.lit(x) for pair in pairs for x in pair]), key)
+    literal = lambda x: f"'{x}'" if isinstance(x, str) else str(x)
+    return F.element_at(F.expr(f"map({', '.join(literal(x) for pair in pairs for x in pair)})"), key)
 
 
 def tactic_index(tactic: Column) -> Column:
