@@ -1,0 +1,86 @@
+"""Queries of normalization, filters, indicators and evaluation."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from chainspark.operators import evaluate, indicators
+from chainspark.operators import normalize as N
+from chainspark.plans.oracle_parts import DETECT, with_
+from chainspark.plans.queries import detections, query
+from chainspark.sources.telemetry import telemetry
+
+# Names that two kinds of sensors give the canonical fields.
+_STYLES = (
+    {c: c for c in ("timestamp", "event_type", "host", "user", "source_ip", "destination_ip", "destination_port", "protocol", "process_name", "process_id", "parent_process", "parent_process_id", "command_line", "file_path", "domain")},
+    {"timestamp": "UtcTime", "event_type": "EventType", "host": "Computer", "user": "SubjectUserName", "source_ip": "SourceIp", "destination_ip": "DestinationIp", "destination_port": "DestinationPort", "protocol": "Proto",
+     "process_name": "Image", "process_id": "ProcessId", "parent_process": "ParentImage", "parent_process_id": "ParentProcessId", "command_line": "CommandLine", "file_path": "TargetFilename", "domain": "QueryName"},
+)
+_ROUND = ("event_id", "sec", "event_type", "host", "user", "source_ip", "destination_ip", "destination_port", "protocol", "process_name", "process_id", "parent_process", "parent_process_id", "command_line", "file_path", "domain", "severity")
+
+
+def raw_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The telemetry view as JSON records of two sensors, every other record with a drive path, a domain user and an epoch."""
+    rows = telemetry(spark, sf_dir).withColumn("n", F.substring("event_id", 5, 12).cast("long"))
+    made = []
+    for style in _STYLES:
+        second = style["host"] == "Computer"
+        value = {
+            "timestamp": F.col("sec") * 1000 if second else F.date_format("timestamp", "yyyy-MM-dd'T'HH:mm:ss'Z'"),
+            "user": F.concat(F.lit("CORP\\"), F.upper("user")) if second else F.col("user"),
+            "process_name": F.concat(F.lit("C:\\Windows\\"), F.col("process_name")) if second else F.col("process_name"),
+        }
+        made.append(F.to_json(F.struct(F.substring("event_id", 5, 12).alias("record_id"), *[value.get(c, F.col(c)).alias(n) for c, n in style.items()], F.lit("kept").alias("Extra Field"))))
+    return rows.select(F.col("n").alias("idx"), F.when(F.col("n") % 2 == 0, made[0]).otherwise(made[1]).alias("raw"))
+
+
+@query("normalize_events", with_(f"SELECT {', '.join(chr(34) + c + chr(34) for c in _ROUND)}, 'kept' AS extra, 0 AS n_issues FROM p"))
+def normalize_events(spark, sf_dir):
+    out = N.normalize(raw_records(spark, sf_dir))
+    return out.select(*_ROUND, F.element_at("metadata", "extra field").alias("extra"), F.size("issues").alias("n_issues"))
+
+
+@query("ingest_report", with_("SELECT count(*) AS received, count(DISTINCT event_id) AS stored, 0::BIGINT AS duplicates, 0::BIGINT AS skipped, 0::BIGINT AS issue_count FROM p"))
+def ingest_report(spark, sf_dir):
+    return N.ingest_report(N.normalize(raw_records(spark, sf_dir)))
+
+
+@query("event_filter", with_("""SELECT event_id, sec, event_type, host FROM p WHERE event_type IN ('PROCESS_CREATED', 'DNS_QUERY') AND sec BETWEEN 1704070000 AND 1704100000
+  AND (command_line ILIKE '%cmd%' OR domain ILIKE '%cdn%' OR process_name ILIKE '%shell%')"""))
+def event_filter(spark, sf_dir):
+    events = telemetry(spark, sf_dir).where(F.col("event_type").isin("PROCESS_CREATED", "DNS_QUERY") & F.col("sec").between(1704070000, 1704100000))
+    text = F.col("command_line").ilike("%cmd%") | F.col("domain").ilike("%cdn%") | F.col("process_name").ilike("%shell%")
+    return events.where(text).select("event_id", "sec", "event_type", "host")
+
+
+@query("event_page", with_("SELECT event_id, sec, host FROM p ORDER BY sec DESC NULLS LAST, event_id LIMIT 100 OFFSET 50"))
+def event_page(spark, sf_dir):
+    return telemetry(spark, sf_dir).orderBy(F.desc_nulls_last("sec"), "event_id").offset(50).limit(100).select("event_id", "sec", "host")
+
+
+def feed(events: DataFrame) -> DataFrame:
+    """An indicator feed of the addresses and domains that events met, every tenth by a hash of its digits."""
+    tenth = lambda c: (F.length(c) % 3 == 0)
+    ips = events.where(F.col("destination_ip").isNotNull() & tenth("destination_ip")).select(F.col("destination_ip").alias("value"), F.lit("ip").alias("type"))
+    names = events.where(F.col("domain").isNotNull() & tenth("domain")).select(F.upper("domain").alias("value"), F.lit("unknown").alias("type"))
+    both = ips.unionByName(names).distinct()
+    return both.select(F.xxhash64("value").alias("idx"), "type", "value", F.lit("feed").alias("source"))
+
+
+@query("ioc_matches", with_("""SELECT event_id, 'destination_ip' AS field, 'ip' AS type, destination_ip AS value, 'feed' AS source, 'MEDIUM' AS severity FROM p WHERE destination_ip IS NOT NULL AND length(destination_ip) % 3 = 0
+  UNION ALL SELECT event_id, 'domain', 'domain', domain, 'feed', 'MEDIUM' FROM p WHERE domain IS NOT NULL AND length(domain) % 3 = 0"""))
+def ioc_matches(spark, sf_dir):
+    events = telemetry(spark, sf_dir)
+    return indicators.match(events, indicators.indicators(feed(events)))
+
+
+@query("eval_confusion", with_("""SELECT scenario_id, tp, fp, fn, round_even(tp / nullif(tp + fp, 0), 4) AS "precision", round_even(tp / nullif(tp + fn, 0), 4) AS recall,
+  round_even(2 * round_even(tp / nullif(tp + fp, 0), 4) * round_even(tp / nullif(tp + fn, 0), 4) / nullif(round_even(tp / nullif(tp + fp, 0), 4) + round_even(tp / nullif(tp + fn, 0), 4), 0), 4) AS f1 FROM (
+  SELECT scenario_id, count(*) FILTER (WHERE h AND g) AS tp, count(*) FILTER (WHERE h AND NOT g) AS fp, count(*) FILTER (WHERE NOT h AND g) AS fn
+  FROM (SELECT scenario_id, event_id IN (SELECT event_id FROM det WHERE severity IN ('HIGH', 'CRITICAL')) AS h, severity IN ('MEDIUM', 'HIGH') AS g FROM p) WHERE h OR g GROUP BY scenario_id)""", DETECT))
+def eval_confusion(spark, sf_dir):
+    events = telemetry(spark, sf_dir)
+    serious = detections(spark, sf_dir).where(F.col("severity").isin("HIGH", "CRITICAL")).select("event_id").distinct()
+    predicted = events.join(serious, "event_id", "left_semi")
+    return evaluate.confusion(predicted, events.where(F.col("severity").isin("MEDIUM", "HIGH")), "scenario_id", "event_id")
