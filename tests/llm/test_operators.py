@@ -310,3 +310,34 @@ def test_null_ids_and_repeats_do_not_crash(spark, docs):
     assert secret_scan.scan(table).count() == 6
     assert jaccard_join.jaccard_components(table).where(F.col("component_id") != 7).count() == 0
     assert suffix_dedup.repeated_passages(table).count() == 0
+
+
+def test_repeated_passages_around_a_hot_clause(spark):
+    rng = random.Random(11)
+    word = lambda: f"w{rng.randrange(10**6)}"
+    clause = [word() for _ in range(30)]
+    left, right = ([[word() for _ in range(12)] for _ in range(30)] for _ in range(2))
+    texts = {}
+    for i in range(300):
+        a, b = rng.choice(left), rng.choice(right)
+        texts[i] = [word() for _ in range(20)] + a + clause + b + [word() for _ in range(20)]
+    base = [word() for _ in range(300)]
+    for i in range(300, 340):
+        texts[i] = [word() if rng.random() < 0.03 else x for x in base]
+    own = defaultdict(set)
+    for i, x in texts.items():
+        for k in range(len(x) - 49):
+            own[tuple(x[k : k + 50])].add(i)
+    want = {}
+    for i, x in texts.items():
+        spans = []
+        for k in range(len(x) - 49):
+            others = own[tuple(x[k : k + 50])] - {i}
+            if others and spans and k <= spans[-1][1]:
+                spans[-1][1:] = k + 50, min(spans[-1][2], *others)
+            elif others:
+                spans.append([k, k + 50, min(others)])
+        want |= {(i, a, b): other for a, b, other in spans}
+    table = spark.createDataFrame([(i, " ".join(x)) for i, x in texts.items()], "doc_id long, text string").repartition(5)
+    got = {(r.doc_id, r.start_word, r.end_word): r.other_doc_id for r in suffix_dedup.repeated_passages(table).collect()}
+    assert len(want) > 100 and got == want
