@@ -37,9 +37,22 @@ def digest_groups(docs: DataFrame, support: float = SUPPORT) -> DataFrame:
 
 
 def drop_copies(docs: DataFrame, support: float = SUPPORT) -> DataFrame:
-    """``docs`` with one document of each group of equal texts, columns unchanged."""
-    losers = digest_groups(docs, support).where(~F.col("kept")).select(F.col("doc_id").alias("_loser"))
-    return docs.join(losers, F.col("doc_id").eqNullSafe(F.col("_loser")), "left_anti")
+    """``docs`` with one row of each group of equal texts, columns unchanged.
+
+    Rows fall by id and text together, so a null or repeated id loses only its copies.  Of rows
+    equal in both the smallest by the columns in order stays.
+    """
+    counted = digest_groups(docs, support).groupBy("doc_id", "digest").agg(F.first("kept").alias("kept"), F.count(F.lit(1)).alias("n"))
+    marked = durable(counted.where(~F.col("kept") | (F.col("n") > 1)).select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest"), F.col("kept").alias("_kept")))
+    texts = docs.withColumn("_of", F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256)))
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_of") == F.col("_digest"))
+    single = texts.join(marked, same, "left_anti").select(*docs.columns)
+    repeated = marked.where("_kept")
+    if repeated.isEmpty():
+        return single
+    # Minima combine before the shuffle, so a row that stands very often costs one row a task.
+    several = texts.join(repeated, same, "left_semi").groupBy("doc_id", "_of").agg(F.min(F.struct(*docs.columns)).alias("row"))
+    return single.unionByName(several.select("row.*"))
 
 
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

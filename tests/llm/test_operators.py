@@ -341,3 +341,16 @@ def test_repeated_passages_around_a_hot_clause(spark):
     table = spark.createDataFrame([(i, " ".join(x)) for i, x in texts.items()], "doc_id long, text string").repartition(5)
     got = {(r.doc_id, r.start_word, r.end_word): r.other_doc_id for r in suffix_dedup.repeated_passages(table).collect()}
     assert len(want) > 100 and got == want
+
+
+def test_drop_copies_by_row(spark):
+    rows = [(None, "a copy"), (5, "a copy"), (None, "clean one"), (None, "clean two")]  # a null id loses to 5 only in its group
+    rows += [(7, "a copy"), (7, "mine alone"), (9, "of nine"), (6, "of nine"), (6, "of six")]  # one id on two texts
+    rows += [(11, "twice"), (11, "twice"), (10, "twice"), (None, "all null"), (None, "all null"), (12, None), (12, ""), (3, "")]
+    want = [(None, "all null"), (None, "clean one"), (None, "clean two"), (6, "of six"), (7, "a copy"), (7, "mine alone"), (9, "of nine"), (11, "twice"), (12, "")]
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for support in (0.001, 0.2):
+        got = [(r.doc_id, r.text or "") for r in exact_dedup.drop_copies(table, support).collect()]
+        assert sorted(got, key=repr) == sorted(want, key=repr)
+    assert exact_dedup.drop_copies(table).columns == table.columns
+    assert exact_dedup.drop_copies(table.limit(0)).count() == 0
