@@ -26,6 +26,8 @@ from pyspark.sql import DataFrame, SparkSession
 from chainspark.llm.common import Words, count_keys, distinct_counts, documents, in_buckets, mix, replies, slices
 
 ORDER = 2
+#: Order of the registered query; MU has a weight for each longer history.
+QUERY_ORDER = 3
 MU = (2000.0, 50.0)
 FOLDS, HELD_OUT = 7, 2
 END = np.uint64(0x5DEECE66D1234567)
@@ -171,4 +173,4 @@ def score_documents(docs: DataFrame, order: int = ORDER, mu: tuple[float, ...] =
 
 
 def op1_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return score_documents(documents(spark, sf_dir))
+    return score_documents(documents(spark, sf_dir), QUERY_ORDER)

@@ -354,3 +354,29 @@ def test_drop_copies_by_row(spark):
         assert sorted(got, key=repr) == sorted(want, key=repr)
     assert exact_dedup.drop_copies(table).columns == table.columns
     assert exact_dedup.drop_copies(table.limit(0)).count() == 0
+
+
+def test_lm_query_scores_trigrams(spark, docs, texts, tmp_path):
+    docs.select("doc_id", "text").write.parquet(f"{tmp_path}/documents.parquet")
+    tokens = {i: [*words_of(t), None] for i, t in texts.items()}
+    padded = {i: [None, *t] for i, t in tokens.items()}
+    uni, bi, tri = Counter(), Counter(), Counter()
+    for i in texts:
+        if not lm_score.held_out(i):
+            uni.update(tokens[i])
+            bi.update(zip(padded[i], tokens[i]))
+            tri.update(zip(padded[i], padded[i][1:], padded[i][2:]))
+    n, v = uni.total(), len(uni)
+    once, twice = (sum(c == k for c in uni.values()) for k in (1, 2))
+    discount = min(0.95, max(0.05, once / (once + 2 * twice)))
+
+    def p(g, h, w):
+        low = (uni[w] - discount) / n if uni[w] else discount * v / n
+        low = (bi[h, w] + lm_score.MU[0] * low) / (uni[h] + lm_score.MU[0]) if uni[h] else low
+        return (tri[g, h, w] + lm_score.MU[1] * low) / (bi[g, h] + lm_score.MU[1]) if bi[g, h] else low
+
+    for r in lm_score.op1_lm_score(spark, str(tmp_path)).collect():
+        x = padded[r.doc_id]
+        before = ["no word", *x]  # no history of two words stands before the first token
+        want = sum(math.log10(p(before[k], x[k], x[k + 1])) for k in range(len(x) - 1))
+        assert math.isclose(r.score, want, rel_tol=1e-9)
