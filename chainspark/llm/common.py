@@ -7,6 +7,7 @@ vector operations and never a Python call.  A *word* is a run of bytes other tha
 
 from __future__ import annotations
 
+import re
 import tempfile
 from collections.abc import Callable, Iterator
 
@@ -28,10 +29,17 @@ _K3 = np.uint64(0x94D049BB133111EB)
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the cluster's shared checkpoint folder; set a local one only where none is named."""
+    """Use the shared folder that ``spark.checkpoint.dir`` names.
+
+    In local mode, where one machine runs all, a temporary folder serves; a cluster without a
+    shared folder is an error, as its executors would write to different disks.
+    """
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-cut-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-cut-"))
 
 
 def durable(df: DataFrame) -> DataFrame:
@@ -44,6 +52,14 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def fresh(taken: list[str], name: str) -> str:
+    """``name``, lengthened until no column of ``taken`` has it (Spark compares without case)."""
+    low = {c.lower() for c in taken}
+    while name.lower() in low:
+        name += "_"
+    return name
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
@@ -154,18 +170,32 @@ def slices(table: pa.Table | pa.RecordBatch, column: str, most: int = 1 << 21) -
 
 # ------------------------------------------------------------- keyed counting
 
+BUCKET_BYTES = 8 << 20
 
-def in_buckets(docs: DataFrame, per_partition: int = 2) -> DataFrame:
-    """``doc_id, text, bucket``: documents spread evenly by a hash of id and text.
 
-    Buckets grow with the session's shuffle partitions, so their size stays bounded.
-    """
-    n = per_partition * shuffle_partitions(docs.sparkSession)
-    return docs.select("doc_id", "text", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int").alias("bucket"))
+def text_bytes(docs: DataFrame) -> int:
+    return docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+
+
+def bucket_count(docs: DataFrame, weight: int) -> int:
+    """Buckets of about ``BUCKET_BYTES`` of text, at least two a shuffle partition."""
+    return max(2 * shuffle_partitions(docs.sparkSession), -(-weight // BUCKET_BYTES))
 
 
-REQUEST = "bucket int, part int, keys binary, counts binary"
-REPLY = "bucket int, part int, counts binary, stats array<long>"
+def in_buckets(docs: DataFrame, buckets: int) -> DataFrame:
+    """``doc_id, text, bucket``: documents spread evenly by a hash of id and text."""
+    return docs.select("doc_id", "text", F.pmod(F.xxhash64("doc_id", "text"), F.lit(buckets)).cast("int").alias("bucket"))
+
+
+def key_bytes(keys: int, spare_bits: int = 18) -> int:
+    """Bytes of a hash that keep a chance meeting of one key among all below ``2 ** -spare_bits``."""
+    return min(8, max(5, -(-(max(keys, 1).bit_length() + spare_bits) // 8)))
+
+
+def leading(keys: np.ndarray, width: int) -> np.ndarray:
+    """Keys with all but their leading bytes cleared."""
+    drop = np.uint64(64 - 8 * width)
+    return keys >> drop << drop
 
 
 def pack(keys: np.ndarray, width: int) -> bytes:
@@ -174,8 +204,7 @@ def pack(keys: np.ndarray, width: int) -> bytes:
     Steps between sorted keys have few leading bits, so most of their high bytes are zero and
     the shuffle's compression removes them.
     """
-    short = keys >> np.uint64(64 - 8 * width)
-    steps = np.diff(short, prepend=np.uint64(0))
+    steps = np.diff(keys >> np.uint64(64 - 8 * width), prepend=np.uint64(0))
     return np.ascontiguousarray(steps.astype(">u8").view(np.uint8).reshape(-1, 8)[:, 8 - width :].T).tobytes()
 
 
@@ -186,67 +215,163 @@ def unpack(raw: bytes, width: int) -> np.ndarray:
     return np.cumsum(steps, dtype=np.uint64) << np.uint64(64 - 8 * width)
 
 
+def pack_counts(counts: np.ndarray) -> bytes:
+    """Counts up to 63 bits: as many bytes each as the largest needs, laid out byte by byte."""
+    width = max(1, -(-int(counts.max()).bit_length() // 8)) if len(counts) else 1
+    planes = np.ascontiguousarray(counts.astype(">i8").view(np.uint8).reshape(-1, 8)[:, 8 - width :].T)
+    return bytes([width]) + planes.tobytes()
+
+
+def unpack_counts(raw: bytes) -> np.ndarray:
+    width = raw[0]
+    full = np.zeros(((len(raw) - 1) // width, 8), np.uint8)
+    full[:, 8 - width :] = np.frombuffer(raw, np.uint8, offset=1).reshape(width, -1).T
+    return full.reshape(-1).view(">i8").astype(np.int64)
+
+
+def cuts_of(keys: np.ndarray, parts: int) -> np.ndarray:
+    """Where each of ``parts`` equal ranges of the key space starts in sorted keys."""
+    bounds = [(p << 64) // parts for p in range(1, parts)]
+    return np.concatenate([[0], np.searchsorted(keys, np.array(bounds, np.uint64)), [len(keys)]]).astype(np.int64)
+
+
+def concat(arrays: list[np.ndarray], kind: type = np.uint64) -> np.ndarray:
+    return np.concatenate(arrays) if arrays else np.zeros(0, kind)
+
+
+def grouped(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Order that sorts ``values``, starts of the runs of equal ones, and the run of each in that order."""
+    order = np.argsort(values, kind="stable")
+    ordered = values[order]
+    new = np.ones(len(values), bool)
+    new[1:] = ordered[1:] != ordered[:-1]
+    return order, np.flatnonzero(new), np.cumsum(new) - 1
+
+
+REQUEST = "bucket int, part int, keys array<binary>, counts array<binary>"
+REPLY = "bucket int, part int, counts array<binary>, stats array<long>"
+Family = tuple[np.ndarray, np.ndarray]
+
+
 def count_keys(
-    bucketed: DataFrame,
-    keys_of: Callable[[pa.Table], tuple[np.ndarray, np.ndarray]],
-    stats_of: Callable[[np.ndarray, np.ndarray], list[int]] = lambda keys, sums: [],
-    width: int = 8,
+    asking: DataFrame,
+    parts: int,
+    widths: tuple[int, ...] = (8,),
+    stats_of: Callable[[np.ndarray, np.ndarray], list[int]] | None = None,
 ) -> DataFrame:
-    """Corpus-wide count of every key, sent back to each bucket that asked, in the order asked.
+    """Corpus-wide 64-bit count of every key, sent back to each bucket that asked (``REPLY``).
 
-    ``keys_of`` turns a bucket into sorted distinct keys with the bucket's own counts, so a
-    frequent key costs one entry a bucket.  The key space is cut into ranges; one group sums a
-    range over all buckets and answers each with 32-bit counts.  Every bucket asks every range,
-    perhaps with no keys, so that ``stats_of`` (summable figures of a range) reach all buckets.
+    ``asking`` has the rows that ``requests`` makes.  One group sums a range of keys over all
+    buckets and answers each.  Only ranges that a bucket asks travel, so there are never more
+    messages than keys.  ``stats_of`` gives summable figures of the first family's keys of a range; their
+    sum over all ranges comes with every reply.
     """
-    parts = 2 * shuffle_partitions(bucketed.sparkSession)
-
-    def ask(table: pa.Table) -> pa.Table:
-        keys, counts = keys_of(table)
-        short = (keys >> np.uint64(32)).astype(np.float64) / 2**32 * parts
-        cuts = np.searchsorted(short.astype(np.int64), np.arange(parts + 1))
-        bucket = table.column("bucket")[0].as_py()
-        rows = [(pack(keys[a:b], width), counts[a:b].astype("<u4").tobytes()) for a, b in zip(cuts[:-1], cuts[1:])]
-        return pa.table(
-            {
-                "bucket": pa.array([bucket] * parts, pa.int32()),
-                "part": pa.array(range(parts), pa.int32()),
-                "keys": pa.array([r[0] for r in rows], pa.binary()),
-                "counts": pa.array([r[1] for r in rows], pa.binary()),
-            }
-        )
 
     def answer(table: pa.Table) -> pa.Table:
-        raw, counts = table.column("keys").to_pylist(), table.column("counts").to_pylist()
-        sizes = [len(x) // width for x in raw]
-        keys = np.concatenate([unpack(x, width) for x in raw])
-        order = np.argsort(keys, kind="stable")
-        ordered = keys[order]
-        new = np.ones(len(keys), dtype=bool)
-        new[1:] = ordered[1:] != ordered[:-1]
-        own = np.frombuffer(b"".join(counts), "<u4")[order].astype(np.int64)
-        heads = np.flatnonzero(new)
-        sums = np.add.reduceat(own, heads) if len(heads) else own
-        back = np.empty(len(keys), np.uint32)
-        back[order] = np.minimum(sums, 2**32 - 1).astype(np.uint32)[np.cumsum(new) - 1] if len(keys) else 0
-        cuts = np.concatenate([[0], np.cumsum(sizes)]).astype(int)
-        stats = [int(x) for x in stats_of(ordered[heads], sums)]
-        return pa.table(
-            {
-                "bucket": table.column("bucket").cast(pa.int32()),
-                "part": table.column("part").cast(pa.int32()),
-                "counts": pa.array([back[a:b].astype("<u4").tobytes() for a, b in zip(cuts[:-1], cuts[1:])], pa.binary()),
-                "stats": pa.array([stats] * len(sizes), pa.list_(pa.int64())),
-            }
-        )
-
-    asked = bucketed.groupBy("bucket").applyInArrow(ask, REQUEST)
-    return asked.groupBy("part").applyInArrow(answer, REPLY)
-
-
-def replies(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    """The counts for a bucket's keys, in their order, and the summed statistics."""
-    rows = sorted(zip(table.column("part").to_pylist(), table.column("counts").to_pylist(), table.column("stats").to_pylist()), key=lambda r: r[0])
-    counts = np.frombuffer(b"".join(r[1] for r in rows), "<u4").astype(np.int64)
-    stats = np.array([r[2] for r in rows], dtype=np.int64)
-    return counts, stats.sum(axis=0) if stats.size else np.zeros(0, np.int64)
+        keys, counts = table.column("keys").to_pylist(), table.column("counts").to_pylist()
+        back: list[list[bytes]] = [[] for _ in keys]
+        stats = None
+        for f, width in enumerate(widths):
+            asked = [unpack(k[f], width) for k in keys]
+            flat, own = concat(asked), concat([unpack_counts(c[f]) for c in counts], np.int64)
+            order, heads, run = grouped(flat)
+            sums = np.add.reduceat(own[order], heads) if len(heads) else own
+            if f == 0 and stats_of:
+                stats = [int(x) for x in stats_of(flat[order][heads], sums)]
+            total = np.empty(len(flat), np.int64)
+            total[order] = sums[run]
+            ends = np.cumsum([0, *map(len, asked)])
+            for out, a, b in zip(back, ends[:-1], ends[1:]):
+                out.append(pack_counts(total[a:b]))
+        buckets, part = table.column("bucket").to_pylist(), table.column("part").to_pylist()
+        if stats is not None:
+            buckets, part, back = [*buckets, None], [*part, part[0]], [*back, None]
+        said = [None] * len(buckets) if stats is None else [None] * (len(buckets) - 1) + [stats]
+        kinds = (pa.int32(), pa.int32(), pa.list_(pa.binary()), pa.list_(pa.int64()))
+        return pa.table([pa.array(c, k) for c, k in zip((buckets, part, back, said), kinds)], names=["bucket", "part", "counts", "stats"])
+
+    answered = asking.groupBy("part").applyInArrow(answer, REPLY)
+    if stats_of is None:
+        return answered
+    figures = answered.where("bucket is null").select(F.posexplode("stats").alias("at", "x")).groupBy("at").agg(F.sum("x").alias("x"))
+    figures = figures.agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "x"))), lambda s: s["x"]).alias("stats")).scalar()
+    return answered.where("bucket is not null").select("bucket", "part", "counts", figures.alias("stats"))
+
+
+def requests(bucket: int, families: list[Family], parts: int, widths: tuple[int, ...] = (8,)) -> pa.Table:
+    """A bucket's sorted distinct keys with its own counts, cut by range of the key (``REQUEST``)."""
+    cuts = [cuts_of(keys, parts) for keys, _ in families]
+    asked = [p for p in range(parts) if any(c[p + 1] > c[p] for c in cuts)]
+    keys = [[pack(k[c[p] : c[p + 1]], w) for (k, _), c, w in zip(families, cuts, widths)] for p in asked]
+    counts = [[pack_counts(n[c[p] : c[p + 1]]) for (_, n), c in zip(families, cuts)] for p in asked]
+    columns = [pa.array([bucket] * len(asked), pa.int32()), pa.array(asked, pa.int32()), pa.array(keys, pa.list_(pa.binary())), pa.array(counts, pa.list_(pa.binary()))]
+    return pa.table(columns, names=["bucket", "part", "keys", "counts"])
+
+
+def replies(table: pa.Table, families: int = 1) -> tuple[list[np.ndarray], np.ndarray]:
+    """The counts for a bucket's keys of each family, in their order, and the summed statistics."""
+    table = table.sort_by("part")
+    counts = table.column("counts").to_pylist()
+    stats = table.column("stats")[0].as_py() if table.num_rows else None
+    return [concat([unpack_counts(c[f]) for c in counts], np.int64) for f in range(families)], np.array(stats or [], np.int64)
+
+
+# ------------------------------------------------------------------- the sieve
+
+CODES = "bucket int, part int, first long, codes binary"
+MARKS = "bucket int, part int, n long, marks binary"
+_STEP = np.uint64(65535)
+
+
+def pack_codes(codes: np.ndarray) -> bytes:
+    """Steps of sorted numbers in two bytes; a step of 65535 or more leads through full ones."""
+    steps = np.diff(codes)
+    full, rest = steps // _STEP, (steps % _STEP).astype("<u2")
+    at = np.cumsum(full.astype(np.int64) + 1) - 1
+    out = np.full(int(at[-1]) + 1 if len(at) else 0, 65535, "<u2")
+    out[at] = rest
+    return out.tobytes()
+
+
+def unpack_codes(first: int, raw: bytes) -> np.ndarray:
+    steps = np.frombuffer(raw, "<u2")
+    reached = np.cumsum(steps.astype(np.uint64)) + np.uint64(first)
+    return np.concatenate([np.array([first], np.uint64), reached[steps != 65535]])
+
+
+def shared_marks(bucketed: DataFrame, parts: int, bits: int, keys_of: Callable[[pa.Table], np.ndarray]) -> DataFrame:
+    """For each bucket a bit for every key: may another bucket have it too (``MARKS``)?
+
+    Keys travel cut to their leading ``bits``.  A key without a mark is the bucket's alone, so its
+    count over the corpus is the bucket's own; a chance meeting only costs one request.
+    """
+    cut = np.uint64(64 - bits)
+
+    def code(table: pa.Table) -> pa.Table:
+        keys = keys_of(table)
+        cuts = cuts_of(keys, parts)
+        asked = np.flatnonzero(np.diff(cuts))
+        short = [keys[cuts[p] : cuts[p + 1]] >> cut for p in asked]
+        bucket = table.column("bucket")[0].as_py()
+        columns = [[bucket] * len(asked), asked, [int(x[0]) for x in short], [pack_codes(x) for x in short]]
+        kinds = (pa.int32(), pa.int32(), pa.int64(), pa.binary())
+        return pa.table([pa.array(c, k) for c, k in zip(columns, kinds)], names=["bucket", "part", "first", "codes"])
+
+    def mark(table: pa.Table) -> pa.Table:
+        asked = [unpack_codes(f, c) for f, c in zip(table.column("first").to_pylist(), table.column("codes").to_pylist())]
+        order, heads, run = grouped(np.concatenate(asked))
+        many = np.empty(len(order), bool)
+        many[order] = (np.diff(np.append(heads, len(order))) > 1)[run]
+        ends = np.cumsum([0, *map(len, asked)])
+        marks = [np.packbits(many[a:b]).tobytes() for a, b in zip(ends[:-1], ends[1:])]
+        columns = [table.column("bucket").cast(pa.int32()), table.column("part").cast(pa.int32()), pa.array([len(x) for x in asked], pa.int64()), pa.array(marks, pa.binary())]
+        return pa.table(columns, names=["bucket", "part", "n", "marks"])
+
+    return bucketed.groupBy("bucket").applyInArrow(code, CODES).groupBy("part").applyInArrow(mark, MARKS)
+
+
+def marked(table: pa.Table) -> np.ndarray:
+    """A bucket's marks, in the order of its keys."""
+    table = table.sort_by("part")
+    rows = zip(table.column("n").to_pylist(), table.column("marks").to_pylist())
+    return concat([np.unpackbits(np.frombuffer(raw, np.uint8), count=n) for n, raw in rows], np.uint8).astype(bool)

@@ -1,26 +1,31 @@
 """Exact n-gram Jaccard join as a metric-space join, and its components.
 
 Jaccard distance is a metric, and two documents link at distance 0.2 or less.  Almost all
-pairs of documents lie at distance exactly 1, where a pivot says nothing, so the space is cut
-in two steps:
+pairs of documents lie at distance exactly 1, where a pivot drawn from the documents says nothing,
+so the space is cut in two steps:
 
 1. *Regions.*  Ordered by corpus frequency, two linked sets share one of the
-   ``n - ceil(0.8 n) + 1`` rarest shingles of each.  The smallest member of each shared
-   rare shingle is a pivot; a document is replicated to every pivot it shares one with.  A
-   shingle found in one document leads nowhere, so most documents end here.
-2. *Pivots.*  In a region, a pivot is measured against the others; those whose distances to
-   earlier pivots differ by more than the radius are left out by the triangle inequality.
-   Links to the pivot join components, and a document in the largest component needs no
-   pivot of its own, as any link to another component has its other end outside.
-
-Regions over ``cap`` shingles are cut in blocks that each meet the same few pivots, round by
-round, so that no group of near copies has to fit in a task, and no group emits its pairs.
+   ``n - ceil(0.8 n) + 1`` rarest shingles of each.  The smallest document with such a
+   shingle is its pivot, and a document is replicated to every pivot it shares one with, so
+   both ends of a link meet in a region.  A shingle found in one document leads nowhere, so most
+   documents end here.
+2. *Voronoi cells.*  A region over ``cap`` shingles draws pivots.  A document nearer than 0.8 to
+   its nearest pivot has that cell for its home; by the triangle inequality a link leads to a
+   document at most twice the radius further from that pivot than from its own nearest, and no
+   further than the cell's outermost document plus the radius: such boundary documents are
+   replicated.  Documents without a home meet in a cell of their own.  Cells are cut again until
+   they are small; a cell that does not shrink is cut in blocks that each meet the same few
+   pivots, round by round.
+
+In a small cell, a pivot is measured against the others; those whose distances to earlier pivots
+differ by more than the radius are left out.  Links to the pivot join components, and a document
+in the largest component needs no pivot of its own, as any link to another component has its
+other end outside.
 """
 
 from __future__ import annotations
 
 import hashlib
-import math
 
 import numpy as np
 import pyarrow as pa
@@ -28,16 +33,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chainspark.llm.common import (
+    REQUEST,
     SIMILARITY_PERCENT,
     Words,
+    bucket_count,
     count_keys,
     distinct_counts,
     documents,
     durable,
+    fresh,
     in_buckets,
+    key_bytes,
+    leading,
     replies,
+    requests,
     shingle_hashes,
     slices,
+    text_bytes,
 )
 from chainspark.llm.components import connected_components
 
@@ -56,31 +68,26 @@ def sets_of(texts: pa.Table) -> list[np.ndarray]:
     return out
 
 
-def key_bytes(rows: int) -> int:
-    """Bytes of a hash that keep chance meetings among all shingles below about one in a thousand."""
-    return min(8, max(5, math.ceil((math.log2(max(rows, 1) * 600) + 10) / 8)))
-
-
 def rare_keys(docs: DataFrame, percent: int = SIMILARITY_PERCENT) -> DataFrame:
     """Per document its set size, a class (equal for equal sets), and its rarest shared shingles.
 
     ``shingles`` is filled only where ``keys`` has any.
     """
-    bucketed = in_buckets(docs.where("doc_id is not null"))
-    width = key_bytes(docs.count())
-    drop = np.uint64(64 - 8 * width)
+    weight = text_bytes(docs)
+    buckets, width = bucket_count(docs, weight), key_bytes(weight // 6, 10)
+    bucketed = in_buckets(docs.where("doc_id is not null"), buckets)
 
     def distinct(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        return distinct_counts((np.concatenate(sets) if sets else np.zeros(0, np.uint64)) >> drop << drop)
+        return distinct_counts(leading(np.concatenate(sets) if sets else np.zeros(0, np.uint64), width))
 
     def pick(texts: pa.Table, answers: pa.Table) -> pa.Table:
         sets = sets_of(texts)
         keys, _ = distinct(sets)
-        counts, _ = replies(answers)
+        (counts,), _ = replies(answers)
         out = []
         for s in sets:
             n = len(s)
-            often = np.minimum(counts[np.searchsorted(keys, s >> drop << drop)], 2**31) if n else np.zeros(0, np.int64)
+            often = counts[np.searchsorted(keys, leading(s, width))] if n else np.zeros(0, np.int64)
             prefix = n - -(-percent * n // 100) + 1
             lead = np.lexsort((s, often))[:prefix]
             shared = s[lead[often[lead] > 1]]
@@ -95,7 +102,8 @@ def rare_keys(docs: DataFrame, percent: int = SIMILARITY_PERCENT) -> DataFrame:
             }
         )
 
-    counted = count_keys(bucketed, lambda table: distinct(sets_of(table)), width=width)
+    ask = lambda t: requests(t.column("bucket")[0].as_py(), [distinct(sets_of(t))], buckets, (width,))
+    counted = count_keys(bucketed.groupBy("bucket").applyInArrow(ask, REQUEST), buckets, (width,))
     return bucketed.groupBy("bucket").cogroup(counted.groupBy("bucket")).applyInArrow(pick, SETS)
 
 
@@ -159,47 +167,133 @@ def _small(table: pa.Table, percent: int) -> pa.Table:
     return pa.table({"a": pa.array(ids), "b": pa.array(ids[label])})
 
 
-def _large(members: DataFrame, percent: int, cap: int, pivots: int) -> DataFrame:
-    """Links (a spanning set) of regions over the cap: rounds of a few pivots against blocks."""
-    per_region = members.groupBy("region").agg(F.count(F.lit(1)).alias("docs"), F.sum("n_shingles").alias("weight"))
-    blocks = F.ceil(F.col("weight") / cap).cast("int")
-    sized = durable(members.join(per_region.select("region", "docs", blocks.alias("blocks")), "region").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")))
-    links = members.sparkSession.createDataFrame([], "a long, b long")
-    label = sized.select("region", "doc_id", F.col("doc_id").alias("component"))
-    used = members.sparkSession.createDataFrame([], "doc_id long")
+def _in_blocks(members: DataFrame, sizes: DataFrame, cap: int) -> DataFrame:
+    """Members of large cells with their cell's size, each cell dealt over blocks of about ``cap`` shingles."""
+    blocks = F.ceil(F.col("weight") / cap).cast("int").alias("blocks")
+    return members.join(sizes.select("cell", "docs", "weight", blocks), "cell").withColumn("block", F.pmod(F.xxhash64("doc_id", "cell"), F.col("blocks")).cast("int"))
+
+
+def _drawn(waiting: DataFrame, pivots: int, turn: int) -> DataFrame:
+    """About ``pivots`` members of each cell, and its smallest, drawn anew each turn."""
+    luck = F.pmod(F.xxhash64("doc_id", F.lit(turn)), F.lit(1 << 30)) / (1 << 30)
+    counted = waiting.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("least"))
+    drawn = waiting.join(counted, "cell").where((luck * F.col("n") < pivots) | (F.col("doc_id") == F.col("least")))
+    return drawn.select("cell", "doc_id").distinct()
+
+
+def _to_blocks(sized: DataFrame, chosen: DataFrame) -> DataFrame:
+    """The chosen members as pivots, sent to every block of their cell."""
+    sent = sized.join(chosen, ["cell", "doc_id"], "left_semi").withColumn("at", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return sent.select(F.col("cell").alias("to"), "at", F.col("doc_id").alias("pivot"), F.col("shingles").alias("set"))
+
+
+def _shared_with(block: pa.Table, chosen: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Members, pivots, and sizes of intersection and union of each pivot (row) with each member."""
+    region = Region(_sets(block.column("shingles")))
+    sets = _sets(chosen.column("set"))
+    both = np.stack([region.shared(s) for s in sets])
+    union = region.sizes[None, :] + np.array([len(s) for s in sets])[:, None] - both
+    return block.column("doc_id").to_numpy(), chosen.column("pivot").to_numpy(), both, union
+
+
+def _links(members: np.ndarray, pivots: np.ndarray, both: np.ndarray, union: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    row, at = np.nonzero((100 * both >= percent * union) & (members[None, :] != pivots[:, None]))
+    return list(zip(members[at].tolist(), pivots[row].tolist()))
+
+
+HOMES = "cell long, doc_id long, home long, least double, near array<struct<pivot:long,d:double>>, linked array<long>"
+
+
+def voronoi_cells(members: DataFrame, sizes: DataFrame, percent: int, cap: int, pivots: int, turn: int) -> tuple[DataFrame, DataFrame]:
+    """Cut large cells once: their new cells (``parent`` kept), and links to pivots met on the way."""
+    radius = 1 - percent / 100 + 1e-9
+    sized = durable(_in_blocks(members, sizes, cap))
+    chosen = durable(_drawn(sized.select("cell", "doc_id"), pivots, turn))
+
+    def measure(block: pa.Table, pivot_sets: pa.Table) -> pa.Table:
+        rows = []
+        if block.num_rows:
+            ids, pivot, both, union = _shared_with(block, pivot_sets)
+            d = 1 - both / union
+            least = d.min(axis=0)
+            linked: dict[int, list[int]] = {}
+            for a, b in _links(ids, pivot, both, union, percent):
+                linked.setdefault(a, []).append(b)
+            for j, (i, m) in enumerate(zip(ids.tolist(), least.tolist())):
+                close = np.flatnonzero((d[:, j] < 1) & (d[:, j] <= m + 2 * radius))
+                home = int(pivot[d[:, j].argmin()]) if m < 1 - radius else None
+                rows.append((i, home, m, [{"pivot": int(pivot[c]), "d": float(d[c, j])} for c in close], linked.get(i, [])))
+        cell = block.column("cell")[0].as_py() if block.num_rows else None
+        columns = [[cell] * len(rows), *(zip(*rows) if rows else [()] * 5)]
+        near = pa.list_(pa.struct([("pivot", pa.int64()), ("d", pa.float64())]))
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), near, pa.list_(pa.int64()))
+        return pa.table([pa.array(list(c), k) for c, k in zip(columns, kinds)], names=["cell", "doc_id", "home", "least", "near", "linked"])
+
+    homes = durable(sized.groupBy("cell", "block").cogroup(_to_blocks(sized, chosen).groupBy("to", "at")).applyInArrow(measure, HOMES))
+    reach = homes.where("home is not null").groupBy("cell", F.col("home").alias("pivot")).agg(F.max("least").alias("reach"))
+    met = homes.select("cell", "doc_id", F.inline("near")).join(reach, ["cell", "pivot"]).where(F.col("d") <= F.col("reach") + radius)
+    inside = met.select("cell", "doc_id", F.xxhash64("cell", "pivot", F.lit(turn)).alias("to"))
+    inside = inside.unionByName(homes.where("home is null").select("cell", "doc_id", F.xxhash64("cell", F.lit("rest"), F.lit(turn)).alias("to")))
+    cut = inside.join(sized.select("cell", "doc_id", "n_shingles", "shingles", F.col("weight").alias("parent")), ["cell", "doc_id"])
+    return cut.drop("cell").withColumnRenamed("to", "cell"), homes.select(F.col("doc_id").alias("a"), F.explode("linked").alias("b"))
+
+
+def _by_blocks(members: DataFrame, sizes: DataFrame, links: DataFrame, percent: int, cap: int, pivots: int) -> DataFrame:
+    """Links (a spanning set, beside those given) of cells that do not shrink: rounds of pivots against blocks."""
+    sized = durable(_in_blocks(members, sizes, cap))
+    used = sized.sparkSession.createDataFrame([], "cell long, doc_id long")
 
     def measure(block: pa.Table, chosen: pa.Table) -> pa.Table:
-        pairs = []
-        if block.num_rows and chosen.num_rows:
-            region, ids = Region(_sets(block.column("shingles"))), block.column("doc_id").to_numpy()
-            for pivot, s in zip(chosen.column("pivot").to_pylist(), _sets(chosen.column("set"))):
-                both = region.shared(s)
-                linked = ids[100 * both >= percent * (region.sizes + len(s) - both)]
-                pairs.append((linked[linked != pivot], pivot))
-        a = np.concatenate([p[0] for p in pairs]) if pairs else np.zeros(0, np.int64)
-        b = np.repeat([p[1] for p in pairs], [len(p[0]) for p in pairs]) if pairs else a
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(np.asarray(b), pa.int64())})
+        pairs = _links(*_shared_with(block, chosen), percent) if block.num_rows and chosen.num_rows else []
+        return pa.table([pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int64())], names=["a", "b"])
 
+    turn = 0
     while True:
-        count = label.groupBy("region", "component").agg(F.count(F.lit(1)).alias("n"))
-        largest = count.groupBy("region").agg(F.max_by("component", "n").alias("largest"))
-        waiting = label.join(largest, "region").where("component <> largest").join(used, "doc_id", "left_anti")
-        waiting = durable(waiting.select("region", "doc_id"))
-        share = waiting.groupBy("region").agg((F.lit(2.0 * pivots) / F.count(F.lit(1))).alias("share"))
-        if share.isEmpty():
+        turn += 1
+        component = connected_components(links).withColumnRenamed("v", "doc_id")
+        label = sized.select("cell", "doc_id").join(component, "doc_id", "left")
+        label = durable(label.select("cell", "doc_id", F.coalesce("component", "doc_id").alias("component")))
+        count = label.groupBy("cell", "component").agg(F.count(F.lit(1)).alias("n"))
+        largest = count.groupBy("cell").agg(F.max_by("component", "n").alias("largest"))
+        waiting = label.join(largest, "cell").where("component <> largest").join(used, ["cell", "doc_id"], "left_anti")
+        waiting = durable(waiting.select("cell", "doc_id"))
+        if waiting.isEmpty():
             return links
-        luck = (F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1 << 20)) / (1 << 20)).alias("luck")
-        drawn = waiting.join(share, "region").where(luck < F.col("share"))
-        first = waiting.groupBy("region").agg(F.min("doc_id").alias("doc_id"))
-        chosen = durable(drawn.select("region", "doc_id").union(first.select("region", "doc_id")).distinct())
-        used = durable(used.union(chosen.select("doc_id")))
-        sent = sized.join(chosen.select("doc_id"), "doc_id", "left_semi").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        sent = sent.select(F.col("region").alias("to"), F.col("block").alias("at"), F.col("doc_id").alias("pivot"), F.col("shingles").alias("set"))
-        found = sized.groupBy("region", "block").cogroup(sent.groupBy("to", "at")).applyInArrow(measure, "a long, b long")
+        chosen = durable(_drawn(waiting, 2 * pivots, turn))
+        used = durable(used.union(chosen))
+        found = sized.groupBy("cell", "block").cogroup(_to_blocks(sized, chosen).groupBy("to", "at")).applyInArrow(measure, "a long, b long")
         links = durable(links.union(found))
-        component = connected_components(links).withColumnRenamed("v", "doc_id")
-        label = sized.select("region", "doc_id").join(component, "doc_id", "left")
-        label = durable(label.select("region", "doc_id", F.coalesce("component", "doc_id").alias("component")))
+
+
+def cell_links(members: DataFrame, percent: int, cap: int, pivots: int) -> DataFrame:
+    """Links that join the components of all cells (``cell, doc_id, n_shingles, shingles``)."""
+    parts, links, stuck = [], [], []
+    members, turn = members.withColumn("parent", F.lit(None).cast("long")), 0
+    while True:
+        members = durable(members)
+        sizes = members.groupBy("cell").agg(F.count(F.lit(1)).alias("docs"), F.sum("n_shingles").alias("weight"), F.max("parent").alias("parent"))
+        large = durable(sizes.where((F.col("weight") > cap) & (F.col("docs") > 1)))
+        members = members.drop("parent")
+        parts.append(members.join(large, "cell", "left_anti"))
+        if large.isEmpty():
+            break
+        whole = large.where(F.col("weight") > 0.8 * F.col("parent"))
+        stuck.append((members.join(whole, "cell", "left_semi"), whole))
+        shrinks = large.join(whole, "cell", "left_anti")
+        turn += 1
+        members, met = voronoi_cells(members.join(shrinks, "cell", "left_semi"), shrinks, percent, cap, pivots, turn)
+        links.append(met)
+    small = parts[0]
+    for more in parts[1:]:
+        small = small.unionByName(more)
+    out = small.groupBy("cell").applyInArrow(lambda t: _small(t, percent), "a long, b long").where("a <> b")
+    for met in links:
+        out = out.union(met)
+    out = durable(out)
+    for rows, sizes in stuck:
+        if not sizes.isEmpty():
+            out = _by_blocks(rows, sizes, out, percent, cap, pivots)
+    return out
 
 
 def jaccard_components(docs: DataFrame, percent: int = SIMILARITY_PERCENT, cap: int = CAP, pivots: int = PIVOTS) -> DataFrame:
@@ -214,26 +308,14 @@ def jaccard_components(docs: DataFrame, percent: int = SIMILARITY_PERCENT, cap:
     some = rows.where(F.size("keys") > 0)
     classes = durable(some.groupBy("class").agg(F.min("doc_id").alias("rep")))
     reps = some.join(classes, (some["class"] == classes["class"]) & (F.col("doc_id") == F.col("rep"))).select("doc_id", "n_shingles", "keys", "shingles")
+    # A hot shingle is dealt over salts, whose pivots then name the smallest.
     spread = F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")
-    held = durable(reps.select("doc_id", F.explode("keys").alias("key")))
-    salted = held.withColumn("salt", spread)
-    local = durable(salted.groupBy("key", "salt").agg(F.min("doc_id").alias("pivot")))
-    top = local.groupBy("key").agg(F.min("pivot").alias("b"))
-    star = salted.join(local, ["key", "salt"]).select(F.col("doc_id").alias("a"), F.col("pivot").alias("b"))
-    star = star.union(local.join(top, "key").select(F.col("pivot").alias("a"), "b")).where("a <> b").distinct()
-    regions = connected_components(star).select(F.col("v").alias("doc_id"), F.col("component").alias("region"))
-    members = reps.select("doc_id", "n_shingles", "shingles").join(regions, "doc_id")
-    weights = regions.join(rows.select("doc_id", "n_shingles"), "doc_id").groupBy("region").agg(F.sum("n_shingles").alias("weight"))
-    large = durable(weights.where(F.col("weight") > cap).select("region"))
-    if large.isEmpty():
-        links = members.groupBy("region").applyInArrow(lambda t: _small(t, percent), "a long, b long")
-    else:
-        small = members.join(large, "region", "left_anti")
-        links = small.groupBy("region").applyInArrow(lambda t: _small(t, percent), "a long, b long")
-        links = links.union(_large(members.join(large, "region", "left_semi"), percent, cap, pivots))
-    # A region's links already name its smallest members, except where several blocks spoke.
-    found = durable(links.where("a <> b"))
-    component = found.groupBy(F.col("a").alias("rep")).agg(F.min("b").alias("component")) if large.isEmpty() else connected_components(found).withColumnRenamed("v", "rep")
+    salted = durable(reps.select("doc_id", F.explode("keys").alias("key"), spread.alias("salt")))
+    local = durable(salted.groupBy("key", "salt").agg(F.min("doc_id").alias("pivot"), F.count(F.lit(1)).alias("n")))
+    pivot = local.groupBy("key").agg(F.min("pivot").alias("cell"), F.sum("n").alias("n")).where("n > 1")
+    cells = salted.join(local.select("key", "salt").join(pivot.select("key", "cell"), "key"), ["key", "salt"]).select("doc_id", "cell").distinct()
+    links = cell_links(reps.select("doc_id", "n_shingles", "shingles").join(cells, "doc_id"), percent, cap, pivots)
+    component = connected_components(links).withColumnRenamed("v", "rep")
     by_class = classes.join(component, "rep", "left").select("class", F.coalesce("component", "rep").alias("component_id"))
     by_class = by_class.withColumnRenamed("class", "of_class")
     out = rows.join(by_class, (F.size("keys") > 0) & (rows["class"] == F.col("of_class")), "left")
@@ -241,10 +323,27 @@ def jaccard_components(docs: DataFrame, percent: int = SIMILARITY_PERCENT, cap:
 
 
 def keep_one(docs: DataFrame, percent: int = SIMILARITY_PERCENT) -> DataFrame:
-    """``docs`` with the smallest ``doc_id`` of each component, columns unchanged."""
+    """``docs`` with the smallest ``doc_id`` of each component, columns unchanged.
+
+    Of rows repeated with one id and text, one stays: the smallest by its columns in order.  Rows
+    with a null id are in no component and all stay.
+    """
     groups = jaccard_components(docs, percent)
-    losers = groups.where("doc_id <> component_id").select(F.col("doc_id").alias("_loser"))
-    return docs.join(losers, F.col("doc_id") == F.col("_loser"), "left_anti")
+    name = fresh(docs.columns, "of_id")
+    losers = groups.where("doc_id <> component_id").select(F.col("doc_id").alias(name))
+    kept = docs.join(losers, F.col("doc_id") == F.col(name), "left_anti")
+    return without_repeats(kept)
+
+
+def without_repeats(docs: DataFrame) -> DataFrame:
+    """``docs`` with one row of each id and text, columns unchanged; null ids stay as they are."""
+    name = fresh(docs.columns, "of_id")
+    repeated = durable(docs.where("doc_id is not null").groupBy(F.col("doc_id").alias(name)).count().where("count > 1").select(name))
+    if repeated.isEmpty():
+        return docs
+    single = docs.join(repeated, F.col("doc_id") == F.col(name), "left_anti")
+    several = docs.join(repeated, F.col("doc_id") == F.col(name), "left_semi").groupBy("doc_id", "text").agg(F.min(F.struct(*docs.columns)).alias("row"))
+    return single.unionByName(several.select("row.*"))
 
 
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chainspark.llm.common import Words, count_keys, distinct_counts, documents, pack, replies, shingle_hashes, shuffle_partitions, slices, unpack
+from chainspark.llm.common import REQUEST, Words, bucket_count, count_keys, cuts_of, distinct_counts, documents, mix, pack, replies, requests, shingle_hashes, slices, text_bytes, unpack
 
 MIN_WORDS = 50
 RUN = 10
@@ -28,14 +28,14 @@ _K = np.uint64(0x9E3779B97F4A7C15)
 
 
 def anchors_of(runs: np.ndarray, window: int) -> np.ndarray:
-    """Hash of the smallest run of each window."""
+    """Hash of the smallest run of each window, mixed again so that it is spread evenly."""
     if len(runs) < window:
         return runs[:0]
     least, size = runs, 1
     while 2 * size <= window:
         least = np.minimum(least[:-size], least[size:])
         size *= 2
-    return np.minimum(least[: len(runs) - window + 1], least[window - size :])
+    return mix(np.minimum(least[: len(runs) - window + 1], least[window - size :]))
 
 
 def windows_of(runs: np.ndarray, min_words: int, run: int) -> np.ndarray:
@@ -116,7 +116,7 @@ def _ask(table: pa.Table, answers: pa.Table, min_words: int, parts: int) -> pa.T
     if not table.num_rows:
         return _packed([])
     anchors, _ = _anchors(table, min_words)
-    counts, _ = replies(answers)
+    (counts,), _ = replies(answers)
     again = anchors[counts > 1]
     keys, docs = [], []
     for i, own, windows in _rows(table, min_words):
@@ -125,8 +125,7 @@ def _ask(table: pa.Table, answers: pa.Table, min_words: int, parts: int) -> pa.T
         keys.append(held)
         docs.append(np.full(len(held), i, np.int64))
     key, low, step = _two_least(_joined(keys, np.uint64), _joined(docs, np.int64))
-    short = (key >> np.uint64(32)).astype(np.float64) / 2**32 * parts
-    cuts = np.searchsorted(short.astype(np.int64), np.arange(parts + 1))
+    cuts = cuts_of(key, parts)
     bucket = table.column("bucket")[0].as_py()
     return _packed([(bucket, p, key[a:b], low[a:b], step[a:b]) for p, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])) if b > a])
 
@@ -184,11 +183,12 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     within one document alone is not reported, nor are null ids, null or short texts.  Repeated rows
     of one id are the same document.  An empty table gives no rows.
     """
-    parts = 2 * shuffle_partitions(docs.sparkSession)
+    parts = bucket_count(docs, text_bytes(docs))
     rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     # By id alone: the rows of one document share a bucket, and a bucket's documents are its own.
     bucketed = rows.withColumn("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(parts)).cast("int"))
-    counted = count_keys(bucketed, lambda table: _anchors(table, min_words))
+    asking = bucketed.groupBy("bucket").applyInArrow(lambda t: requests(t.column("bucket")[0].as_py(), [_anchors(t, min_words)], parts), REQUEST)
+    counted = count_keys(asking, parts)
     asked = bucketed.groupBy("bucket").cogroup(counted.groupBy("bucket")).applyInArrow(lambda t, a: _ask(t, a, min_words, parts), HELD)
     answered = asked.groupBy("part").applyInArrow(_answer, HELD)
     return bucketed.groupBy("bucket").cogroup(answered.groupBy("bucket")).applyInArrow(lambda t, a: _spans(t, a, min_words), SPAN)

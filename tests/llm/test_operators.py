@@ -209,7 +209,7 @@ def test_lm_scores(docs, empty, texts):
         low = (uni[w] - discount) / n if uni[w] else discount * v / n
         return (bi[h, w] + mu * low) / (uni[h] + mu) if uni[h] else low
 
-    got = {r.doc_id: r for r in lm_score.score_documents(docs).collect()}
+    got = {r.doc_id: r for r in lm_score.score_documents(docs, order=2).collect()}
     assert len(got) == len(texts)
     for i, t in tokens.items():
         r = got[i]
