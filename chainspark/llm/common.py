@@ -170,7 +170,7 @@ def slices(table: pa.Table | pa.RecordBatch, column: str, most: int = 1 << 21) -
 
 # ------------------------------------------------------------- keyed counting
 
-BUCKET_BYTES = 8 << 20
+BUCKET_BYTES = 6 << 20
 
 
 def text_bytes(docs: DataFrame) -> int:
@@ -178,8 +178,8 @@ def text_bytes(docs: DataFrame) -> int:
 
 
 def bucket_count(docs: DataFrame, weight: int) -> int:
-    """Buckets of about ``BUCKET_BYTES`` of text, at least two a shuffle partition."""
-    return max(2 * shuffle_partitions(docs.sparkSession), -(-weight // BUCKET_BYTES))
+    """Buckets of about ``BUCKET_BYTES`` of text, at least one a shuffle partition."""
+    return max(shuffle_partitions(docs.sparkSession), -(-weight // BUCKET_BYTES))
 
 
 def in_buckets(docs: DataFrame, buckets: int) -> DataFrame:
