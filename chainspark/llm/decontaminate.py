@@ -1,18 +1,17 @@
 """Benchmark decontamination: SimHash windows, multi-index Hamming blocks, exact verification.
 
-A document is read in windows the size of a benchmark item.  Verification asks for a weighted
-shingle similarity of 0.8, so a window that shares no shingle with any item cannot pass; only
-windows laid so that a shared shingle stands where the item has it are fingerprinted.  The
-64-bit fingerprints are looked up in an index of eight 8-bit blocks: two fingerprints within
-``RADIUS`` agree in some block up to ``RADIUS // 8`` bits, so looking up all such neighbours of
-every block finds every item within the radius.  Survivors are compared exactly.
+A document is read in windows the size of each benchmark item, at every position.  A window must
+hold four fifths of its shingles from the benchmark to reach a similarity of 0.8, so others are
+passed over by counting alone; the rest get a 64-bit fingerprint from running sums of their shingles' votes.
+Fingerprints are looked up in an index of eight 8-bit blocks: two fingerprints within ``RADIUS``
+agree in some block up to ``RADIUS // 8`` bits, so looking up all such neighbours of every block
+finds every item within the radius, whatever the item.  Survivors are compared exactly.
 
 Items stay in bounded blocks (``BLOCK_CHARS`` of text each) that meet all documents in turn.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,11 +19,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chainspark.llm.common import SHINGLE, SIMILARITY_PERCENT, Words, documents, shingle_hashes, slices
+from chainspark.llm.common import SHINGLE, SIMILARITY_PERCENT, Words, distinct_counts, documents, fresh, shingle_hashes, slices
 
 RADIUS = 18
 BLOCKS = 8
 BLOCK_CHARS = 4_000_000
+STRETCH = 1 << 16
 FOUND = "doc_id long, item_id long, start_word long, end_word long, similarity double"
 
 _BITS = np.array([bin(x).count("1") for x in range(256)], np.uint8)
@@ -58,6 +58,27 @@ class HammingIndex:
         return some[_BITS[self.prints[some] ^ fingerprint].sum(axis=1) <= self.radius]
 
 
+def votes_of(shingles: np.ndarray) -> np.ndarray:
+    """Running sums of the votes of shingles on each of the 64 bits, from zero."""
+    bits = np.unpackbits(shingles.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
+    return np.concatenate([np.zeros((1, 64), np.int32), np.cumsum(bits, axis=0, dtype=np.int32)])
+
+
+def row_shingles(words: Words) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles of all rows in line, and where each row's start; a row of under five words has one."""
+    n = np.diff(words.first)
+    sizes = np.where(n >= SHINGLE, n - SHINGLE + 1, np.minimum(n, 1))
+    ends = np.cumsum(sizes)
+    out = np.zeros(int(ends[-1]) if len(ends) else 0, np.uint64)
+    if len(words.hashes) >= SHINGLE:
+        whole = shingle_hashes(words.hashes)
+        inside = np.arange(len(whole)) + SHINGLE <= words.first[1:][np.searchsorted(words.first[1:], np.arange(len(whole)), side="right")]
+        out[np.repeat(n >= SHINGLE, sizes)] = whole[inside]
+    for r in np.flatnonzero((n > 0) & (n < SHINGLE)):
+        out[ends[r] - 1] = shingle_hashes(words.hashes[words.first[r] : words.first[r + 1]])[0]
+    return out, np.concatenate([[0], ends]).astype(np.int64)
+
+
 class Items:
     """One block of benchmark items, ready to meet texts."""
 
@@ -65,66 +86,90 @@ class Items:
         words = Words(pa.array(texts, pa.string()))
         runs = [(i, words.hashes[a:b]) for i, a, b in zip(ids, words.first[:-1], words.first[1:]) if b > a]
         self.ids = [i for i, _ in runs]
-        self.words = np.array([len(w) for _, w in runs], np.int64)
         shingles = [shingle_hashes(w) for _, w in runs]
-        self.counts = [Counter(s.tolist()) for s in shingles]
+        self.sizes = sorted({len(s) for s in shingles})
+        self.bags = [distinct_counts(s) for s in shingles]
+        self.totals = np.array([len(s) for s in shingles], np.int64)
         flat = np.concatenate(shingles) if shingles else np.zeros(0, np.uint64)
         heads = np.cumsum([0, *map(len, shingles)])[:-1].astype(np.int64)
         self.index = HammingIndex(simhash(flat, heads), radius) if shingles else None
-        # Each distinct shingle of an item, where it first stands there.
-        posts = sorted({(h, j, s.tolist().index(h)) for j, s in enumerate(shingles) for h in set(s.tolist())})
-        self.keys, self.lead = np.unique(np.array([p[0] for p in posts], np.uint64), return_index=True)
-        self.lead = np.concatenate([self.lead, [len(posts)]]).astype(np.int64)
-        self.item = np.array([p[1] for p in posts], np.int64)
-        self.offset = np.array([p[2] for p in posts], np.int64)
+        self.known = np.unique(flat)
         self.gate = np.zeros(1 << 16, bool)
-        self.gate[(self.keys >> np.uint64(48)).astype(np.int64)] = True
+        self.gate[(self.known >> np.uint64(48)).astype(np.int64)] = True
+
+    def of_benchmark(self, shingles: np.ndarray) -> np.ndarray:
+        """Which shingles stand in any item."""
+        out = self.gate[(shingles >> np.uint64(48)).astype(np.int64)]
+        maybe = np.flatnonzero(out)
+        at = np.minimum(np.searchsorted(self.known, shingles[maybe]), len(self.known) - 1)
+        out[maybe] = self.known[at] == shingles[maybe]
+        return out
+
+    def windows(self, held: np.ndarray, first: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Row, start and end of the windows of every item's size that hold enough benchmark shingles.
+
+        A row shorter than an item is one window.
+        """
+        total = np.concatenate([[0], np.cumsum(held)])
+        some = np.flatnonzero(total[first[1:]] > total[first[:-1]])
+        out = []
+        for size in self.sizes:
+            # Windows that reach a benchmark shingle, within their row.
+            whole = some[first[some + 1] - first[some] <= size]
+            begin, end, row = first[whole], first[whole + 1], whole
+            longer = some[first[some + 1] - first[some] > size]
+            lanes = first[longer + 1] - first[longer] - size + 1
+            starts = np.repeat(first[longer] - np.cumsum(lanes) + lanes, lanes) + np.arange(lanes.sum())
+            begin, row = np.concatenate([begin, starts]), np.concatenate([row, np.repeat(longer, lanes)])
+            end = np.concatenate([end, starts + size])
+            enough = 100 * (total[end] - total[begin]) >= percent * np.maximum(size, end - begin)
+            out.append(np.stack([row[enough], begin[enough], end[enough]]))
+        return tuple(np.unique(np.concatenate(out, axis=1), axis=1)) if out else (np.zeros(0, np.int64),) * 3
+
+    def similarity(self, window: tuple[np.ndarray, np.ndarray], size: int, item: int) -> tuple[int, int]:
+        """Shared and united occurrences of a window's and an item's shingles."""
+        (keys, counts), (other, others) = window, self.bags[item]
+        at = np.minimum(np.searchsorted(keys, other), len(keys) - 1)
+        common = int(np.where(keys[at] == other, np.minimum(counts[at], others), 0).sum())
+        return common, size + int(self.totals[item]) - common
 
     def meet(self, column: pa.Array, percent: int) -> Iterator[tuple[int, int, int, int, float]]:
         """``row, item_id, start, end, similarity`` of the best window of each row and item."""
+        if self.index is None:
+            return
         words = Words(column)
-        n = len(words.hashes)
-        if not n or self.index is None:
+        shingles, first = row_shingles(words)
+        if not len(shingles):
             return
-        row = words.row_of()
-        left = words.first[row + 1] - np.arange(n)
-        if n >= SHINGLE:
-            whole = np.concatenate([shingle_hashes(words.hashes), np.zeros(SHINGLE - 1, np.uint64)])
-        else:
-            whole = np.zeros(n, np.uint64)
-        whole[left < SHINGLE] = 0
-        for r in np.flatnonzero((np.diff(words.first) < SHINGLE) & (np.diff(words.first) > 0)):
-            whole[words.first[r]] = shingle_hashes(words.hashes[words.first[r] : words.first[r + 1]])[0]
-        hit = np.flatnonzero(self.gate[(whole >> np.uint64(48)).astype(np.int64)])
-        at = np.minimum(np.searchsorted(self.keys, whole[hit]), len(self.keys) - 1)
-        same = self.keys[at] == whole[hit]
-        hit, at = hit[same], at[same]
-        if not len(hit):
+        held = self.of_benchmark(shingles)
+        if not held.any():
             return
-        # Lay a window for every item that has the shingle, clipped to the row.
-        fan = self.lead[at + 1] - self.lead[at]
-        post = np.repeat(self.lead[at], fan) + np.arange(fan.sum()) - np.repeat(np.cumsum(fan) - fan, fan)
-        spot = np.repeat(hit, fan)
-        begin = np.maximum(spot - self.offset[post], words.first[row[spot]])
-        end = np.minimum(spot - self.offset[post] + self.words[self.item[post]], words.first[row[spot] + 1])
-        windows = np.unique(np.stack([row[spot], begin, end], axis=1), axis=0)
+        row, begin, end = self.windows(held, first, percent)
         best: dict[tuple[int, int], tuple[float, int, int]] = {}
-        for chunk in np.array_split(windows, -(-len(windows) // 2000)):
-            sets = [whole[a : max(a + 1, b - SHINGLE + 1)] for _, a, b in chunk]
-            prints = simhash(np.concatenate(sets), np.cumsum([0, *map(len, sets)])[:-1].astype(np.int64))
-            for (r, a, b), s, p in zip(chunk.tolist(), sets, prints):
+        # Running sums are made for windows that hang together, a bounded stretch at a time.
+        far = np.maximum.accumulate(end)
+        apart = (row[1:] != row[:-1]) | (begin[1:] >= far[:-1]) | (begin[1:] // STRETCH != begin[:-1] // STRETCH)
+        heads = np.flatnonzero(np.concatenate([[True], apart])) if len(row) else row
+        for a, b in zip(heads, [*heads[1:], len(row)]):
+            r, base = int(row[a]), int(begin[a])
+            own = shingles[base : int(end[a:b].max())]
+            votes = votes_of(own)
+            begins, ends = begin[a:b] - base, end[a:b] - base
+            prints = np.packbits(2 * (votes[ends] - votes[begins]) > (ends - begins)[:, None], axis=1)
+            base -= int(first[r])
+            for x, y, p in zip(begins.tolist(), ends.tolist(), prints):
                 found = self.index.find(p)
                 if len(found):
-                    own = Counter(s.tolist())
+                    bag = distinct_counts(own[x:y])
                     for j in found.tolist():
-                        common = (own & self.counts[j]).total()
-                        union = own.total() + self.counts[j].total() - common
+                        common, union = self.similarity(bag, y - x, j)
                         if 100 * common >= percent * union:
-                            here = (common / union, -a, -b)
+                            here = (common / union, -x - base, -y - base)
                             if here > best.get((r, j), (0.0, 0, 0)):
                                 best[r, j] = here
-        for (r, j), (similarity, a, b) in sorted(best.items()):
-            yield r, self.ids[j], -a - int(words.first[r]), -b - int(words.first[r]), similarity
+        n = np.diff(words.first)
+        for (r, j), (similarity, x, y) in sorted(best.items()):
+            yield r, self.ids[j], -x, min(-y + SHINGLE - 1, int(n[r])), similarity
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, percent: int = SIMILARITY_PERCENT, radius: int = RADIUS, block_chars: int = BLOCK_CHARS) -> DataFrame:
@@ -160,9 +205,13 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, percent: int = SIMILARITY_
 
 
 def drop_leaked(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``docs`` without those that hold a benchmark item, columns unchanged."""
-    leaked = find_leaks(docs, benchmark).select(F.col("doc_id").alias("_leaked")).distinct()
-    return docs.join(leaked, F.col("doc_id") == F.col("_leaked"), "left_anti")
+    """``docs`` without those that hold a benchmark item, columns unchanged.
+
+    Rows fall by id, so of rows that share an id all fall if one leaks; rows without an id stay.
+    """
+    name = fresh(docs.columns, "of_id")
+    leaked = find_leaks(docs, benchmark).select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(leaked, F.col("doc_id") == F.col(name), "left_anti")
 
 
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
