@@ -1,7 +1,7 @@
 """Quality classifier by co-training two views of a document.
 
-The text view sees hashed byte pairs of the content; the metadata view sees language, source,
-size and page layout.  Each is a logistic model fitted on a bounded sample of labelled rows.
+The text view sees hashed byte pairs and the layout of the content; the metadata view sees the
+page's language, source and stated size, and nothing of the text.  Each is a logistic model fitted on a bounded sample of labelled rows.
 Over several rounds each view hands the other its most confident answers on an unlabelled
 pool as pseudo-labels.  Both are then calibrated on labelled rows kept aside, and the mean of
 their calibrated log-odds scores every document.
@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chainspark.llm.common import Words, documents, slices, utf8_buffers
+from chainspark.llm.common import Words, documents, fresh, slices, utf8_buffers
 
 MAX_LABELLED = 8_000
 MAX_POOL = 8_000
@@ -29,11 +29,14 @@ THRESHOLD = 0.5
 
 PAIRS = 256
 _FOLD = np.random.default_rng(11).integers(0, PAIRS, 1 << 16).astype(np.int64)
-FIGURES, LANGS, SOURCES = 17, 8, 16
+FIGURES, LANGS, SOURCES = 15, 8, 32
+#: Stated sizes below which a document is short, in grades.
+GRADES = (20, 50, 100, 200, 400, 800, 1600)
+METADATA = 3 + len(GRADES) + LANGS + SOURCES
 SCORED = "doc_id long, p_text double, p_metadata double, score double, keep boolean"
 
 
-def text_view(column: pa.Array) -> np.ndarray:
+def pair_shares(column: pa.Array) -> np.ndarray:
     """Square roots of the shares of hashed byte pairs of each text."""
     raw, offsets = utf8_buffers(column)
     rows = len(offsets) - 1
@@ -46,10 +49,10 @@ def text_view(column: pa.Array) -> np.ndarray:
     return np.sqrt(counts / np.maximum(counts.sum(axis=1, keepdims=True), 1))
 
 
-def metadata_view(batch: pa.RecordBatch) -> np.ndarray:
-    """Language, source, size and layout of each document."""
-    raw, offsets = utf8_buffers(batch.column("text"))
-    words = Words(batch.column("text"))
+def layout(column: pa.Array) -> np.ndarray:
+    """Words, lines, and shares of kinds of characters of each text."""
+    raw, offsets = utf8_buffers(column)
+    words = Words(column)
     size = np.diff(offsets)
 
     def count(mask: np.ndarray) -> np.ndarray:
@@ -64,25 +67,38 @@ def metadata_view(batch: pa.RecordBatch) -> np.ndarray:
     follows[1:] = (words.hashes[1:] == words.hashes[:-1]) & (row[1:] == row[:-1])
     repeats = np.bincount(row[follows], minlength=len(n))
     order = np.lexsort((words.hashes, row))
-    fresh = np.ones(len(row), bool)
-    fresh[1:] = (words.hashes[order][1:] != words.hashes[order][:-1]) | (row[order][1:] != row[order][:-1])
-    distinct = np.bincount(row[order][fresh], minlength=len(n))
+    new = np.ones(len(row), bool)
+    new[1:] = (words.hashes[order][1:] != words.hashes[order][:-1]) | (row[order][1:] != row[order][:-1])
+    distinct = np.bincount(row[order][new], minlength=len(n))
     lines = count(raw == 10) + 1
-    told = np.array([x if x is not None else s for x, s in zip(batch.column("n_chars").to_pylist(), size)], np.float64)
     per = lambda x, of: x / np.maximum(of, 1)
     figures = [
-        np.log1p(np.maximum(told, 0)), np.log1p(n), np.log1p(lines), n == 0, n < 5, n < 20, told < 50,
+        np.log1p(n), np.log1p(lines), n == 0, n < 5, n < 20,
         per(count(upper), count(letter)), per(count(letter), size), per(count((raw >= 48) & (raw <= 57)), size),
         per(count(raw >= 128), size), per(count(raw == 32), size), per(size, n), per(n, lines), per(repeats, n), per(distinct, n),
         per(count((raw > 32) & (raw < 48) | (raw > 57) & (raw < 65) | (raw > 90) & (raw < 97) | (raw > 122) & (raw < 127)), size),
     ]
+    return np.column_stack(figures).astype(np.float64)
+
+
+def text_view(column: pa.Array) -> np.ndarray:
+    return np.hstack([pair_shares(column), layout(column)])
+
+
+def metadata_view(batch: pa.RecordBatch) -> np.ndarray:
+    """Language, source and stated size of each document; a size not stated is a figure of its own."""
 
     def one_hot(name: str, width: int) -> np.ndarray:
         out = np.zeros((batch.num_rows, width))
         out[np.arange(batch.num_rows), [0 if x is None else 1 + crc32(x.encode()) % (width - 1) for x in batch.column(name).to_pylist()]] = 1
         return out
 
-    return np.hstack([np.column_stack(figures).astype(np.float64), one_hot("lang", LANGS), one_hot("source", SOURCES)])
+    stated = batch.column("n_chars").to_pylist()
+    told = np.maximum(np.array([x or 0 for x in stated], np.float64), 0)
+    missing = np.array([x is None for x in stated])
+    grades = [(told < top) & ~missing for top in GRADES]
+    size = np.column_stack([np.log1p(told), np.log1p(told) ** 2, missing, *grades]).astype(np.float64)
+    return np.hstack([size, one_hot("lang", LANGS), one_hot("source", SOURCES)])
 
 
 @dataclass
@@ -169,7 +185,8 @@ def _inputs(docs: DataFrame) -> DataFrame:
 
 
 def _views(rows: DataFrame) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Both views of a bounded table, on the driver, with its last column."""
+    """Both views of a bounded table, on the driver, with its last column.  Of a repeated id one row counts."""
+    rows = rows.groupBy("doc_id").agg(F.min(F.struct("text", "lang", "source", "n_chars", "quality")).alias("row")).select("doc_id", "row.*")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -179,15 +196,15 @@ def _views(rows: DataFrame) -> tuple[np.ndarray, list[np.ndarray]]:
                 yield pa.RecordBatch.from_arrays([piece.column("doc_id"), piece.column("quality"), pa.array(raw, pa.binary())], names=["doc_id", "quality", "views"])
 
     got = sorted(rows.mapInArrow(run, "doc_id long, quality int, views binary").collect(), key=lambda r: (r[0] * 0x9E3779B1 % 2**32, r[0]))
-    x = np.array([np.frombuffer(r[2], np.float32) for r in got], np.float64).reshape(len(got), PAIRS + FIGURES + LANGS + SOURCES)
-    return np.array([r[1] for r in got], np.float64), [x[:, :PAIRS], x[:, PAIRS:]]
+    x = np.array([np.frombuffer(r[2], np.float32) for r in got], np.float64).reshape(len(got), PAIRS + FIGURES + METADATA)
+    return np.array([r[1] for r in got], np.float64), [x[:, : PAIRS + FIGURES], x[:, PAIRS + FIGURES :]]
 
 
 def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, max_pool: int = MAX_POOL) -> list[Logistic] | None:
     """Models of both views, or None where the labels lack a class.
 
     At most ``max_labelled`` labelled and ``max_pool`` other rows are fitted, drawn by a hash of
-    the id over the whole tables.
+    the id over the whole tables.  Of conflicting labels of one id the lower counts.
     """
     luck = F.xxhash64("doc_id", F.lit(3))
     given = labels.where("doc_id is not null and quality in (0, 1)").groupBy("doc_id").agg(F.min("quality").cast("int").alias("quality"))
@@ -196,7 +213,7 @@ def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED,
     y, views = _views(rows.join(F.broadcast(known), "doc_id"))
     if len(np.unique(y)) < 2:
         return None
-    others = rows.select("doc_id").join(F.broadcast(known.select("doc_id")), "doc_id", "left_anti").orderBy(luck, "doc_id").limit(max_pool)
+    others = rows.select("doc_id").distinct().join(F.broadcast(known.select("doc_id")), "doc_id", "left_anti").orderBy(luck, "doc_id").limit(max_pool)
     _, pool = _views(rows.join(F.broadcast(others), "doc_id").withColumn("quality", F.lit(-1)))
     if not len(pool[0]):
         pool = [v[:0] for v in views]
@@ -224,17 +241,22 @@ def score(docs: DataFrame, models: list[Logistic] | None, threshold: float = THR
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Train on ``labels`` (``doc_id, quality``) and score every row of ``docs``.
 
-    Null texts count as empty, null language and source are a category of their own, a null
-    ``n_chars`` is taken from the text.  Repeated rows are scored alike.  Empty documents give
-    no rows; labels that lack a class leave every document kept and unscored.
+    Null texts count as empty; a null language, source or ``n_chars`` is a category of its own.
+    Null ids and repeated rows are scored alike.  Empty documents give no rows; labels that lack
+    a class leave every document kept and unscored.
     """
     return score(docs, train(docs, labels))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``docs`` without those the classifier rejects, columns unchanged."""
-    rejected = classify(docs, labels).where("not keep").select(F.col("doc_id").alias("_rejected"))
-    return docs.join(rejected, F.col("doc_id") == F.col("_rejected"), "left_anti")
+    """``docs`` without those the classifier rejects, columns unchanged.
+
+    Rows fall by id, so of rows that share an id all fall if one is rejected; of rows without an
+    id, all stay.
+    """
+    name = fresh(docs.columns, "of_id")
+    rejected = classify(docs, labels).where("not keep").select(F.col("doc_id").alias(name))
+    return docs.join(rejected, F.col("doc_id") == F.col(name), "left_anti")
 
 
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
