@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chainspark.llm.common import documents, durable
+from chainspark.llm.common import documents, durable, fresh
 
 SUPPORT = 0.001
 
@@ -42,16 +42,18 @@ def drop_copies(docs: DataFrame, support: float = SUPPORT) -> DataFrame:
     Rows fall by id and text together, so a null or repeated id loses only its copies.  Of rows
     equal in both the smallest by the columns in order stays.
     """
+    of_id, of_text, digest, stays = (fresh(docs.columns, n) for n in ("of_id", "of_text", "of_digest", "stays"))
     counted = digest_groups(docs, support).groupBy("doc_id", "digest").agg(F.first("kept").alias("kept"), F.count(F.lit(1)).alias("n"))
-    marked = durable(counted.where(~F.col("kept") | (F.col("n") > 1)).select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest"), F.col("kept").alias("_kept")))
-    texts = docs.withColumn("_of", F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256)))
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_of") == F.col("_digest"))
+    marked = counted.where(~F.col("kept") | (F.col("n") > 1))
+    marked = durable(marked.select(F.col("doc_id").alias(of_id), F.col("digest").alias(digest), F.col("kept").alias(stays)))
+    texts = docs.withColumn(of_text, F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256)))
+    same = F.col("doc_id").eqNullSafe(F.col(of_id)) & (F.col(of_text) == F.col(digest))
     single = texts.join(marked, same, "left_anti").select(*docs.columns)
-    repeated = marked.where("_kept")
+    repeated = marked.where(F.col(stays))
     if repeated.isEmpty():
         return single
     # Minima combine before the shuffle, so a row that stands very often costs one row a task.
-    several = texts.join(repeated, same, "left_semi").groupBy("doc_id", "_of").agg(F.min(F.struct(*docs.columns)).alias("row"))
+    several = texts.join(repeated, same, "left_semi").groupBy("doc_id", of_text).agg(F.min(F.struct(*docs.columns)).alias("row"))
     return single.unionByName(several.select("row.*"))
 
 
