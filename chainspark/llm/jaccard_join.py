@@ -234,7 +234,7 @@ def voronoi_cells(members: DataFrame, sizes: DataFrame, percent: int, cap: int,
     met = homes.select("cell", "doc_id", F.inline("near")).join(reach, ["cell", "pivot"]).where(F.col("d") <= F.col("reach") + radius)
     inside = met.select("cell", "doc_id", F.xxhash64("cell", "pivot", F.lit(turn)).alias("to"))
     inside = inside.unionByName(homes.where("home is null").select("cell", "doc_id", F.xxhash64("cell", F.lit("rest"), F.lit(turn)).alias("to")))
-    cut = inside.join(sized.select("cell", "doc_id", "n_shingles", "shingles", F.col("weight").alias("parent")), ["cell", "doc_id"])
+    cut = inside.join(sized.select("cell", "doc_id", "n_shingles", F.col("weight").alias("parent")), ["cell", "doc_id"])
     return cut.drop("cell").withColumnRenamed("to", "cell"), homes.select(F.col("doc_id").alias("a"), F.explode("linked").alias("b"))
 
 
@@ -265,34 +265,35 @@ def _by_blocks(members: DataFrame, sizes: DataFrame, links: DataFrame, percent:
         links = durable(links.union(found))
 
 
-def cell_links(members: DataFrame, percent: int, cap: int, pivots: int) -> DataFrame:
-    """Links that join the components of all cells (``cell, doc_id, n_shingles, shingles``)."""
+def cell_links(cells: DataFrame, sets: DataFrame, percent: int, cap: int, pivots: int) -> DataFrame:
+    """Links that join the components of all cells (``cell, doc_id, n_shingles``), whose shingles ``sets`` has by ``doc_id``."""
     parts, links, stuck = [], [], []
-    members, turn = members.withColumn("parent", F.lit(None).cast("long")), 0
+    cells, turn = cells.withColumn("parent", F.lit(None).cast("long")), 0
     while True:
-        members = durable(members)
-        sizes = members.groupBy("cell").agg(F.count(F.lit(1)).alias("docs"), F.sum("n_shingles").alias("weight"), F.max("parent").alias("parent"))
+        cells = durable(cells)
+        sizes = cells.groupBy("cell").agg(F.count(F.lit(1)).alias("docs"), F.sum("n_shingles").alias("weight"), F.max("parent").alias("parent"))
         large = durable(sizes.where((F.col("weight") > cap) & (F.col("docs") > 1)))
-        members = members.drop("parent")
-        parts.append(members.join(large, "cell", "left_anti"))
+        cells = cells.drop("parent")
         if large.isEmpty():
+            parts.append(cells)
             break
+        parts.append(cells.join(large, "cell", "left_anti"))
         whole = large.where(F.col("weight") > 0.8 * F.col("parent"))
-        stuck.append((members.join(whole, "cell", "left_semi"), whole))
+        stuck.append((cells.join(whole, "cell", "left_semi"), whole))
         shrinks = large.join(whole, "cell", "left_anti")
         turn += 1
-        members, met = voronoi_cells(members.join(shrinks, "cell", "left_semi"), shrinks, percent, cap, pivots, turn)
+        cells, met = voronoi_cells(cells.join(shrinks, "cell", "left_semi").join(sets, "doc_id"), shrinks, percent, cap, pivots, turn)
         links.append(met)
     small = parts[0]
     for more in parts[1:]:
         small = small.unionByName(more)
-    out = small.groupBy("cell").applyInArrow(lambda t: _small(t, percent), "a long, b long").where("a <> b")
+    out = small.join(sets, "doc_id").groupBy("cell").applyInArrow(lambda t: _small(t, percent), "a long, b long").where("a <> b")
     for met in links:
         out = out.union(met)
     out = durable(out)
     for rows, sizes in stuck:
         if not sizes.isEmpty():
-            out = _by_blocks(rows, sizes, out, percent, cap, pivots)
+            out = _by_blocks(rows.join(sets, "doc_id"), sizes, out, percent, cap, pivots)
     return out
 
 
@@ -314,7 +315,7 @@ def jaccard_components(docs: DataFrame, percent: int = SIMILARITY_PERCENT, cap:
     local = durable(salted.groupBy("key", "salt").agg(F.min("doc_id").alias("pivot"), F.count(F.lit(1)).alias("n")))
     pivot = local.groupBy("key").agg(F.min("pivot").alias("cell"), F.sum("n").alias("n")).where("n > 1")
     cells = salted.join(local.select("key", "salt").join(pivot.select("key", "cell"), "key"), ["key", "salt"]).select("doc_id", "cell").distinct()
-    links = cell_links(reps.select("doc_id", "n_shingles", "shingles").join(cells, "doc_id"), percent, cap, pivots)
+    links = cell_links(cells.join(reps.select("doc_id", "n_shingles"), "doc_id"), reps.select("doc_id", "shingles"), percent, cap, pivots)
     component = connected_components(links).withColumnRenamed("v", "rep")
     by_class = classes.join(component, "rep", "left").select("class", F.coalesce("component", "rep").alias("component_id"))
     by_class = by_class.withColumnRenamed("class", "of_class")
