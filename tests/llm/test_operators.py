@@ -137,6 +137,9 @@ def test_decontamination(spark, docs, empty, texts):
     def shingles(w):
         return Counter(tuple(w[k : k + 5]) for k in range(len(w) - 4)) if len(w) >= 5 else Counter([tuple(w)])
 
+    def shingles_in_line(w):
+        return [tuple(w[k : k + 5]) for k in range(len(w) - 4)] if len(w) >= 5 else [tuple(w)]
+
     want = set()
     for i, t in texts.items():
         w = words_of(t)
@@ -144,7 +147,11 @@ def test_decontamination(spark, docs, empty, texts):
             b = words_of(text)
             if not b or not w:
                 continue
+            own = shingles(b)
+            near = [x in own for x in shingles_in_line(w)]
             for at in range(max(1, len(w) - len(b) + 1)):
+                if not any(near[at : at + len(b)]):
+                    continue  # nothing shared
                 x, y = shingles(w[at : at + len(b)] if len(b) >= 5 else w), shingles(b)
                 if (x & y).total() >= 0.8 * (x | y).total():
                     want.add((i, item))
@@ -258,8 +265,8 @@ def test_character_map_takes_the_longest_prefix():
 
 def test_secret_scan(docs, empty, texts):
     assign = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
-    ratios = secret_scan.train(docs.where("doc_id <> 96"))
-    got = {r.doc_id: r for r in secret_scan.scan(docs, ratios, min_ratio=15.0).collect()}
+    ratios = secret_scan.train(secret_scan.labelled_samples(docs.where("doc_id <> 96")))
+    got = {r.doc_id: r for r in secret_scan.scan(docs, ratios).collect()}
     for i, t in texts.items():
         t = t or ""
         want = [(m.start(), 0, m.end()) for m in assign.finditer(t) if len(m[2]) >= 6]
