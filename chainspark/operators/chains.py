@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chainspark.config import DEFAULT, Settings
 from chainspark.dims import SEVERITIES, severity_rank, suggestions, tactic_index, tactic_risk, tactic_stage, tactics
 from chainspark.functions.scalars import basename, filled, text
 from chainspark.operators.components import components
-from chainspark.operators.correlate import GROUPS
+from chainspark.operators.correlate import GROUPS, LABELS, SIGNALS, as_pairs, pair_details, score_pairs
+from chainspark.operators.entities import event_entities
 
 
 def chain_members(edges: DataFrame, events: DataFrame, cfg: Settings = DEFAULT) -> DataFrame:
@@ -40,31 +41,78 @@ def confidence(internal: DataFrame) -> DataFrame:
     return grouped.select("chain", "links", F.bround(F.least(F.lit(100.0), total), 1).alias("confidence"), *shown)
 
 
+def _in_order(found: DataFrame, value: str, order: list, name: str) -> DataFrame:
+    """Per chain the distinct values in order of their first place."""
+    first = found.where(F.col(value).isNotNull()).groupBy("chain", value).agg(F.min(F.struct(*order)).alias("place"))
+    listed = F.sort_array(F.collect_list(F.struct("place", value)))
+    return first.groupBy("chain").agg(F.transform(listed, lambda x: x[value]).alias(name))
+
+
+def confidence_reasons(internal: DataFrame, events: DataFrame) -> DataFrame:
+    """``chain, group, label, points, event_a, event_b, explanation``: the groups that make up a chain's confidence.
+
+    Points are means over all internal links; the explanation is what the strongest link with
+    points in the group says.
+    """
+    links = internal.groupBy("chain").agg(F.count(F.lit(1)).alias("links"))
+    points = [F.struct(F.lit(g).alias("group"), sum((F.col(s) for s in signals[1:]), F.col(signals[0])).alias("points")) for g, signals in GROUPS.items()]
+    spread = internal.select("chain", "event_a", "event_b", "total", F.inline(F.array(*points))).where("points > 0")
+    best = F.min(F.struct((-F.col("total")).alias("down"), "event_a", "event_b")).alias("best")
+    grouped = spread.groupBy("chain", "group").agg(F.sum("points").alias("points"), best).join(links, "chain")
+    mean = F.col("points") / F.col("links")
+    kept = grouped.where(mean >= 0.5).select("chain", "group", F.bround(mean, 1).alias("points"), "best.event_a", "best.event_b")
+    example = score_pairs(as_pairs(kept.select("event_a", "event_b").distinct(), events), keep=("a", "b"))
+    signal_group = F.expr("map(" + ", ".join(f"'{s}', '{g}'" for g, signals in GROUPS.items() for s in signals) + ")")
+    says = pair_details(example).withColumn("group", F.element_at(signal_group, F.col("signal")))
+    order = F.array_position(F.array(*[F.lit(s) for s in SIGNALS]), F.col("signal"))
+    says = says.groupBy("event_a", "event_b", "group").agg(F.min_by("detail", order).alias("explanation"))
+    label = F.element_at(F.expr("map(" + ", ".join(f"'{g}', '{w}'" for g, w in LABELS.items()) + ")"), F.col("group"))
+    return kept.join(says, ["event_a", "event_b", "group"], "left").select("chain", "group", label.alias("label"), "points", "event_a", "event_b", "explanation")
+
+
 def roll_up(members: DataFrame, events: DataFrame, detections: DataFrame) -> DataFrame:
-    """Per chain: span, counts, sorted sets of hosts, users, techniques and tactics, and risk."""
-    rows = members.select("chain", "event_id").join(events, "event_id")
+    """Per chain: span, counts, hosts, users and processes, techniques and tactics, and risk.
+
+    Techniques stand in order of events, those of detections alone after them; tactics in
+    kill-chain order, unknown ones last.
+    """
+    rows = members.select("chain", "event_id", "position").join(events, "event_id")
+    process = F.explode(F.array_distinct(F.array_compact(F.array(filled(F.col("process_name")), filled(F.col("parent_process"))))))
+    processes = rows.select("chain", process.alias("p")).groupBy("chain").agg(F.sort_array(F.collect_set("p")).alias("processes"))
     own = rows.groupBy("chain").agg(
-        F.min("sec").alias("start_sec"), F.max("sec").alias("end_sec"), F.count(F.lit(1)).alias("events"),
-        F.collect_set("host").alias("hosts"), F.collect_set("user").alias("users"),
-        F.collect_set("technique_id").alias("own_techniques"), F.collect_set("tactic").alias("own_tactics"), F.max(severity_rank(F.col("severity"))).alias("own_peak"),
-    )
-    found = members.select("chain", "event_id").join(detections.select("event_id", "technique_id", "tactic", "severity"), "event_id")
-    seen = found.groupBy("chain").agg(F.count(F.lit(1)).alias("detections"), F.collect_set("technique_id").alias("det_techniques"), F.collect_set("tactic").alias("det_tactics"), F.max(severity_rank(F.col("severity"))).alias("det_peak"))
-    both = own.join(seen, "chain", "left")
-    either = lambda a, b: F.sort_array(F.array_union(F.col(a), F.coalesce(F.col(b), F.array().cast("array<string>"))))
-    both = both.select(
-        "chain", "start_sec", "end_sec", "events", F.coalesce("detections", F.lit(0)).cast("long").alias("detections"),
-        F.sort_array("hosts").alias("hosts"), F.sort_array("users").alias("users"),
-        either("own_techniques", "det_techniques").alias("techniques"), either("own_tactics", "det_tactics").alias("tactics"),
+        F.min("sec").alias("start_sec"),
+        F.max("sec").alias("end_sec"),
+        F.count(F.lit(1)).alias("events"),
+        F.sort_array(F.collect_set(filled(F.col("host")))).alias("hosts"),
+        F.sort_array(F.collect_set(filled(F.col("user")))).alias("users"),
+        F.max(severity_rank(F.col("severity"))).alias("own_peak"),
+    )
+    found = members.select("chain", "event_id", "position").join(detections.select("event_id", "rule_ord", "technique_id", "tactic", "severity"), "event_id")
+    seen = found.groupBy("chain").agg(F.count(F.lit(1)).alias("detections"), F.max(severity_rank(F.col("severity"))).alias("det_peak"))
+    both = rows.select("chain", "technique_id", "tactic", F.lit(0).alias("late"), "position", F.lit(0).alias("rule_ord"))
+    both = both.unionByName(found.select("chain", "technique_id", "tactic", F.lit(1).alias("late"), "position", "rule_ord"))
+    techniques = _in_order(both, "technique_id", ["late", "position", "rule_ord"], "techniques")
+    by_stage = F.coalesce(tactic_index(F.col("tactic")), F.lit(99)).alias("idx")
+    known = _in_order(both, "tactic", [by_stage, "tactic"], "tactics")
+    out = own.join(seen, "chain", "left").join(processes, "chain", "left").join(techniques, "chain", "left").join(known, "chain", "left")
+    none = F.array().cast("array<string>")
+    out = out.select(
+        "chain",
+        "start_sec",
+        "end_sec",
+        (F.col("end_sec") - F.col("start_sec")).alias("duration"),
+        "events",
+        F.coalesce("detections", F.lit(0)).cast("long").alias("detections"),
+        *[F.coalesce(c, none).alias(c) for c in ("hosts", "users", "processes", "techniques", "tactics")],
         F.greatest("own_peak", F.coalesce("det_peak", F.lit(0))).alias("peak"),
-    )
+    )
     by_tactic = F.aggregate("tactics", F.lit(0), lambda acc, t: acc + tactic_risk(t))
     peak = F.element_at(F.array(*[F.lit(p) for _, _, p in SEVERITIES]), F.col("peak") + 1)
     breadth = lambda c, step, most: F.when(F.size(c) > 1, F.least(F.lit(most), step * (F.size(c) - 1))).otherwise(0)
     risk = F.least(F.lit(100), peak + by_tactic + breadth("hosts", 4, 10) + breadth("users", 3, 8) + F.least(F.lit(10), F.size("techniques")))
     level = F.when(F.col("risk") >= 90, "CRITICAL").when(F.col("risk") >= 56, "HIGH").when(F.col("risk") >= 30, "MEDIUM").otherwise("LOW")
     stages = F.sort_array(F.array_distinct(F.array_compact(F.transform("tactics", tactic_stage))))
-    return both.withColumn("risk", risk).withColumn("risk_level", level).withColumn("stages", stages)
+    return out.withColumn("risk", risk).withColumn("risk_level", level).withColumn("stages", stages)
 
 
 def verdicts(rolled: DataFrame, conf: DataFrame, cfg: Settings = DEFAULT) -> DataFrame:
@@ -102,7 +150,12 @@ def missing_steps(chains: DataFrame, members: DataFrame, events: DataFrame, top:
     rows = members.join(events.select("event_id", "event_type", "host", "file_path", "command_line", "process_name"), "event_id")
     made = rows.where((F.col("event_type") == "FILE_CREATED") & filled(F.col("file_path")).isNotNull()).select("chain", F.col("position").alias("made_at"), basename(text(F.col("file_path"))).alias("base"), F.col("host").alias("made_host"))
     ran = rows.where(F.col("event_type") == "PROCESS_CREATED").select("chain", "position", "host", text(F.col("command_line")).alias("command"), text(F.col("process_name")).alias("process"))
-    used = made.join(ran, "chain").where((F.col("base") != "") & (F.col("position") > F.col("made_at")) & (F.col("command").contains(F.col("base")) | (F.col("base") == F.col("process"))) & (F.col("made_host").isNull() | F.col("made_host").eqNullSafe(F.col("host"))))
+    # One row a written name: a later run on its host, or anywhere if it was written without a host.
+    made = made.where("base <> ''").groupBy("chain", "base", "made_host").agg(F.min("made_at").alias("made_at"))
+    runs = ran.where("command <> '' or process <> ''").groupBy("chain", "host", "command", "process").agg(F.max("position").alias("position"))
+    named = F.col("command").contains(F.col("base")) | (F.col("base") == F.col("process"))
+    there = F.col("made_host").isNull() | F.col("made_host").eqNullSafe(F.col("host"))
+    used = made.join(runs, "chain").where(named & there & (F.col("position") > F.col("made_at")))
     executed = used.select("chain").distinct().join(seen.select("chain", "confidence", "techniques"), "chain").where(~F.exists("techniques", lambda t: t.startswith("T1204")))
     executed = executed.select("chain", F.lit("MISSING_EXECUTION_STEP").alias("kind"), F.lit("EXECUTION").alias("tactic"), F.lit("T1204.002").alias("technique_id"), F.when(F.col("confidence") >= 50, 61.0).otherwise(50.0).alias("confidence"))
     ranked = Window.partitionBy("chain").orderBy(F.desc("confidence"), F.coalesce(tactic_index(F.col("tactic")), F.lit(99)), "kind")
@@ -129,3 +182,70 @@ def attack_path(members: DataFrame, events: DataFrame, steps: DataFrame) -> Data
     inferred = filled_in.select("chain", "place", F.col("idx").alias("sub"), F.lit("INFERRED").alias("kind"), "tactic", "technique_id", F.lit(None).cast("long").alias("first_sec"))
     stage = F.row_number().over(Window.partitionBy("chain").orderBy("place", "sub"))
     return observed.unionByName(inferred).select("chain", stage.alias("stage"), "kind", "tactic", "technique_id", "first_sec")
+
+
+def chain_entities(members: DataFrame, events: DataFrame) -> DataFrame:
+    """``chain, entity_type, value, label, role, events``: distinct entities of a chain with their first role."""
+    rows = event_entities(events).join(members.select("chain", "event_id", "position"), "event_id")
+    label = F.when(F.col("entity_type") == "PROCESS", F.regexp_replace("value", "^[^:]*:", "")).otherwise(F.col("value"))
+    grouped = rows.groupBy("chain", "entity_type", "value").agg(F.min_by("role", "position").alias("role"), F.count(F.lit(1)).alias("events"))
+    return grouped.withColumn("label", label)
+
+
+def chain_detections(members: DataFrame, detections: DataFrame) -> DataFrame:
+    """Detections of each chain's events, with the event's position."""
+    return members.select("chain", "event_id", "position").join(detections, "event_id")
+
+
+EVIDENCE = ("chain", "kind", "type", "place", "event_id", "severity", "points", "summary")
+
+
+def evidence(members: DataFrame, events: DataFrame, detections: DataFrame, internal: DataFrame, steps: DataFrame, links: int = 6) -> DataFrame:
+    """``EVIDENCE``: detections (highest severity name first), the strongest links, the span, and inferred steps."""
+    null = lambda kind: F.lit(None).cast(kind)
+    by_severity = Window.partitionBy("chain").orderBy(F.desc("severity"), "position", "rule_ord")
+    found = chain_detections(members, detections).select(
+        "chain", F.lit("OBSERVED").alias("kind"), F.lit("DETECTION").alias("type"), F.row_number().over(by_severity).alias("place"),
+        "event_id", "severity", null("double").alias("points"), F.col("title").alias("summary"),
+    )
+    by_total = Window.partitionBy("chain").orderBy(F.desc("total"), "event_a", "event_b")
+    groups = [F.when(sum((F.col(s) for s in signals[1:]), F.col(signals[0])) > 0, F.lit(g)) for g, signals in sorted(GROUPS.items())]
+    words = F.concat(F.lit("linked by "), F.concat_ws(", ", *groups), F.lit(" with "), F.col("total").cast("string"), F.lit(" points"))
+    strongest = internal.withColumn("place", F.row_number().over(by_total)).where(F.col("place") <= links)
+    strongest = strongest.select(
+        "chain", F.lit("OBSERVED").alias("kind"), F.lit("CORRELATION_LINK").alias("type"), "place",
+        F.concat_ws(",", "event_a", "event_b").alias("event_id"), null("string").alias("severity"), F.col("total").cast("double").alias("points"), words.alias("summary"),
+    )
+    rows = members.select("chain", "event_id", "position").join(events.select("event_id", "event_type"), "event_id")
+    ends = rows.groupBy("chain").agg(
+        F.count(F.lit(1)).alias("n"), F.min_by(F.struct("event_id", "event_type"), "position").alias("first"), F.max_by(F.struct("event_id", "event_type"), "position").alias("last")
+    )
+    span = F.concat(F.col("n").cast("string"), F.lit(" events, "), F.col("first.event_type"), F.lit(" to "), F.col("last.event_type"))
+    bounds = ends.select(
+        "chain", F.lit("OBSERVED").alias("kind"), F.lit("TIMELINE_BOUNDS").alias("type"), F.lit(1).alias("place"),
+        F.concat_ws(",", "first.event_id", "last.event_id").alias("event_id"), null("string").alias("severity"), null("double").alias("points"), span.alias("summary"),
+    )
+    by_confidence = Window.partitionBy("chain").orderBy(F.desc("confidence"), "technique_id", "kind")
+    guessed = steps.select(
+        "chain", F.lit("INFERRED").alias("kind"), F.lit("MISSING_STEP").alias("type"), F.row_number().over(by_confidence).alias("place"),
+        null("string").alias("event_id"), null("string").alias("severity"), F.col("confidence").alias("points"),
+        F.concat_ws(" ", "technique_id", F.lit("may be missing in"), "tactic").alias("summary"),
+    )
+    return found.unionByName(strongest).unionByName(bounds).unionByName(guessed)
+
+
+def evidence_counts(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("chain", "kind", "type").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _some(words: str, c: str) -> Column:
+    return F.when(F.size(c) > 0, F.concat(F.lit(words), F.array_join(c, ", ")))
+
+
+def one_line(chains: DataFrame) -> DataFrame:
+    """``chain, summary``: a chain in a sentence."""
+    stamp = lambda c: F.date_format(F.timestamp_seconds(c), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    parts = F.concat_ws("; ", F.concat(F.col("events").cast("string"), F.lit(" events")), _some("hosts ", "hosts"), _some("accounts ", "users"), _some("tactics ", "tactics"))
+    window = F.when(F.col("start_sec").isNotNull(), F.concat(F.lit(" from "), stamp("start_sec"), F.lit(" to "), stamp("end_sec"))).otherwise("")
+    scores = F.format_string(". Confidence %d%%, risk %s (%d of 100).", F.bround("confidence", 0).cast("int"), "risk_level", F.col("risk").cast("int"))
+    return chains.select("chain", F.concat(parts, window, scores).alias("summary"))

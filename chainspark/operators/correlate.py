@@ -1,14 +1,16 @@
-"""Candidate pairs and their scores.
-
-Two events meet where they share an entity key, or within ten minutes when one has no host (any
-other pair scores at most 30 and cannot become an edge).  Each event carries its attributes to
-its keys, and a pair is made only under the smallest key both share, so one shuffle by key
-replaces the distinct and both joins back to the events.
+"""Candidate pairs, their scores and what explains them.
+
+Two events meet where they share an entity key, where one's process is the other's parent, or
+within ten minutes.  Without a cap, a pair that meets by time alone matters only where one event
+has no host: any other scores at most ``time_alone`` and cannot become an edge.  Each event
+carries its attributes to its keys, and a pair is made only under the smallest key both share, so
+one shuffle by key replaces the distinct and both joins back to the events.  With a cap, all
+candidates are ranked before any is scored.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chainspark.config import DEFAULT, Settings
@@ -88,7 +90,17 @@ def near_pairs(events: DataFrame, cfg: Settings = DEFAULT, isolate_by: tuple[str
     return met.select(F.when(forward, F.col("x")).otherwise(F.col("y")).alias("a"), F.when(forward, F.col("y")).otherwise(F.col("x")).alias("b"), *isolate_by)
 
 
+def time_alone(cfg: Settings) -> int:
+    """The most a pair scores that shares no entity and has two different hosts."""
+    return cfg.weights["temporal"] + cfg.weights["attack_progression"]
+
+
 def candidates(events: DataFrame, cfg: Settings = DEFAULT, isolate_by: tuple[str, ...] = ()) -> DataFrame:
+    """Pairs that can become edges, as structs ``a`` and ``b``."""
+    if time_alone(cfg) >= cfg.min_edge_score:
+        if isolate_by:
+            raise ValueError("isolation needs weights under which time alone makes no edge")
+        return as_pairs(all_candidates(events, cfg), events)
     return entity_pairs(events, isolate_by).unionByName(near_pairs(events, cfg, isolate_by))
 
 
@@ -119,7 +131,7 @@ def _depends() -> Column:
 
 
 def score_pairs(pairs: DataFrame, cfg: Settings = DEFAULT, keep: tuple[str, ...] = ()) -> DataFrame:
-    """``event_a, event_b``, points of each signal, ``window`` and ``total`` (integers by default)."""
+    """``keep`` and ``event_a, event_b``, points of each signal, ``window`` and ``total`` (integers by default)."""
     w = cfg.weights
     gap = F.abs(F.col("a.sec") - F.col("b.sec"))
     window = F.when(gap <= cfg.strict_seconds, "STRICT").when(gap <= cfg.normal_seconds, "NORMAL").when(gap <= cfg.broad_seconds, "BROAD")
@@ -155,13 +167,146 @@ def correlate(events: DataFrame, cfg: Settings = DEFAULT, isolate_by: tuple[str,
     return edges_of(score_pairs(candidates(events, cfg, isolate_by), cfg, isolate_by), cfg)
 
 
-def capped(edges_or_scores: DataFrame, cfg: Settings = DEFAULT) -> DataFrame:
-    """Keep a pair while either end ranks it among its first candidates: those within the window, then by id."""
-    from pyspark.sql import Window
-
-    outside = F.col("window").isNull().cast("int")
-    sides = edges_or_scores.select(F.col("event_a").alias("of"), F.col("event_b").alias("other"), "event_a", "event_b", outside.alias("outside"))
-    sides = sides.unionByName(edges_or_scores.select(F.col("event_b").alias("of"), F.col("event_a").alias("other"), "event_a", "event_b", outside.alias("outside")))
+def temporal_pairs(events: DataFrame, cfg: Settings = DEFAULT) -> DataFrame:
+    """``event_a, event_b``: every pair at most ten minutes apart, by a range join over buckets of that width."""
+    width = cfg.broad_seconds
+    timed = events.where("sec is not null").select("event_id", "sec", F.floor(F.col("sec") / width).alias("bucket"))
+    left = timed.select(F.col("event_id").alias("event_a"), F.col("sec").alias("sec_a"), F.explode(F.array("bucket", F.col("bucket") + 1)).alias("bucket"))
+    met = left.join(timed.withColumnsRenamed({"event_id": "event_b", "sec": "sec_b"}), "bucket")
+    after = (F.col("sec_b") > F.col("sec_a")) | ((F.col("sec_b") == F.col("sec_a")) & (F.col("event_b") > F.col("event_a")))
+    return met.where(after & (F.col("sec_b") - F.col("sec_a") <= width)).select("event_a", "event_b")
+
+
+def lineage_pairs(events: DataFrame) -> DataFrame:
+    """``event_a, event_b``: a process and an event whose parent process it is, on one host (or both without)."""
+    host = text(F.col("host")).alias("on_host")
+    child = events.where("parent_process_id is not null").select(F.col("event_id").alias("x"), host, F.col("parent_process_id").alias("pid"))
+    parent = events.where("process_id is not null").select(F.col("event_id").alias("y"), host, F.col("process_id").alias("pid"))
+    met = child.join(parent, ["on_host", "pid"]).where("x <> y")
+    return met.select(F.least("x", "y").alias("event_a"), F.greatest("x", "y").alias("event_b")).distinct()
+
+
+def all_candidates(events: DataFrame, cfg: Settings = DEFAULT) -> DataFrame:
+    """``event_a, event_b`` (smaller id first): every pair that shares a key, a lineage or ten minutes."""
+    shared = entity_pairs(events).select(F.col("a.event_id").alias("event_a"), F.col("b.event_id").alias("event_b"))
+    met = shared.unionByName(temporal_pairs(events, cfg)).unionByName(lineage_pairs(events))
+    return met.select(F.least("event_a", "event_b").alias("event_a"), F.greatest("event_a", "event_b").alias("event_b")).distinct()
+
+
+def cap_candidates(pairs: DataFrame, events: DataFrame, cfg: Settings = DEFAULT) -> DataFrame:
+    """Keep a candidate while either end ranks it among its first: those within ten minutes, then by id."""
+    times = events.select("event_id", "sec")
+    near = lambda side: times.withColumnsRenamed({"event_id": f"event_{side}", "sec": f"sec_{side}"})
+    timed = pairs.join(near("a"), "event_a").join(near("b"), "event_b")
+    outside = F.coalesce((F.abs(F.col("sec_a") - F.col("sec_b")) > cfg.broad_seconds).cast("int"), F.lit(1))
+    ends = F.array(*[F.struct(F.col(f"event_{x}").alias("of"), F.col(f"event_{y}").alias("other")) for x, y in ("ab", "ba")])
+    sides = timed.select("event_a", "event_b", outside.alias("outside"), F.inline(ends))
     rank = F.row_number().over(Window.partitionBy("of").orderBy("outside", "other"))
-    kept = sides.withColumn("rank", rank).where(F.col("rank") <= cfg.max_candidates_per_event).select("event_a", "event_b").distinct()
-    return edges_or_scores.join(kept, ["event_a", "event_b"], "left_semi")
+    kept = sides.withColumn("rank", rank).where(F.col("rank") <= cfg.max_candidates_per_event)
+    return kept.select("event_a", "event_b").distinct()
+
+
+def as_pairs(pairs: DataFrame, events: DataFrame) -> DataFrame:
+    """Pairs of ids with the attributes of both events, the earlier as ``a``."""
+    carried = _keyed(events, ()).select("e", F.col("e.event_id").alias("id"))
+    met = pairs.join(carried.select(F.col("id").alias("event_a"), F.col("e").alias("x")), "event_a")
+    met = met.join(carried.select(F.col("id").alias("event_b"), F.col("e").alias("y")), "event_b")
+    forward = _ordered("x", "y")
+    return met.select(F.when(forward, F.col("x")).otherwise(F.col("y")).alias("a"), F.when(forward, F.col("y")).otherwise(F.col("x")).alias("b"))
+
+
+def correlate_capped(events: DataFrame, cfg: Settings = DEFAULT) -> DataFrame:
+    """Edges among the capped candidates: at most forty a side, ranked before scoring."""
+    kept = cap_candidates(all_candidates(events, cfg), events, cfg)
+    return edges_of(score_pairs(as_pairs(kept, events), cfg), cfg)
+
+
+LABELS = {
+    "temporal": "close in time",
+    "same_host": "one host",
+    "same_user": "one account",
+    "shared_network_entity": "one address or name",
+    "process_relationship": "related processes",
+    "shared_file": "one file",
+    "attack_progression": "tactics in sequence",
+    "sequence_match": "one step needs the other",
+}
+
+
+def reasons(edges: DataFrame) -> DataFrame:
+    """``event_a, event_b, score, reasons``: an edge explained alone, its groups with points, highest first."""
+    of = lambda signals: sum((F.col(s) for s in signals[1:]), F.col(signals[0]))
+    order = {g: i for i, g in enumerate(GROUPS)}
+    made = [F.struct((-of(s)).alias("down"), F.lit(order[g]).alias("place"), F.lit(g).alias("group"), F.lit(LABELS[g]).alias("label")) for g, s in GROUPS.items()]
+    kept = F.sort_array(F.filter(F.array(*made), lambda r: r["down"] < 0))
+    shown = F.transform(kept, lambda r: F.struct(r["group"].alias("group"), r["label"].alias("label"), (-r["down"]).cast("double").alias("points")))
+    return edges.select("event_a", "event_b", F.least(F.lit(100.0), F.col("total").cast("double")).alias("score"), shown.alias("reasons"))
+
+
+def pair_details(scored: DataFrame) -> DataFrame:
+    """Contributions of scored pairs (``a``, ``b`` kept): ``event_a, event_b, signal, points, detail``, one row a signal that counts."""
+    a = lambda c: F.col(f"a.{c}").cast("string")
+    gap = F.abs(F.col("a.sec") - F.col("b.sec")).cast("string")
+    value = lambda words, c: F.concat(F.lit(words), a(c))
+    says = {
+        "temporal": F.concat(gap, F.lit(" s apart, "), F.lower("window")),
+        "same_host": value("on host ", "host"),
+        "same_user": value("by account ", "user"),
+        "same_source_ip": value("from ", "source_ip"),
+        "same_destination_ip": value("to ", "destination_ip"),
+        "shared_domain": value("name ", "domain"),
+        "process_relationship": _lineage_words(),
+        "shared_file": value("file ", "file_path"),
+        "attack_progression": F.when(F.col("b.idx") < F.col("a.idx"), "tactics run backward").when(F.col("b.idx") - F.col("a.idx") <= 6, "tactics run forward").otherwise("tactics jump forward"),
+        "event_dependency": _dependency_words(),
+    }
+    made = F.array(*[F.when(F.col(s) > 0, F.struct(F.lit(s).alias("signal"), F.col(s).alias("points"), says[s].alias("detail"))) for s in SIGNALS])
+    return scored.select("event_a", "event_b", F.inline(F.array_compact(made)))
+
+
+def _lineage_words() -> Column:
+    child = lambda x, y: F.coalesce(F.col(f"{x}.process_id") == F.col(f"{y}.parent_process_id"), F.lit(False))
+    return (
+        F.when(child("a", "b"), "first started second")
+        .when(child("b", "a"), "second started first")
+        .when(_same("process_name"), F.concat(F.lit("both in "), F.col("a.process_name")))
+        .otherwise("a file of one runs in the other")
+    )
+
+
+def _dependency_words() -> Column:
+    kind = F.col("a.event_type")
+    return (
+        F.when(_refers("a", "b"), F.concat(F.lit("wrote and used "), F.col("a.made")))
+        .when(kind.isin("LOGIN_SUCCESS", "AUTHENTICATION"), "logged on, then acted")
+        .when(kind == "DNS_QUERY", "resolved, then used")
+        .when(kind == "NETWORK_CONNECTION", "connected, then wrote")
+        .otherwise("ran, then changed the registry")
+    )
+
+
+def adjacency(edges: DataFrame) -> DataFrame:
+    """``event_id, neighbours``: each edge listed under both ends, strongest first, then by id."""
+    ends = F.array(*[F.struct(F.col(f"event_{x}").alias("event_id"), F.col(f"event_{y}").alias("other")) for x, y in ("ab", "ba")])
+    both = edges.select("total", F.inline(ends))
+    listed = F.sort_array(F.collect_list(F.struct((-F.col("total")).alias("down"), "other")))
+    return both.groupBy("event_id").agg(F.transform(listed, lambda x: F.struct(x["other"].alias("event_id"), (-x["down"]).alias("total"))).alias("neighbours"))
+
+
+def correlation_stats(events: DataFrame, edges: DataFrame, clusters: DataFrame, scored: DataFrame) -> DataFrame:
+    """One row: events, buckets, pairs scored, edges, clusters, mean score (one place), edges of each window."""
+    windows = [F.count_if(F.col("window") == w).alias(w.lower()) for w in ("STRICT", "NORMAL", "BROAD")]
+    own = edges.agg(F.count(F.lit(1)).alias("edges"), F.coalesce(F.bround(F.avg("total"), 1), F.lit(0.0)).alias("mean_score"), *windows)
+    count = lambda df: df.agg(F.count(F.lit(1))).scalar()
+    buckets = _keyed(events, ()).select(F.explode("keys").alias("key")).distinct()
+    return own.select(
+        count(events).alias("events"),
+        count(buckets).alias("buckets"),
+        count(scored).alias("pairs_scored"),
+        "edges",
+        count(clusters.select("component").distinct()).alias("clusters"),
+        "mean_score",
+        "strict",
+        "normal",
+        "broad",
+    )

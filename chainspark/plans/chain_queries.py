@@ -8,32 +8,16 @@ from pyspark.sql import functions as F
 from chainspark.operators import chains as C
 from chainspark.operators import correlate as K
 from chainspark.operators import entities as E
-from chainspark.operators.components import components, cut
-from chainspark.operators.rules import detect
-from chainspark.plans.oracle_parts import CHAINS, CORRELATE, DETECT, reach, with_
-from chainspark.plans.queries import enriched, query
-from chainspark.sources.telemetry import telemetry
+from chainspark.plans.oracle_parts import CAPPED, CHAINS, CORRELATE, DETECT, EVIDENCE, reach, with_
+from chainspark.plans.queries import query
+from chainspark.plans.stored import derived
 
 _SIGNALS = ", ".join(K.SIGNALS)
 _SCORE = ("event_a", "event_b", "window", "total", *K.SIGNALS)
 
 
-def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return K.correlate(enriched(spark, sf_dir))
-
-
-def chain_parts(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    events = telemetry(spark, sf_dir)
-    detections = cut(detect(events).drop("evidence"))
-    from chainspark.operators.rules import enrich
-
-    events = cut(enrich(events, detections))
-    found = cut(K.correlate(events))
-    members = cut(C.chain_members(found, events))
-    internal = C.internal_edges(found, members)
-    conf = cut(C.confidence(internal))
-    chains = cut(C.verdicts(C.roll_up(members, events, detections), conf))
-    return {"events": events, "detections": detections, "edges": found, "members": members, "internal": internal, "confidence": conf, "chains": chains}
+def _chains(select: str, *more: str) -> str:
+    return with_(select, DETECT, CORRELATE, CHAINS, *more, recursive=True)
 
 
 @query("entities", with_("""SELECT entity_type, value, min(sec) AS first_seen, max(sec) AS last_seen, count(*) AS events,
@@ -42,8 +26,8 @@ def chain_parts(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
   UNION ALL SELECT event_id, sec, 'IP', destination_ip FROM e UNION ALL SELECT event_id, sec, 'DOMAIN', domain FROM e UNION ALL SELECT event_id, sec, 'FILE', file_path FROM e
   UNION ALL SELECT event_id, sec, 'PROCESS', coalesce(host || ':', '') || process_name FROM e UNION ALL SELECT event_id, sec, 'PROCESS', coalesce(host || ':', '') || parent_process FROM e
   UNION ALL SELECT event_id, sec, 'TECHNIQUE', technique_id FROM e) WHERE value IS NOT NULL) GROUP BY entity_type, value""", DETECT))
-def entities(spark, sf_dir):
-    return E.entities(enriched(spark, sf_dir))
+def entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return E.entities(derived(spark, sf_dir).events)
 
 
 @query("relationships", with_("""SELECT event_id, sec, source_type, source, target_type, target, relation FROM (
@@ -58,78 +42,164 @@ def entities(spark, sf_dir):
   UNION ALL SELECT event_id, sec, 'PROCESS', host || ':' || process_name, 'FILE', file_path, 'INSTALLED' FROM p WHERE event_type = 'SERVICE_CREATED')
   WHERE source IS NOT NULL AND target IS NOT NULL"""))
 def relationships(spark, sf_dir):
-    return E.relationships(telemetry(spark, sf_dir))
+    return E.relationships(derived(spark, sf_dir).telemetry)
 
 
 @query("pairs_entity", with_("SELECT x AS event_a, y AS event_b FROM shared", DETECT, CORRELATE))
 def pairs_entity(spark, sf_dir):
-    return K.entity_pairs(telemetry(spark, sf_dir)).select(F.col("a.event_id").alias("event_a"), F.col("b.event_id").alias("event_b"))
+    return K.entity_pairs(derived(spark, sf_dir).telemetry).select(F.col("a.event_id").alias("event_a"), F.col("b.event_id").alias("event_b"))
 
 
-@query("pairs_temporal", with_("SELECT x AS event_a, y AS event_b FROM near EXCEPT SELECT x, y FROM shared", DETECT, CORRELATE))
+@query("pairs_temporal", with_("""SELECT a.event_id AS event_a, count(*) AS partners, min(b.event_id) AS first_b, max(b.event_id) AS last_b
+  FROM p a JOIN p b ON b.sec > a.sec AND b.sec <= a.sec + 600 GROUP BY a.event_id"""))
 def pairs_temporal(spark, sf_dir):
-    return K.near_pairs(telemetry(spark, sf_dir)).select(F.col("a.event_id").alias("event_a"), F.col("b.event_id").alias("event_b"))
+    found = K.temporal_pairs(derived(spark, sf_dir).telemetry)
+    return found.groupBy("event_a").agg(F.count(F.lit(1)).alias("partners"), F.min("event_b").alias("first_b"), F.max("event_b").alias("last_b"))
+
+
+@query("pairs_lineage", with_("SELECT x AS event_a, y AS event_b FROM lineage", DETECT, CORRELATE, CAPPED))
+def pairs_lineage(spark, sf_dir):
+    return K.lineage_pairs(derived(spark, sf_dir).telemetry)
 
 
 @query("edges", with_(f'SELECT event_a, event_b, "window", total, {_SIGNALS} FROM edges', DETECT, CORRELATE))
 def edges_query(spark, sf_dir):
-    return edges(spark, sf_dir).select(*_SCORE)
+    return derived(spark, sf_dir).edges.select(*_SCORE)
 
 
-@query("edges_capped", with_("""SELECT event_a, event_b, total FROM (SELECT *, min(r) OVER (PARTITION BY event_a, event_b) AS best FROM (
-  SELECT event_a, event_b, total, row_number() OVER (PARTITION BY o ORDER BY (w IS NULL)::INT, other) AS r FROM (SELECT event_a AS o, event_b AS other, event_a, event_b, total, "window" AS w FROM edges
-  UNION ALL SELECT event_b, event_a, event_a, event_b, total, "window" FROM edges))) WHERE best <= 40 GROUP BY ALL""", DETECT, CORRELATE))
+@query("edges_capped", with_("SELECT x AS event_a, y AS event_b, total FROM kept JOIN scores_of ON event_a = x AND event_b = y WHERE total >= 35 AND total > temporal + same_host", DETECT, CORRELATE, CAPPED))
 def edges_capped(spark, sf_dir):
-    return K.capped(cut(edges(spark, sf_dir))).select("event_a", "event_b", "total")
+    return K.correlate_capped(derived(spark, sf_dir).events).select("event_a", "event_b", "total")
+
+
+@query("edge_details", with_("""SELECT signal, points, count(*) AS n FROM (SELECT * FROM edges) UNPIVOT (points FOR signal IN (temporal, same_host, same_user, same_source_ip, same_destination_ip,
+  shared_domain, process_relationship, shared_file, attack_progression, event_dependency)) WHERE points > 0 GROUP BY ALL""", DETECT, CORRELATE))
+def edge_details(spark, sf_dir):
+    """How often each signal counts with how many points, over the explained contributions of all edges."""
+    d = derived(spark, sf_dir)
+    scored = K.score_pairs(K.as_pairs(d.edges.select("event_a", "event_b"), d.events), keep=("a", "b"))
+    said = K.pair_details(scored).where("detail is not null")
+    return said.groupBy("signal", "points").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("correlation_stats", with_('SELECT "window", count(*) AS edges, sum(total)::BIGINT AS points, max(total) AS best FROM edges GROUP BY ALL', DETECT, CORRELATE))
+@query("edge_reasons", with_("""SELECT event_a, event_b, least(100.0, total)::DOUBLE AS score, (temporal > 0)::INT + (same_host > 0)::INT + (same_user > 0)::INT
+  + (same_source_ip + same_destination_ip + shared_domain > 0)::INT + (process_relationship > 0)::INT + (shared_file > 0)::INT + (attack_progression > 0)::INT + (event_dependency > 0)::INT AS groups,
+  greatest(temporal, same_host, same_user, same_source_ip + same_destination_ip + shared_domain, process_relationship, shared_file, attack_progression, event_dependency)::DOUBLE AS top_points FROM edges""", DETECT, CORRELATE))
+def edge_reasons(spark, sf_dir):
+    said = K.reasons(derived(spark, sf_dir).edges)
+    return said.select("event_a", "event_b", "score", F.size("reasons").alias("groups"), F.get("reasons", 0)["points"].alias("top_points"))
+
+
+@query("adjacency", with_("""SELECT o AS event_id, count(*) AS degree, max(total) AS strongest, string_agg(other, ',' ORDER BY total DESC, other) AS others FROM (
+  SELECT event_a AS o, event_b AS other, total FROM edges UNION ALL SELECT event_b, event_a, total FROM edges) GROUP BY o""", DETECT, CORRELATE))
+def adjacency(spark, sf_dir):
+    listed = K.adjacency(derived(spark, sf_dir).edges)
+    others = F.array_join(F.transform("neighbours", lambda x: x["event_id"]), ",")
+    return listed.select("event_id", F.size("neighbours").cast("long").alias("degree"), F.get("neighbours", 0)["total"].alias("strongest"), others.alias("others"))
+
+
+@query("correlation_stats", with_("""SELECT (SELECT count(*) FROM p) AS events, (SELECT count(DISTINCT key) FROM keys) AS buckets, (SELECT count(*) FROM cand) AS pairs_scored, count(*) AS edges,
+  (SELECT count(DISTINCT component) FROM cl) AS clusters, round_even(avg(total), 1) AS mean_score, count(*) FILTER (WHERE "window" = 'STRICT') AS strict,
+  count(*) FILTER (WHERE "window" = 'NORMAL') AS normal, count(*) FILTER (WHERE "window" = 'BROAD') AS broad FROM edges""", DETECT, CORRELATE, reach("cl", "edges"), recursive=True))
 def correlation_stats(spark, sf_dir):
-    return edges(spark, sf_dir).groupBy("window").agg(F.count(F.lit(1)).alias("edges"), F.sum("total").alias("points"), F.max("total").alias("best"))
+    d = derived(spark, sf_dir)
+    return K.correlation_stats(d.events, d.edges, d.clusters, K.candidates(d.events).select("a.event_id"))
 
 
 @query("clusters", with_("SELECT event_id, component FROM cl", DETECT, CORRELATE, reach("cl", "edges"), recursive=True))
 def clusters(spark, sf_dir):
-    return components(edges(spark, sf_dir).select("event_a", "event_b"))
+    return derived(spark, sf_dir).clusters
 
 
-@query("chain_members", with_("SELECT chain, event_id, sec, position FROM members", DETECT, CORRELATE, CHAINS, recursive=True))
+@query("chain_members", _chains("SELECT chain, event_id, sec, position FROM members"))
 def chain_members(spark, sf_dir):
-    events = cut(enriched(spark, sf_dir))
-    return C.chain_members(K.correlate(events), events).select("chain", "event_id", "sec", "position")
+    return derived(spark, sf_dir).members.select("chain", "event_id", "sec", "position")
 
 
-@query("chain_confidence", with_("SELECT chain, links, confidence, " + ", ".join(f"if(g{i + 1} >= 0.5, round_even(g{i + 1}, 1), NULL) AS {g}" for i, g in enumerate(K.GROUPS)) + " FROM conf", DETECT, CORRELATE, CHAINS, recursive=True))
+@query("chain_confidence", _chains("SELECT chain, links, confidence, " + ", ".join(f"if(g{i + 1} >= 0.5, round_even(g{i + 1}, 1), NULL) AS {g}" for i, g in enumerate(K.GROUPS)) + " FROM conf"))
 def chain_confidence(spark, sf_dir):
-    return chain_parts(spark, sf_dir)["confidence"]
+    return derived(spark, sf_dir).confidence
+
+
+_GROUP_POINTS = " UNION ALL ".join(
+    f"SELECT chain, '{g}' AS \"group\", {' + '.join(s)} AS points, total, event_a, event_b FROM internal" for g, s in K.GROUPS.items()
+)
+
 
+@query("chain_reasons", _chains(f"""SELECT r.chain, "group", round_even(pts / links, 1) AS points, event_a, event_b FROM (
+  SELECT chain, "group", sum(points) AS pts, first(event_a ORDER BY total DESC, event_a, event_b) AS event_a, first(event_b ORDER BY total DESC, event_a, event_b) AS event_b
+  FROM ({_GROUP_POINTS}) WHERE points > 0 GROUP BY ALL) r JOIN conf0 USING (chain) WHERE pts / links >= 0.5"""))
+def chain_reasons(spark, sf_dir):
+    d = derived(spark, sf_dir)
+    said = C.confidence_reasons(d.internal, d.events).where("label is not null and explanation is not null")
+    return said.select("chain", "group", "points", "event_a", "event_b")
 
-@query("chains", with_("SELECT chain, chain_no, start_sec, end_sec, events, detections, hosts, users, tactic_list, technique_list, confidence, risk::BIGINT AS risk, risk_level, is_attack FROM ch", DETECT, CORRELATE, CHAINS, recursive=True))
+
+_CHAIN = "chain, chain_no, start_sec, end_sec, end_sec - start_sec AS duration, events, detections, hosts, users, process_list, tactic_list, technique_list, confidence, risk::BIGINT AS risk, risk_level, is_attack"
+
+
+@query("chains", _chains(f"SELECT {_CHAIN} FROM ch"))
 def chains(spark, sf_dir):
-    out = C.numbered(chain_parts(spark, sf_dir)["chains"])
-    listed = [F.array_join(c, ",").alias(n) for c, n in (("tactics", "tactic_list"), ("techniques", "technique_list"))]
+    out = derived(spark, sf_dir).chains
+    listed = [F.array_join(c, ",").alias(n) for c, n in (("tactics", "tactic_list"), ("techniques", "technique_list"), ("processes", "process_list"))]
     count = [F.size(c).cast("long").alias(c) for c in ("hosts", "users")]
-    return out.select("chain", "chain_no", "start_sec", "end_sec", "events", "detections", *count, *listed, "confidence", F.col("risk").cast("long").alias("risk"), "risk_level", "is_attack")
+    plain = ("chain", "chain_no", "start_sec", "end_sec", "duration", "events", "detections", "confidence", "risk_level", "is_attack")
+    return out.select(*plain, *count, *listed, F.col("risk").cast("long").alias("risk"))
+
+
+@query("chain_summaries", _chains("""SELECT chain, events || ' events; hosts ' || host_list || '; accounts ' || user_list || coalesce('; tactics ' || replace(tactic_list, ',', ', '), '')
+  || ' from ' || strftime(to_timestamp(start_sec) AT TIME ZONE 'UTC', '%Y-%m-%dT%H:%M:%SZ') || ' to ' || strftime(to_timestamp(end_sec) AT TIME ZONE 'UTC', '%Y-%m-%dT%H:%M:%SZ')
+  || printf('. Confidence %.0f%%, risk %s (%d of 100).', confidence, risk_level, risk::INT) AS summary FROM ch
+  JOIN (SELECT chain, string_agg(DISTINCT host, ', ' ORDER BY host) AS host_list, string_agg(DISTINCT "user", ', ' ORDER BY "user") AS user_list FROM me GROUP BY chain) USING (chain)"""))
+def chain_summaries(spark, sf_dir):
+    return C.one_line(derived(spark, sf_dir).chains)
+
+
+@query("chain_entities", _chains("""SELECT chain, entity_type, value, count(*) AS events, arg_min(role, position) AS role FROM (
+  SELECT chain, position, entity_type, value, first(role ORDER BY ord) AS role FROM (
+  SELECT chain, position, 1 AS ord, 'HOST' AS entity_type, host AS value, 'host' AS role FROM me UNION ALL SELECT chain, position, 2, 'USER', "user", 'user' FROM me
+  UNION ALL SELECT chain, position, 3, 'IP', source_ip, 'src' FROM me UNION ALL SELECT chain, position, 4, 'IP', destination_ip, 'dst' FROM me
+  UNION ALL SELECT chain, position, 5, 'DOMAIN', domain, 'domain' FROM me UNION ALL SELECT chain, position, 6, 'FILE', file_path, 'path' FROM me
+  UNION ALL SELECT chain, position, 7, 'PROCESS', coalesce(host || ':', '') || process_name, 'actor' FROM me UNION ALL SELECT chain, position, 8, 'PROCESS', coalesce(host || ':', '') || parent_process, 'parent' FROM me
+  UNION ALL SELECT chain, position, 9, 'TECHNIQUE', technique_id, 'technique' FROM me) WHERE value IS NOT NULL GROUP BY ALL) GROUP BY ALL"""))
+def chain_entities(spark, sf_dir):
+    d = derived(spark, sf_dir)
+    return C.chain_entities(d.members, d.events).select("chain", "entity_type", "value", "events", "role")
+
+
+@query("chain_detections", _chains("SELECT chain, m.event_id, position, rule_id, severity FROM members m JOIN det USING (event_id)"))
+def chain_detections(spark, sf_dir):
+    d = derived(spark, sf_dir)
+    return C.chain_detections(d.members, d.detections).select("chain", "event_id", "position", "rule_id", "severity")
+
+
+@query("chain_evidence", _chains("SELECT * FROM ev", EVIDENCE))
+def chain_evidence(spark, sf_dir):
+    return derived(spark, sf_dir).evidence.withColumn("place", F.col("place").cast("long"))
+
+
+@query("evidence_counts", _chains("SELECT chain, kind, type, count(*) AS n FROM ev GROUP BY ALL", EVIDENCE))
+def evidence_counts(spark, sf_dir):
+    return C.evidence_counts(derived(spark, sf_dir).evidence)
 
 
-@query("kill_chain", with_("""SELECT ch.chain, max(stage) AS furthest, count(DISTINCT stage) AS covered FROM ch JOIN cht USING (chain) JOIN tac USING (tactic) GROUP BY ch.chain""", DETECT, CORRELATE, CHAINS, recursive=True))
+@query("kill_chain", _chains("SELECT ch.chain, max(stage) AS furthest, count(DISTINCT stage) AS covered FROM ch JOIN cht USING (chain) JOIN tac USING (tactic) GROUP BY ch.chain"))
 def kill_chain(spark, sf_dir):
-    out = chain_parts(spark, sf_dir)["chains"].where(F.size("stages") > 0)
+    out = derived(spark, sf_dir).chains.where(F.size("stages") > 0)
     return out.select("chain", F.array_max("stages").alias("furthest"), F.size("stages").cast("long").alias("covered"))
 
 
-@query("missing_steps", with_("SELECT chain, kind, tactic, technique_id, confidence FROM steps", DETECT, CORRELATE, CHAINS, recursive=True))
+@query("missing_steps", _chains("SELECT chain, kind, tactic, technique_id, confidence FROM steps"))
 def missing_steps(spark, sf_dir):
-    parts = chain_parts(spark, sf_dir)
-    return C.missing_steps(parts["chains"], parts["members"], parts["events"])
+    return derived(spark, sf_dir).steps
 
 
-@query("attack_path", with_("SELECT chain, row_number() OVER (PARTITION BY chain ORDER BY place, sub) AS stage, kind, tactic, technique_id, first_sec FROM path0", DETECT, CORRELATE, CHAINS, recursive=True))
+@query("attack_path", _chains("SELECT chain, row_number() OVER (PARTITION BY chain ORDER BY place, sub) AS stage, kind, tactic, technique_id, first_sec FROM path0"))
 def attack_path(spark, sf_dir):
-    parts = chain_parts(spark, sf_dir)
-    return C.attack_path(parts["members"], parts["events"], C.missing_steps(parts["chains"], parts["members"], parts["events"]))
+    d = derived(spark, sf_dir)
+    return C.attack_path(d.members, d.events, d.steps)
 
 
-@query("chain_stats", with_("SELECT risk_level, is_attack, count(*) AS chains, sum(events)::BIGINT AS events FROM ch GROUP BY ALL", DETECT, CORRELATE, CHAINS, recursive=True))
+@query("chain_stats", _chains("SELECT risk_level, is_attack, count(*) AS chains, sum(events)::BIGINT AS events FROM ch GROUP BY ALL"))
 def chain_stats(spark, sf_dir):
-    return chain_parts(spark, sf_dir)["chains"].groupBy("risk_level", "is_attack").agg(F.count(F.lit(1)).alias("chains"), F.sum("events").alias("events"))
+    return derived(spark, sf_dir).chains.groupBy("risk_level", "is_attack").agg(F.count(F.lit(1)).alias("chains"), F.sum("events").alias("events"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from chainspark.operators import rules
 from chainspark.plans.oracle_parts import DETECT, with_
-from chainspark.sources.telemetry import telemetry
+from chainspark.plans.stored import derived
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -25,18 +25,9 @@ def query(name: str, sql: str | None = None):
     return register
 
 
-def detections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rules.detect(telemetry(spark, sf_dir))
-
-
-def enriched(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = telemetry(spark, sf_dir)
-    return rules.enrich(events, rules.detect(events))
-
-
 @query("telemetry_events", with_("SELECT * FROM p"))
 def telemetry_events(spark, sf_dir):
-    return telemetry(spark, sf_dir).drop("timestamp")
+    return derived(spark, sf_dir).telemetry.drop("timestamp")
 
 
 DETECTION_COLUMNS = ("event_id", "rule_ord", "rule_id", "severity", "technique_id", "technique_name", "tactic", "title")
@@ -44,7 +35,7 @@ DETECTION_COLUMNS = ("event_id", "rule_ord", "rule_id", "severity", "technique_i
 
 @query("detections_all", with_(f"SELECT {', '.join(DETECTION_COLUMNS)} FROM det", DETECT))
 def detections_all(spark, sf_dir):
-    return detections(spark, sf_dir).select(*DETECTION_COLUMNS)
+    return derived(spark, sf_dir).detections.select(*DETECTION_COLUMNS)
 
 
 RULES = (
@@ -58,7 +49,7 @@ RULES = (
 def _rule(name: str):
     @query(f"rule_{name.lower()}", with_(f"SELECT event_id, severity, technique_id, title FROM det WHERE rule_id = '{name}'", DETECT))
     def one(spark, sf_dir):
-        return detections(spark, sf_dir).where(F.col("rule_id") == name).select("event_id", "severity", "technique_id", "title")
+        return derived(spark, sf_dir).detections.where(F.col("rule_id") == name).select("event_id", "severity", "technique_id", "title")
 
 
 for _name in RULES:
@@ -67,12 +58,12 @@ for _name in RULES:
 
 @query("best_detection", with_("SELECT event_id, rule_id, severity, technique_id, tactic, findings FROM best", DETECT))
 def best_detection(spark, sf_dir):
-    return rules.best_detection(detections(spark, sf_dir)).select("event_id", "rule_id", "severity", "technique_id", "tactic", "findings")
+    return rules.best_detection(derived(spark, sf_dir).detections).select("event_id", "rule_id", "severity", "technique_id", "tactic", "findings")
 
 
 @query("events_enriched", with_("SELECT event_id, event_type, host, \"user\", technique_id, technique_name, tactic, findings FROM e", DETECT))
 def events_enriched(spark, sf_dir):
-    return enriched(spark, sf_dir).select("event_id", "event_type", "host", "user", "technique_id", "technique_name", "tactic", "findings")
+    return derived(spark, sf_dir).events.select("event_id", "event_type", "host", "user", "technique_id", "technique_name", "tactic", "findings")
 
 
 @query(
@@ -80,19 +71,7 @@ def events_enriched(spark, sf_dir):
     with_("SELECT host, d.technique_id, d.severity, count(*) AS n, min(sec) AS first_sec, max(sec) AS last_sec FROM det d JOIN p USING (event_id) GROUP BY ALL", DETECT),
 )
 def detections_by_host(spark, sf_dir):
-    events = telemetry(spark, sf_dir)
-    found = rules.detect(events).select("event_id", "technique_id", "severity")
-    joined = found.join(events.select("event_id", "host", "sec"), "event_id")
+    d = derived(spark, sf_dir)
+    found = d.detections.select("event_id", "technique_id", "severity")
+    joined = found.join(d.telemetry.select("event_id", "host", "sec"), "event_id")
     return joined.groupBy("host", "technique_id", "severity").agg(F.count(F.lit(1)).alias("n"), F.min("sec").alias("first_sec"), F.max("sec").alias("last_sec"))
-
-
-@query(
-    "coverage",
-    with_("SELECT t.tactic, t.idx, count(DISTINCT d.technique_id) AS techniques, count(d.event_id) AS findings FROM tac t LEFT JOIN det d USING (tactic) GROUP BY ALL", DETECT),
-)
-def coverage(spark, sf_dir):
-    from chainspark.dims import tactics
-
-    found = detections(spark, sf_dir).groupBy("tactic").agg(F.countDistinct("technique_id").alias("techniques"), F.count(F.lit(1)).alias("findings"))
-    all_tactics = tactics(spark).select("tactic", "idx")
-    return all_tactics.join(found, "tactic", "left").select("tactic", "idx", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("techniques", "findings")])

@@ -28,6 +28,8 @@ def test_brute_force_counts_since_the_last_success(spark):
     assert found(events(spark, *rows)) == {("E004", "AUTH_BRUTE_FORCE", "HIGH", "T1110.001"), ("E005", "AUTH_BRUTE_FORCE", "HIGH", "T1110.001"), ("E006", "AUTH_SUCCESS_AFTER_FAILURES", "CRITICAL", "T1078")}
     apart = [{**fail, "sec": 200 * i} for i in range(8)]
     assert found(events(spark, *apart)) == set()
+    alone = {"event_type": "LOGIN_SUCCESS", "user": "bob", "source_ip": "1.2.3.4", "sec": 1}
+    assert found(events(spark, alone)) == set()
     tied = [{**fail, "sec": 5} for _ in range(6)]
     assert {f[0] for f in found(events(spark, *tied))} == {"E004", "E005"}
 

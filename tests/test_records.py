@@ -4,10 +4,12 @@ import json
 
 from pyspark.sql import functions as F
 
-from chainspark.operators import evaluate, indicators, normalize
-from chainspark.operators.rules import stateless
+from chainspark.operators import entities, evaluate, indicators, normalize
+from chainspark.operators.chains import chain_members
+from chainspark.operators.correlate import correlate
+from chainspark.operators.rules import authentication, detect, enrich, stateless
 from chainspark.sources.telemetry import telemetry
-from chainspark.streaming.detections import stream_counts, stream_detections
+from chainspark.streaming import detections as streams
 
 
 def normal(spark, *records):
@@ -52,13 +54,44 @@ def test_confusion(spark):
     assert got == {"s": (1, 1, 1, 0.5, 0.5, 0.5), "t": (0, 1, 0, 0.0, None, None), "u": (0, 0, 1, None, 0.0, None)}
 
 
+def _run(frame, mode, name, folder):
+    run = frame.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).option("checkpointLocation", f"{folder}/{name}").start()
+    assert run.awaitTermination(180)
+    return frame.sparkSession.table(name)
+
+
 def test_streams_equal_batch(spark, tmp_path):
-    events = telemetry(spark, "/root/testdata/sf0.001")
-    events.write.parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema(events.schema).parquet(str(tmp_path / "in"))
-    for name, frame, mode in (("found", stream_detections(stream), "append"), ("counts", stream_counts(stream), "complete")):
-        run = frame.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).option("checkpointLocation", str(tmp_path / name)).start()
-        assert run.awaitTermination(120)
+    events = telemetry(spark, "/root/testdata/sf0.001").repartition(1).sortWithinPartitions("sec").cache()
+    for i in range(2):  # two files in order of time, read one a batch; the first again at the end
+        events.where(f"cast(substring(event_id, 5) as int) between {500 * i} and {500 * i + 499}").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
     key = ["event_id", "rule_id", "severity", "technique_id", "title"]
-    assert sorted(spark.table("found").select(key).collect()) == sorted(stateless(events).select(key).collect())
-    assert spark.table("counts").agg(F.sum("n")).first()[0] == events.count()
+    got = _run(streams.stream_detections(stream), "append", "found", tmp_path)
+    assert sorted(got.select(key).collect()) == sorted(stateless(events).select(key).collect())
+    got = _run(streams.stream_counts(stream), "complete", "counts", tmp_path)
+    assert got.agg(F.sum("n")).first()[0] == stateless(events).count()
+    twice = stream.union(stream)
+    assert _run(streams.stream_distinct(twice), "append", "one_each", tmp_path).count() == events.count()
+    listed = indicators.indicators(spark.createDataFrame([(0, "ip", "8.8.3.1", "a"), (1, None, "h0.update-cdn-live.net", "b")], "idx long, type string, value string, source string"))
+    got = _run(streams.stream_matches(stream, listed), "append", "hits", tmp_path)
+    assert sorted(map(str, got.collect())) == sorted(map(str, indicators.match(events, listed).collect()))
+    got = _run(streams.stream_logons(stream), "append", "logons", tmp_path)
+    want = authentication(events)
+    assert sorted((r.event_id, r.rule_id) for r in got.collect()) == sorted((r.event_id, r.rule_id) for r in want.collect()) and got.count() > 0
+
+
+def test_micro_batches_build_the_tables_of_a_batch(spark, tmp_path):
+    events = telemetry(spark, "/root/testdata/sf0.001").where("cast(substring(event_id, 5) as int) < 256").cache()
+    merge, rebuild = streams.merge_entities(str(tmp_path / "entities")), streams.rebuild_chains(str(tmp_path / "chains"))
+    for i, part in enumerate(("< 192", ">= 192")):
+        batch = events.where(f"cast(substring(event_id, 5) as int) {part}")
+        merge(batch, i)
+        rebuild(batch, i)
+    rebuild(batch, 1)  # a batch repeated after a failure
+    columns = ["entity_type", "value", "first_seen", "last_seen", "events"]
+    got = spark.read.parquet(str(tmp_path / "entities/v1")).select(columns)
+    assert sorted(map(str, got.collect())) == sorted(map(str, entities.entities(events).select(columns).collect()))
+    told = enrich(events, detect(events))
+    want = chain_members(correlate(told), told).select("chain", "event_id", "position")
+    got = spark.read.parquet(str(tmp_path / "chains/members/v1")).select("chain", "event_id", "position")
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect())) and got.count() > 100
