@@ -42,20 +42,22 @@ def simhash(shingles: np.ndarray, heads: np.ndarray) -> np.ndarray:
 
 
 class HammingIndex:
-    """Fingerprints (rows of 8 bytes), found from any fingerprint within the radius."""
+    """Fingerprints (rows of 8 bytes), found from any fingerprints within the radius."""
 
     def __init__(self, prints: np.ndarray, radius: int = RADIUS):
         self.prints, self.radius = prints, radius
-        flips = radius // BLOCKS
         values = np.arange(256, dtype=np.uint8)
-        self.near = []
-        for b in range(BLOCKS):
-            close = _BITS[values[:, None] ^ prints[None, :, b]] <= flips
-            self.near.append([np.flatnonzero(row) for row in close])
+        # Which prints are near in a block, for each of its values.
+        self.near = [_BITS[values[:, None] ^ prints[None, :, b]] <= radius // BLOCKS for b in range(BLOCKS)]
 
-    def find(self, fingerprint: np.ndarray) -> np.ndarray:
-        some = np.unique(np.concatenate([self.near[b][fingerprint[b]] for b in range(BLOCKS)]))
-        return some[_BITS[self.prints[some] ^ fingerprint].sum(axis=1) <= self.radius]
+    def find(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs (row of ``prints``, row of the index) within the radius."""
+        some = self.near[0][prints[:, 0]]
+        for b in range(1, BLOCKS):
+            some = some | self.near[b][prints[:, b]]
+        at, item = np.nonzero(some)
+        close = _BITS[self.prints[item] ^ prints[at]].sum(axis=1) <= self.radius
+        return at[close], item[close]
 
 
 def votes_of(shingles: np.ndarray) -> np.ndarray:
@@ -92,7 +94,10 @@ class Items:
         self.totals = np.array([len(s) for s in shingles], np.int64)
         flat = np.concatenate(shingles) if shingles else np.zeros(0, np.uint64)
         heads = np.cumsum([0, *map(len, shingles)])[:-1].astype(np.int64)
-        self.index = HammingIndex(simhash(flat, heads), radius) if shingles else None
+        prints = simhash(flat, heads) if shingles else np.zeros((0, 8), np.uint8)
+        # Windows of a size meet the items of that size.
+        self.of_size = {m: np.flatnonzero(self.totals == m) for m in self.sizes}
+        self.index = {m: HammingIndex(prints[of], radius) for m, of in self.of_size.items()}
         self.known = np.unique(flat)
         self.gate = np.zeros(1 << 16, bool)
         self.gate[(self.known >> np.uint64(48)).astype(np.int64)] = True
@@ -105,26 +110,27 @@ class Items:
         out[maybe] = self.known[at] == shingles[maybe]
         return out
 
-    def windows(self, held: np.ndarray, first: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Row, start and end of the windows of every item's size that hold enough benchmark shingles.
+    def windows(self, held: np.ndarray, first: np.ndarray, percent: int) -> np.ndarray:
+        """Row, start, end and item size of the windows of every size that hold enough benchmark shingles.
 
         A row shorter than an item is one window.
         """
         total = np.concatenate([[0], np.cumsum(held)])
-        some = np.flatnonzero(total[first[1:]] > total[first[:-1]])
-        out = []
+        inside, length = np.diff(total[first]), np.diff(first)
+        out = [np.zeros((4, 0), np.int64)]
         for size in self.sizes:
-            # Windows that reach a benchmark shingle, within their row.
-            whole = some[first[some + 1] - first[some] <= size]
+            some = np.flatnonzero((inside > 0) & (100 * inside >= percent * size))
+            whole = some[length[some] <= size]
             begin, end, row = first[whole], first[whole + 1], whole
-            longer = some[first[some + 1] - first[some] > size]
-            lanes = first[longer + 1] - first[longer] - size + 1
+            longer = some[length[some] > size]
+            lanes = length[longer] - size + 1
             starts = np.repeat(first[longer] - np.cumsum(lanes) + lanes, lanes) + np.arange(lanes.sum())
             begin, row = np.concatenate([begin, starts]), np.concatenate([row, np.repeat(longer, lanes)])
             end = np.concatenate([end, starts + size])
             enough = 100 * (total[end] - total[begin]) >= percent * np.maximum(size, end - begin)
-            out.append(np.stack([row[enough], begin[enough], end[enough]]))
-        return tuple(np.unique(np.concatenate(out, axis=1), axis=1)) if out else (np.zeros(0, np.int64),) * 3
+            out.append(np.stack([row[enough], begin[enough], end[enough], np.full(int(enough.sum()), size)]))
+        found = np.concatenate(out, axis=1)
+        return found[:, np.lexsort(found[::-1])]
 
     def similarity(self, window: tuple[np.ndarray, np.ndarray], size: int, item: int) -> tuple[int, int]:
         """Shared and united occurrences of a window's and an item's shingles."""
@@ -135,7 +141,7 @@ class Items:
 
     def meet(self, column: pa.Array, percent: int) -> Iterator[tuple[int, int, int, int, float]]:
         """``row, item_id, start, end, similarity`` of the best window of each row and item."""
-        if self.index is None:
+        if not self.ids:
             return
         words = Words(column)
         shingles, first = row_shingles(words)
@@ -144,7 +150,7 @@ class Items:
         held = self.of_benchmark(shingles)
         if not held.any():
             return
-        row, begin, end = self.windows(held, first, percent)
+        row, begin, end, size = self.windows(held, first, percent)
         best: dict[tuple[int, int], tuple[float, int, int]] = {}
         # Running sums are made for windows that hang together, a bounded stretch at a time.
         far = np.maximum.accumulate(end)
@@ -157,16 +163,16 @@ class Items:
             begins, ends = begin[a:b] - base, end[a:b] - base
             prints = np.packbits(2 * (votes[ends] - votes[begins]) > (ends - begins)[:, None], axis=1)
             base -= int(first[r])
-            for x, y, p in zip(begins.tolist(), ends.tolist(), prints):
-                found = self.index.find(p)
-                if len(found):
-                    bag = distinct_counts(own[x:y])
-                    for j in found.tolist():
-                        common, union = self.similarity(bag, y - x, j)
-                        if 100 * common >= percent * union:
-                            here = (common / union, -x - base, -y - base)
-                            if here > best.get((r, j), (0.0, 0, 0)):
-                                best[r, j] = here
+            for m in np.unique(size[a:b]).tolist():
+                of = np.flatnonzero(size[a:b] == m)
+                at, item = self.index[m].find(prints[of])
+                for w, j in zip(of[at].tolist(), self.of_size[m][item].tolist()):
+                    x, y = int(begins[w]), int(ends[w])
+                    common, union = self.similarity(distinct_counts(own[x:y]), y - x, j)
+                    if 100 * common >= percent * union:
+                        here = (common / union, -x - base, -y - base)
+                        if here > best.get((r, j), (0.0, 0, 0)):
+                            best[r, j] = here
         n = np.diff(words.first)
         for (r, j), (similarity, x, y) in sorted(best.items()):
             yield r, self.ids[j], -x, min(-y + SHINGLE - 1, int(n[r])), similarity
