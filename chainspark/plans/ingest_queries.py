@@ -230,6 +230,23 @@ def adapter_issues(spark, sf_dir):
     return adapters.load_otrf(spark, path)[1].groupBy("message").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("dataset_run", with_(f"""SELECT 'issues' AS name, count(*) FILTER (WHERE NOT {_BAD}) AS n FROM (SELECT substr(event_id, 5)::BIGINT AS n, * FROM p) WHERE {_WINDOWS} UNION ALL SELECT 'rows_read', count(*) FROM p WHERE {_WINDOWS}
+  UNION ALL SELECT 'stored', count(*) FILTER (WHERE {_BAD}) FROM (SELECT substr(event_id, 5)::BIGINT AS n, * FROM p) WHERE {_WINDOWS} UNION ALL SELECT 'skipped', 0
+  UNION ALL SELECT 'detections', count(*) FROM det JOIN (SELECT event_id, substr(event_id, 5)::BIGINT AS n FROM p) USING (event_id) WHERE rule_id = 'PRIVILEGED_LOGON' AND {_BAD}""", DETECT))
+def dataset_run(spark, sf_dir):
+    """Counts of a dataset run: rows read, issues, stored and skipped events, and findings (here of privileged logons)."""
+    from chainspark.operators import views
+
+    d = derived(spark, sf_dir)
+    path = d.store.files("otrf", lambda p: tables.export_json(_otrf_rows(d), p, 500))
+    found, issues = adapters.load_otrf(spark, path)
+    events = d.store.table("otrf_events", lambda: N.normalize(found))
+    typed = events.where("event_type is not null")
+    rows = found.select("idx").unionByName(issues.select("idx"))
+    privileged = rules.detect(typed).where("rule_id = 'PRIVILEGED_LOGON'")
+    return views.counts(rows_read=rows, issues=issues, stored=typed, skipped=events.where("event_type is null"), detections=privileged)
+
+
 def _evtx_rows(d: Derived) -> DataFrame:
     n = _number()
     cells = F.struct(

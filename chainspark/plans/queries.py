@@ -75,3 +75,20 @@ def detections_by_host(spark, sf_dir):
     found = d.detections.select("event_id", "technique_id", "severity")
     joined = found.join(d.telemetry.select("event_id", "host", "sec"), "event_id")
     return joined.groupBy("host", "technique_id", "severity").agg(F.count(F.lit(1)).alias("n"), F.min("sec").alias("first_sec"), F.max("sec").alias("last_sec"))
+
+
+
+_EVIDENCE = """SELECT rule_id, field, count(*) AS n, count(*) FILTER (WHERE value IS NOT NULL) AS filled FROM (SELECT rule_id, field, CASE field WHEN 'user' THEN "user" WHEN 'host' THEN host WHEN 'note' THEN note WHEN 'parent_process' THEN parent_process
+  WHEN 'process_name' THEN process_name WHEN 'command_line' THEN command_line WHEN 'file_path' THEN file_path WHEN 'destination_ip' THEN destination_ip WHEN 'destination_port' THEN destination_port::VARCHAR WHEN 'protocol' THEN protocol
+  WHEN 'domain' THEN domain ELSE 'counted' END AS value FROM (SELECT rule_id, event_id, unnest(CASE rule_id WHEN 'PRIVILEGED_LOGON' THEN ['user', 'host', 'note'] WHEN 'OFFICE_SPAWNS_POWERSHELL' THEN ['parent_process', 'process_name', 'command_line']
+  WHEN 'SUSPICIOUS_POWERSHELL' THEN ['command_line', 'parent_process'] WHEN 'SUSPICIOUS_LOLBIN' THEN ['process_name', 'command_line'] WHEN 'SUSPICIOUS_EXECUTABLE_CREATION' THEN ['file_path', 'process_name']
+  WHEN 'UNUSUAL_OUTBOUND_CONNECTION' THEN ['destination_ip', 'destination_port', 'protocol'] WHEN 'SUSPICIOUS_DNS_QUERY' THEN ['domain', 'process_name'] WHEN 'REGISTRY_PERSISTENCE' THEN ['file_path', 'command_line']
+  WHEN 'SUSPICIOUS_SERVICE_INSTALL' THEN ['file_path', 'command_line'] WHEN 'REMOTE_EXECUTION' THEN ['host', 'user', 'note'] WHEN 'SCHEDULED_TASK_CREATED' THEN ['file_path', 'command_line'] WHEN 'CREDENTIAL_DUMPING_TOOL' THEN ['process_name', 'command_line']
+  WHEN 'AUTH_BRUTE_FORCE' THEN ['user', 'source_ip', 'failures'] WHEN 'AUTH_SUCCESS_AFTER_FAILURES' THEN ['user', 'source_ip', 'failures'] WHEN 'MULTIPLE_REMOTE_PORTS' THEN ['source_ip', 'destination_count'] ELSE ['command_line', 'process_name'] END) AS field FROM det) JOIN p USING (event_id)) GROUP BY ALL"""
+
+
+@query("detection_evidence", with_(_EVIDENCE, DETECT))
+def detection_evidence(spark, sf_dir):
+    """The fields that findings show, how often, and how often with a value."""
+    shown = derived(spark, sf_dir).detections.select("rule_id", F.inline("evidence"))
+    return shown.groupBy("rule_id", "field").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("value") != "None").alias("filled"))

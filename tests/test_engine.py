@@ -5,8 +5,7 @@ import pytest
 
 import __spark_entry__ as entry
 from chainspark.functions.scalars import is_private_ip
-from chainspark.operators import chains, correlate, entities, rules
-from chainspark.plans import chain_queries, queries  # noqa: F401
+from chainspark.operators import chains, correlate, entities, graph, rules
 from chainspark.sources.telemetry import COLUMNS
 
 KINDS = {"sec": "long", "destination_port": "int", "process_id": "int", "parent_process_id": "int", "timestamp": "timestamp"}
@@ -77,7 +76,11 @@ def test_empty_events(spark):
     assert rules.detect(none).count() == 0 and correlate.correlate(rules.enrich(none, rules.detect(none))).count() == 0
 
 
-@pytest.mark.parametrize("name", ["telemetry_events", "detections_all", "events_enriched", "detections_by_host", "coverage", "edges", "chains", "missing_steps"])
+@pytest.mark.parametrize("name", [
+    "telemetry_events", "detections_all", "rules_probe", "detections_by_host", "edges", "edges_capped", "pairs_temporal", "chains", "chain_reasons", "missing_steps", "chain_evidence", "coverage",
+    "normalize_odd", "chains_from_raw", "scan_json", "scan_csv", "adapter_otrf", "adapter_splunk", "catalog_load", "add_events", "ioc_feeds", "eval_scenarios", "eval_summary", "run_deltas",
+    "graph_is_dag", "process_tree", "timeline", "chain_report", "chain_filter",
+])
 def test_queries_match_sql(spark, name):
     sf = "/root/testdata/sf0.001"
     df = entry.queries()[name](spark, sf)
@@ -92,3 +95,47 @@ def test_queries_match_sql(spark, name):
 
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
+
+
+def test_candidates_are_capped_before_scoring(spark):
+    """Forty near but unrelated partners push out a far one that would score."""
+    rows = [{"event_type": "PROCESS_CREATED", "host": "h", "user": "a", "process_name": "x.exe", "process_id": 7, "sec": 0}]
+    rows += [{"event_type": "DNS_QUERY", "host": f"other-{i}", "sec": 5} for i in range(41)]
+    rows += [{"event_type": "PROCESS_CREATED", "host": "h", "user": "a", "process_name": "x.exe", "process_id": 8, "sec": 10_000}]
+    rows += [{"event_type": "DNS_QUERY", "host": f"more-{i}", "sec": 10_005} for i in range(41)]
+    df = rules.enrich(events(spark, *rows), rules.detect(events(spark, *rows)))
+    assert [(r.event_a, r.event_b) for r in correlate.correlate(df).collect()] == [("E000", "E042")]
+    assert correlate.correlate_capped(df).count() == 0
+
+
+def test_hot_keys_stay_exact(spark):
+    """One host and one account in a third of the events: the join by key gives every pair once."""
+    rows = [{"event_type": "PROCESS_CREATED", "host": "hot" if i % 3 == 0 else f"h{i}", "user": "system" if i % 3 == 0 else f"u{i % 7}", "process_name": f"p{i}.exe", "sec": 100 * i} for i in range(240)]
+    df = events(spark, *rows)
+    got = [(r.a.event_id, r.b.event_id) for r in correlate.entity_pairs(df).collect()]
+    same = lambda x, y: x["host"] == y["host"] or x["user"] == y["user"]
+    want = {(f"E{i:03}", f"E{j:03}") for i in range(240) for j in range(i + 1, 240) if same(rows[i], rows[j])}
+    assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_details_explain_every_signal(spark):
+    rows = [
+        {"event_type": "FILE_CREATED", "host": "h", "user": "a", "file_path": "c:\\x\\bad.exe", "sec": 0},
+        {"event_type": "PROCESS_CREATED", "host": "h", "user": "a", "process_name": "bad.exe", "sec": 20},
+    ]
+    df = rules.enrich(events(spark, *rows), rules.detect(events(spark, *rows)))
+    said = {r.signal: r.detail for r in correlate.pair_details(correlate.score_pairs(correlate.candidates(df), keep=("a", "b"))).collect()}
+    assert said["temporal"] == "20 s apart, strict" and said["same_host"] == "on host h" and said["event_dependency"] == "wrote and used bad.exe"
+    one = correlate.reasons(correlate.correlate(df)).first()
+    assert [r["group"] for r in one.reasons][:2] == ["temporal", "same_host"] and one.score == 76.0
+
+
+def test_cycles_are_found(spark):
+    members = spark.createDataFrame([("c", f"E{i}", i) for i in range(1, 4)] + [("d", "F1", 1), ("d", "F2", 2)], "chain string, event_id string, position int")
+    line = [("c", "EVENT:E1", "EVENT:E2", "PRECEDES"), ("c", "EVENT:E2", "EVENT:E3", "PRECEDES"), ("d", "EVENT:F1", "EVENT:F2", "PRECEDES")]
+    own = [("c", "PROCESS:h:p", "EVENT:E1", "EXECUTED"), ("c", "EVENT:E1", "PROCESS:h:q", "PARENT"), ("d", "EVENT:F1", "PROCESS:h:p", "PARENT"), ("d", "PROCESS:h:p", "EVENT:F2", "EXECUTED")]
+    schema = "chain string, source string, target string, relation string"
+    check = lambda extra: {r.chain: r.is_dag for r in graph.acyclic(spark.createDataFrame(line + own + extra, schema), members).collect()}
+    assert check([]) == {"c": True, "d": True}
+    assert check([("c", "PROCESS:h:q", "PROCESS:h:p", "SPAWNED")]) == {"c": False, "d": True}
+    assert check([("d", "PROCESS:h:a", "PROCESS:h:b", "SPAWNED"), ("d", "PROCESS:h:b", "PROCESS:h:a", "SPAWNED")]) == {"c": True, "d": False}
