@@ -139,29 +139,35 @@ def missing_steps(chains: DataFrame, members: DataFrame, events: DataFrame, top:
     """``chain, kind, tactic, technique_id, confidence``: at most four inferred steps a chain."""
     spark = chains.sparkSession
     order = tactics(spark).select(F.col("tactic").alias("gap"), F.col("idx").alias("gap_idx"))
-    seen = chains.select("chain", "confidence", "techniques", F.filter(F.transform("tactics", lambda t: tactic_index(t)), lambda i: i.isNotNull()).alias("idx")).where(F.size("idx") > 0)
+    known = F.filter(F.transform("tactics", tactic_index), lambda i: i.isNotNull())
+    seen = chains.select("chain", "confidence", "techniques", known.alias("idx")).where(F.size("idx") > 0)
     seen = seen.withColumn("first", F.array_min("idx")).withColumn("last", F.array_max("idx"))
     inner = seen.withColumn("gap_idx", F.explode(F.sequence("first", "last"))).where(~F.array_contains("idx", F.col("gap_idx")))
     distance = F.array_min(F.transform(F.filter("idx", lambda i: i > F.col("gap_idx")), lambda i: i - F.col("gap_idx")))
     base = F.when(distance == 1, 66.0).when(distance == 2, 56.0).when(distance == 3, 47.0).otherwise(40.0)
     low = F.when(F.col("confidence") < 50, 8.0).otherwise(0.0)
     gaps = inner.join(F.broadcast(order), "gap_idx").join(F.broadcast(suggestions(spark)).withColumnRenamed("tactic", "gap"), "gap")
-    gaps = gaps.select("chain", F.lit("MISSING_TACTIC_GAP").alias("kind"), F.col("gap").alias("tactic"), "technique_id", F.greatest(F.lit(25.0), base - low).alias("confidence"))
+    step = lambda kind, tactic, technique, sure: ("chain", F.lit(kind).alias("kind"), tactic.alias("tactic"), technique.alias("technique_id"), sure.alias("confidence"))
+    gaps = gaps.select(*step("MISSING_TACTIC_GAP", F.col("gap"), F.col("technique_id"), F.greatest(F.lit(25.0), base - low)))
     rows = members.join(events.select("event_id", "event_type", "host", "file_path", "command_line", "process_name"), "event_id")
-    made = rows.where((F.col("event_type") == "FILE_CREATED") & filled(F.col("file_path")).isNotNull()).select("chain", F.col("position").alias("made_at"), basename(text(F.col("file_path"))).alias("base"), F.col("host").alias("made_host"))
-    ran = rows.where(F.col("event_type") == "PROCESS_CREATED").select("chain", "position", "host", text(F.col("command_line")).alias("command"), text(F.col("process_name")).alias("process"))
+    made = rows.where((F.col("event_type") == "FILE_CREATED") & filled(F.col("file_path")).isNotNull())
+    made = made.select("chain", F.col("position").alias("made_at"), basename(text(F.col("file_path"))).alias("base"), F.col("host").alias("made_host"))
+    ran = rows.where(F.col("event_type") == "PROCESS_CREATED")
+    ran = ran.select("chain", "position", "host", text(F.col("command_line")).alias("command"), text(F.col("process_name")).alias("process"))
     # One row a written name: a later run on its host, or anywhere if it was written without a host.
     made = made.where("base <> ''").groupBy("chain", "base", "made_host").agg(F.min("made_at").alias("made_at"))
     runs = ran.where("command <> '' or process <> ''").groupBy("chain", "host", "command", "process").agg(F.max("position").alias("position"))
     named = F.col("command").contains(F.col("base")) | (F.col("base") == F.col("process"))
     there = F.col("made_host").isNull() | F.col("made_host").eqNullSafe(F.col("host"))
     used = made.join(runs, "chain").where(named & there & (F.col("position") > F.col("made_at")))
-    executed = used.select("chain").distinct().join(seen.select("chain", "confidence", "techniques"), "chain").where(~F.exists("techniques", lambda t: t.startswith("T1204")))
-    executed = executed.select("chain", F.lit("MISSING_EXECUTION_STEP").alias("kind"), F.lit("EXECUTION").alias("tactic"), F.lit("T1204.002").alias("technique_id"), F.when(F.col("confidence") >= 50, 61.0).otherwise(50.0).alias("confidence"))
+    executed = used.select("chain").distinct().join(seen.select("chain", "confidence", "techniques"), "chain")
+    executed = executed.where(~F.exists("techniques", lambda t: t.startswith("T1204")))
+    sure = F.when(F.col("confidence") >= 50, 61.0).otherwise(50.0)
+    executed = executed.select(*step("MISSING_EXECUTION_STEP", F.lit("EXECUTION"), F.lit("T1204.002"), sure))
     ranked = Window.partitionBy("chain").orderBy(F.desc("confidence"), F.coalesce(tactic_index(F.col("tactic")), F.lit(99)), "kind")
     strongest = gaps.unionByName(executed).where("confidence >= 45").withColumn("r", F.row_number().over(ranked)).where(F.col("r") <= top).drop("r")
     late = seen.where((F.col("first") > 2) & ~F.arrays_overlap("idx", F.array(F.lit(2), F.lit(4), F.lit(7))))
-    late = late.select("chain", F.lit("MISSING_PRE_CHAIN").alias("kind"), F.lit("INITIAL ACCESS").alias("tactic"), F.lit("T1566").alias("technique_id"), F.lit(46.0).alias("confidence"))
+    late = late.select(*step("MISSING_PRE_CHAIN", F.lit("INITIAL ACCESS"), F.lit("T1566"), F.lit(46.0)))
     # The pre-chain step joins after the first cut and gives way to four stronger ones.
     again = Window.partitionBy("chain").orderBy((F.col("kind") == "MISSING_PRE_CHAIN").cast("int"), F.desc("confidence"))
     return strongest.unionByName(late).withColumn("r", F.row_number().over(again)).where(F.col("r") <= top).drop("r")

@@ -39,7 +39,8 @@ def _carried() -> Column:
     low = [F.lower(filled(F.col(c))).alias(c) for c in ("host", "user", "source_ip", "destination_ip", "domain", "file_path", "process_name")]
     made = F.when(F.col("event_type") == "FILE_CREATED", filled(basename(text(F.col("file_path"))))).alias("made")
     idx = tactic_index(F.upper(F.col("tactic"))).alias("idx")
-    return F.struct("event_id", "sec", "event_type", *low, "process_id", "parent_process_id", text(F.col("command_line")).alias("command"), made, idx, F.col("technique_id").isNotNull().alias("seed"))
+    command, seed = text(F.col("command_line")).alias("command"), F.col("technique_id").isNotNull().alias("seed")
+    return F.struct("event_id", "sec", "event_type", *low, "process_id", "parent_process_id", command, made, idx, seed)
 
 
 def entity_keys() -> Column:
@@ -81,7 +82,8 @@ def near_pairs(events: DataFrame, cfg: Settings = DEFAULT, isolate_by: tuple[str
     width = cfg.broad_seconds
     keyed = _keyed(events, isolate_by).where(F.col("e.sec").isNotNull())
     bucket = F.floor(F.col("e.sec") / width)
-    left = keyed.where("e.host is null").select(F.col("e").alias("x"), F.col("keys").alias("keys_x"), *isolate_by, F.explode(F.sequence(bucket - 1, bucket + 1)).alias("bucket"))
+    around = F.explode(F.sequence(bucket - 1, bucket + 1)).alias("bucket")
+    left = keyed.where("e.host is null").select(F.col("e").alias("x"), F.col("keys").alias("keys_x"), *isolate_by, around)
     right = keyed.select(F.col("e").alias("y"), F.col("keys").alias("keys_y"), *isolate_by, bucket.alias("bucket"))
     met = left.join(right, ["bucket", *isolate_by]).where((F.abs(F.col("x.sec") - F.col("y.sec")) <= width) & (F.col("x.event_id") != F.col("y.event_id")) & ~F.arrays_overlap("keys_x", "keys_y"))
     # Two hostless events meet from both sides: keep the one that looks forward.
@@ -257,7 +259,9 @@ def pair_details(scored: DataFrame) -> DataFrame:
         "shared_domain": value("name ", "domain"),
         "process_relationship": _lineage_words(),
         "shared_file": value("file ", "file_path"),
-        "attack_progression": F.when(F.col("b.idx") < F.col("a.idx"), "tactics run backward").when(F.col("b.idx") - F.col("a.idx") <= 6, "tactics run forward").otherwise("tactics jump forward"),
+        "attack_progression": F.when(F.col("b.idx") < F.col("a.idx"), "tactics run backward")
+        .when(F.col("b.idx") - F.col("a.idx") <= 6, "tactics run forward")
+        .otherwise("tactics jump forward"),
         "event_dependency": _dependency_words(),
     }
     made = F.array(*[F.when(F.col(s) > 0, F.struct(F.lit(s).alias("signal"), F.col(s).alias("points"), says[s].alias("detail"))) for s in SIGNALS])

@@ -45,10 +45,12 @@ def stage_predictions(events: DataFrame, detections: DataFrame, clusters: DataFr
     struck = clusters.join(found.select("event_id").distinct(), "event_id", "left_semi").select("component").distinct()
     inside = clusters.join(struck, "component", "left_semi").join(of, "event_id").join(first, "event_id", "left")
     techniques = F.array_distinct(F.array_compact(F.array("first_technique", "own_technique")))
-    out += [rows("correlation", inside.withColumn("t", F.explode(techniques)), "technique", F.col("t")), rows("correlation", inside, "event", tag), rows("correlation", inside, "verdict", alarm)]
+    out.append(rows("correlation", inside.withColumn("t", F.explode(techniques)), "technique", F.col("t")))
+    out += [rows("correlation", inside, "event", tag), rows("correlation", inside, "verdict", alarm)]
     attacks = chains.where("is_attack").select("chain", "techniques")
     built = members.select("chain", "event_id").join(attacks, "chain").join(of, "event_id")
-    out += [rows("reconstruction", built.select("scenario_id", F.explode("techniques").alias("t")), "technique", F.col("t")), rows("reconstruction", built, "event", tag), rows("reconstruction", built, "verdict", alarm)]
+    out.append(rows("reconstruction", built.select("scenario_id", F.explode("techniques").alias("t")), "technique", F.col("t")))
+    out += [rows("reconstruction", built, "event", tag), rows("reconstruction", built, "verdict", alarm)]
     whole = out[0]
     for more in out[1:]:
         whole = whole.unionByName(more)

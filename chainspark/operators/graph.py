@@ -26,10 +26,12 @@ def graph_edges(members: DataFrame, events: DataFrame, detections: DataFrame) ->
         (6, me, node("IP", F.col("destination_ip")), "CONNECTED"), (7, node("IP", F.col("source_ip")), me, "ORIGIN"), (8, me, node("DOMAIN", F.col("domain")), "QUERIED"),
         (9, me, node("TECHNIQUE", F.col("technique_id")), "MAPPED"),
     ]
-    made = F.array_compact(F.array(*[F.when(s.isNotNull() & t.isNotNull() & (s != t), F.struct(F.lit(o).alias("slot"), s.alias("source"), t.alias("target"), F.lit(r).alias("relation"))) for o, s, t, r in links]))
+    edge = lambda o, s, t, r: F.struct(F.lit(o).alias("slot"), s.alias("source"), t.alias("target"), F.lit(r).alias("relation"))
+    made = F.array_compact(F.array(*[F.when(s.isNotNull() & t.isNotNull() & (s != t), edge(o, s, t, r)) for o, s, t, r in links]))
     own = rows.select("chain", F.col("position").cast("long").alias("place"), F.explode(made).alias("x")).select("chain", "place", "x.*")
     found = members.select("chain", "event_id").join(detections.select("event_id", "rule_ord", "technique_id"), "event_id")
-    found = found.select("chain", F.lit(1 << 40).alias("place"), F.col("rule_ord").alias("slot"), node("EVENT", F.col("event_id")).alias("source"), node("TECHNIQUE", F.col("technique_id")).alias("target"), F.lit("DETECTED").alias("relation"))
+    ends = (node("EVENT", F.col("event_id")).alias("source"), node("TECHNIQUE", F.col("technique_id")).alias("target"))
+    found = found.select("chain", F.lit(1 << 40).alias("place"), F.col("rule_ord").alias("slot"), *ends, F.lit("DETECTED").alias("relation"))
     order = Window.partitionBy("chain").orderBy("position")
     after = members.select("chain", "position", me.alias("source"), node("EVENT", F.lead("event_id").over(order)).alias("target")).where("target is not null")
     after = after.select("chain", F.lit(1 << 41).alias("place"), F.col("position").cast("int").alias("slot"), "source", "target", F.lit("PRECEDES").alias("relation"))
