@@ -139,3 +139,19 @@ def test_cycles_are_found(spark):
     assert check([]) == {"c": True, "d": True}
     assert check([("c", "PROCESS:h:q", "PROCESS:h:p", "SPAWNED")]) == {"c": False, "d": True}
     assert check([("d", "PROCESS:h:a", "PROCESS:h:b", "SPAWNED"), ("d", "PROCESS:h:b", "PROCESS:h:a", "SPAWNED")]) == {"c": True, "d": False}
+
+
+def test_fan_out_over_hours_and_without_times(spark):
+    rows = [{"event_type": "NETWORK_CONNECTION", "source_ip": "10.0.0.1", "destination_ip": f"8.8.8.{i % 10}", "sec": 1800 * i} for i in range(14)]
+    rows += [{"event_type": "NETWORK_CONNECTION", "source_ip": "10.0.0.1", "destination_ip": "9.9.9.9"}]
+    got = {r.event_id: r.title.split()[0] for r in rules.fan_out(events(spark, *rows)).collect()}
+    assert got == {**{f"E{i:03}": str(min(i + 1, 10)) for i in range(7, 14)}, "E014": "11"}
+
+
+def test_failures_across_hours(spark):
+    """The window reaches over an hour's end; the success is long after its failures; many successes divide the counts."""
+    key = {"user": "ann", "source_ip": "1.1.1.1"}
+    rows = [{**key, "event_type": "LOGIN_ATTEMPT", "sec": 3500 + 40 * i} for i in range(6)]
+    rows += [{**key, "event_type": "LOGIN_SUCCESS", "sec": 20_000}, {**key, "event_type": "LOGIN_ATTEMPT", "sec": 20_001}, {**key, "event_type": "LOGIN_SUCCESS", "sec": 20_002}]
+    got = {r.event_id: r.title for r in rules.authentication(events(spark, *rows)).collect()}
+    assert got == {"E004": "5 failed logins for 'ann' from 1.1.1.1", "E005": "6 failed logins for 'ann' from 1.1.1.1", "E006": "Successful login for 'ann' after 6 failures"}
