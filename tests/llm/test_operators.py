@@ -480,3 +480,18 @@ def test_random_runs_by_alphabet(spark, docs):
     assert all(share[n] >= 0.97 for n in alphabets), share
     clean = secret_scan.scan(real, ratios).where("exists(spans, s -> s.kind = 3)").count()
     assert clean <= 0.01 * real.count()
+
+
+def test_quality_on_labels_kept_aside(spark):
+    """Trained on half of the given labels, held against the other half; the views see different things."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    half = F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 1
+    rows = quality.classify(docs, labels.where(half)).join(labels.where(~half), "doc_id").collect()
+    assert len(rows) > 150 and sum(r.keep == (r.quality == 1) for r in rows) >= 0.97 * len(rows)
+    good = [r for r in rows if r.quality == 1]
+    assert sum(not r.keep for r in good) <= 0.02 * len(good)
+    blank = docs.withColumn("text", F.lit(None).cast("string"))
+    models = quality.train(docs, labels)
+    same = quality.score(docs, models).select("doc_id", F.col("p_metadata").alias("m")).join(quality.score(blank, models), "doc_id")
+    assert same.where("abs(m - p_metadata) > 1e-9").count() == 0
