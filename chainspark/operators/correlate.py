@@ -56,7 +56,8 @@ def entity_keys() -> Column:
 def _keyed(events: DataFrame, isolate_by: tuple[str, ...]) -> DataFrame:
     missing = [c for c in _FIELDS if c not in events.columns]
     events = events.withColumns({c: F.lit(None).cast("string") for c in missing})
-    return events.select(_carried().alias("e"), entity_keys().alias("keys"), *isolate_by)
+    # As numbers keys are compared faster; a chance meeting only makes a pair that scores too little.
+    return events.select(_carried().alias("e"), F.transform(entity_keys(), lambda k: F.xxhash64(k)).alias("keys"), *isolate_by)
 
 
 def _ordered(first: str, second: str) -> Column:
@@ -132,28 +133,42 @@ def _depends() -> Column:
     return ~apart & (_refers("a", "b") | acted | resolved | fetched | changed)
 
 
+#: Signals of one equal field.
+SAME = {
+    "same_host": "host",
+    "same_user": "user",
+    "same_source_ip": "source_ip",
+    "same_destination_ip": "destination_ip",
+    "shared_domain": "domain",
+    "shared_file": "file_path",
+}
+
+
+def keep_apart(keep: tuple[str, ...]) -> list[str]:
+    return [c for c in keep if c not in ("a", "b")]
+
+
 def score_pairs(pairs: DataFrame, cfg: Settings = DEFAULT, keep: tuple[str, ...] = ()) -> DataFrame:
     """``keep`` and ``event_a, event_b``, points of each signal, ``window`` and ``total`` (integers by default)."""
     w = cfg.weights
-    gap = F.abs(F.col("a.sec") - F.col("b.sec"))
+    # Comparisons are made once a pair: a generator keeps them from being repeated in every use below.
+    found = F.struct(
+        F.abs(F.col("a.sec") - F.col("b.sec")).alias("gap"),
+        *[_same(field).alias(signal) for signal, field in SAME.items()],
+        _process_linked().alias("process_relationship"),
+        _depends().alias("event_dependency"),
+        F.col("a.idx").alias("first"),
+        F.col("b.idx").alias("second"),
+    )
+    pairs = pairs.select("a", "b", *keep_apart(keep), F.inline(F.array(found)))
+    gap, first, second = F.col("gap"), F.col("first"), F.col("second")
     window = F.when(gap <= cfg.strict_seconds, "STRICT").when(gap <= cfg.normal_seconds, "NORMAL").when(gap <= cfg.broad_seconds, "BROAD")
     share = F.when(gap <= cfg.strict_seconds, 10).when(gap <= cfg.normal_seconds, 8).when(gap <= cfg.broad_seconds, 5).otherwise(0)
-    first, second = F.col("a.idx"), F.col("b.idx")
     flow = F.when(first.isNull() | second.isNull(), 0).when(second < first, 3).when(second - first <= 6, 10).otherwise(6)
     tenth = lambda weight, tenths: (F.lit(weight) * tenths / 10).cast("int")
-    on = lambda signal, hit: F.when(hit, w[signal]).otherwise(0)
-    points = {
-        "temporal": tenth(w["temporal"], share),
-        "same_host": on("same_host", _same("host")),
-        "same_user": on("same_user", _same("user")),
-        "same_source_ip": on("same_source_ip", _same("source_ip")),
-        "same_destination_ip": on("same_destination_ip", _same("destination_ip")),
-        "shared_domain": on("shared_domain", _same("domain")),
-        "process_relationship": on("process_relationship", _process_linked()),
-        "shared_file": on("shared_file", _same("file_path")),
-        "attack_progression": tenth(w["attack_progression"], flow),
-        "event_dependency": on("event_dependency", _depends()),
-    }
+    points = {s: F.when(F.col(s), w[s]).otherwise(0) for s in (*SAME, "process_relationship", "event_dependency")}
+    points |= {"temporal": tenth(w["temporal"], share), "attack_progression": tenth(w["attack_progression"], flow)}
+    points = {s: points[s] for s in SIGNALS}
     seeded = [F.col(f"{s}.seed").alias(f"seed_{s}") for s in "ab"]
     scored = pairs.select(F.col("a.event_id").alias("event_a"), F.col("b.event_id").alias("event_b"), *keep, *seeded, window.alias("window"), *[v.alias(k) for k, v in points.items()])
     return scored.withColumn("total", sum((F.col(s) for s in SIGNALS[1:]), F.col(SIGNALS[0])))
