@@ -2,7 +2,21 @@
 
 from __future__ import annotations
 
-from chainspark.llm import decontaminate, exact_dedup, jaccard_join, license_scan, line_dedup, lm_score, quality, secret_scan, sentencepiece_codec, suffix_dedup
+from chainspark.llm import (
+    conversation_repair,
+    decontaminate,
+    exact_dedup,
+    jaccard_join,
+    license_scan,
+    line_dedup,
+    lm_score,
+    quality,
+    secret_scan,
+    sentencepiece_codec,
+    spelling,
+    suffix_dedup,
+    token_counts,
+)
 
 QUERIES = {
     "op1_lm_score": lm_score.op1_lm_score,
@@ -15,6 +29,9 @@ QUERIES = {
     "op7_secret_scan": secret_scan.op7_secret_scan,
     "op9_license_scan": license_scan.op9_license_scan,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
+    "op11_token_counts": token_counts.op11_token_counts,
+    "op12_spelling_variants": spelling.op12_spelling_variants,
+    "op13_conversation_repair": conversation_repair.op13_conversation_repair,
 }
 
 ORACLE_SQL = {
