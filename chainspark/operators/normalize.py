@@ -160,9 +160,11 @@ def normalize(records: DataFrame, scenario_id: str | None = None) -> DataFrame:
     """Canonical events of ``records`` (``idx, raw``), with ``issues`` and a null ``event_type`` where none can be told.
 
     A record that is no object, or is empty, has a null type and one issue.  ``note`` joins the
-    values of ``metadata`` for rules that search it.  Generated ids hash the record's place and text.
+    values of ``metadata`` for rules that search it.  A record without an id of its own is told by its text and
+    its place: ``file`` and ``line`` where the scan gives them, else ``idx``.
     """
-    parsed = records.select("idx", "raw", F.from_json("raw", "map<string,variant>").alias("m"))
+    place = ["file", "line"] if {"file", "line"} <= set(records.columns) else ["idx"]
+    parsed = records.select("idx", "raw", F.concat_ws("|", *place).alias("place"), F.from_json("raw", "map<string,variant>").alias("m"))
     rows = parsed.withColumn("fields", _fields())
     rows = rows.withColumns({f"f_{c}": _first(names)["s"] for c, names in ALIASES.items()})
     stamp = _first(ALIASES["timestamp"])
@@ -182,7 +184,7 @@ def normalize(records: DataFrame, scenario_id: str | None = None) -> DataFrame:
     technique = F.upper(F.trim(F.col("f_technique_id")))
     given = F.trim(F.get(F.filter("fields", lambda e: e["name"].isin(*ID_KEYS)), 0)["s"])
     given = F.when((given != "") & ~F.regexp_replace(F.lower(given), "[^a-z0-9]", "").isin("id", "eventid"), given)
-    made = F.concat(F.lit("EVT-"), F.upper(F.substring(F.sha2(F.concat_ws("|", F.col("idx"), F.col("raw")), 256), 1, 12)))
+    made = F.concat(F.lit("EVT-"), F.upper(F.substring(F.sha2(F.concat_ws("|", "place", "raw"), 256), 1, 24)))
     tagged = F.filter("fields", lambda e: e["key"].isin(*GROUND_TRUTH_KEYS))
     truth = F.array_sort(F.transform(tagged, lambda e: F.struct(F.array_position(F.array(*[F.lit(k) for k in GROUND_TRUTH_KEYS]), e["key"]).alias("at"), e["s"].alias("s"))))
     truth = F.get(truth, 0)["s"]
@@ -238,9 +240,14 @@ def normalize(records: DataFrame, scenario_id: str | None = None) -> DataFrame:
 
 
 def capped_batch(records: DataFrame, most: int = DEFAULT.max_events_per_ingest) -> tuple[DataFrame, DataFrame]:
-    """The first ``most`` records by place, and one issue row where there were more (a feature: the size of one ingest)."""
+    """The first ``most`` records by ``idx``, and one issue row where there were more (a feature: the size of one ingest).
+
+    Only the places of the first ``most`` are gathered to find where to cut; they need not be without gaps.
+    """
+    first = records.select("idx").orderBy("idx").limit(most)
+    last = first.agg(F.max("idx")).scalar()
     over = records.agg(F.count(F.lit(1)).alias("received")).where(F.col("received") > most)
-    return records.where(F.col("idx") < most), over.select(F.lit("batch").alias("scope"), F.col("received"), F.lit(most).alias("taken"))
+    return records.where(F.col("idx") <= last), over.select(F.lit("batch").alias("scope"), F.col("received"), F.lit(most).alias("taken"))
 
 
 def issue_rows(events: DataFrame) -> DataFrame:

@@ -13,7 +13,7 @@ from chainspark.plans.oracle_parts import CHAINS, CORRELATE, DETECT, with_
 from chainspark.plans.queries import query
 from chainspark.plans.stored import Derived, derived
 from chainspark.sinks import tables
-from chainspark.sources import adapters, records
+from chainspark.sources import adapters, csv_files, records
 
 _CARRIED = (
     "timestamp", "event_type", "host", "user", "source_ip", "destination_ip", "destination_port", "protocol", "process_name", "process_id",
@@ -175,7 +175,7 @@ def scan_csv(spark, sf_dir):
     def write(path: str) -> None:
         tables.export_csv(raw_records(d), path)
 
-    found = records.scan_csv(spark, d.store.files("csv", write))
+    found, _ = csv_files.scan_csv(spark, d.store.files("csv", write))
     # In text every value is text, so the epochs of the second sensor are told by their name.
     epoch = F.regexp_replace("raw", '"UtcTime":"(\\d+)"', '"UtcTime":$1')
     return N.normalize(found.withColumn("raw", epoch)).select(*_ROUND)

@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from chainspark.sources.records import file_name, scan_json
+from chainspark.sources import splits as S
+from chainspark.sources.records import scan_json
 
 # Placeholders of empty cells, event ids beside the usual ones, and keys that mark a row.
 PLACEHOLDERS = ("", "-", "n/a", "none", "null")
@@ -97,13 +98,13 @@ def _mapped(scanned: Loaded, names: dict[str, tuple[str, ...]], source: str, met
     if message:
         for field, value in message_fields(at(message)).items():
             values[field] = F.coalesce(values[field], value) if field in values else value
-    meta = {"dataset": F.lit(source), **{k: clean(at(v)) for k, v in metadata.items()}, "event_id_raw": event_id, "row_index": F.col("idx")}
+    meta = {"dataset": F.lit(source), **{k: clean(at(v)) for k, v in metadata.items()}, "event_id_raw": event_id, "row_index": F.col("line")}
     if message:
         meta["message"] = F.substring(clean(at(message)), 1, 1000)
     made = _record({**values, **_typed(event_id), "source": F.lit(source)}, meta)
     # The mapped record must still name an event, a time, a host or a source.
     told = F.coalesce(values["timestamp"], values["host"], values["source_ip"], event_id).isNotNull()
-    out = rows.where(is_object & known & told).select("file", "idx", made.alias("raw"))
+    out = rows.where(is_object & known & told).select("file", "line", "idx", made.alias("raw"))
     issues = issues.unionByName(_issue(rows.where(~is_object), "row is no object"))
     issues = issues.unionByName(_issue(rows.where(is_object & ~known), "row has no time, host or event id"))
     return out, issues.unionByName(_issue(rows.where(is_object & known & ~told), "row cannot be mapped"))
@@ -122,24 +123,24 @@ def load_evtx(spark: SparkSession, path: str) -> Loaded:
 def load_splunk(spark: SparkSession, path: str) -> Loaded:
     """Records and issues of text files in blocks: a time line, ``Key=Value`` lines, and lines that carry ``Message`` on.
 
+    A large file is read by many tasks; a block that reaches over a split is still one.
     Where ``Message`` is carried on, only those lines are its text.
     """
-    files = spark.read.text(path, wholetext=True).select(file_name(), F.col("value").alias("text"))
-    lines = files.select("file", F.posexplode(F.split("text", r"\r?\n")).alias("pos", "line"))
-    starts = F.trim("line").rlike(STAMP)
-    order = Window.partitionBy("file").orderBy("pos")
-    lines = lines.withColumn("block", F.sum(starts.cast("int")).over(order)).where("block > 0")
-    key = F.when(~starts, F.regexp_extract("line", PAIR, 1))
-    within = Window.partitionBy("file", "block").orderBy("pos")
+    read = S.lines(spark, path)
+    rows = S.numbered(read, S.count_splits(read)).withColumnRenamed("value", "text")
+    starts = F.trim("text").rlike(STAMP)
+    lines = S.since(rows, starts).where("record is not null").select("file", "record", F.col("line").alias("pos"), "text", starts.alias("starts"))
+    key = F.when(~F.col("starts"), F.regexp_extract("text", PAIR, 1))
+    within = Window.partitionBy("file", "record").orderBy("pos")
     lines = lines.withColumn("key", F.when(key != "", key)).withColumn("of", F.last("key", True).over(within))
-    pair = F.when(F.col("key").isNotNull(), F.struct("pos", "key", F.regexp_extract("line", PAIR, 2).alias("v")))
-    more = F.when(F.col("key").isNull() & (F.col("of") == "Message") & ~starts & (F.trim("line") != ""), F.struct("pos", F.trim("line").alias("v")))
+    pair = F.when(F.col("key").isNotNull(), F.struct("pos", "key", F.regexp_extract("text", PAIR, 2).alias("v")))
+    more = F.when(F.col("key").isNull() & (F.col("of") == "Message") & ~F.col("starts") & (F.trim("text") != ""), F.struct("pos", F.trim("text").alias("v")))
     # A block is one event, so its lines are few.
-    grouped = lines.groupBy("file", "block").agg(F.max(F.when(starts, F.trim("line"))).alias("stamp"), F.sort_array(F.collect_list(pair)).alias("pairs"), F.sort_array(F.collect_list(more)).alias("more"))
+    grouped = lines.groupBy("file", "record").agg(F.min("pos").alias("line"), F.max(F.when(F.col("starts"), F.trim("text"))).alias("stamp"), F.sort_array(F.collect_list(pair)).alias("pairs"), F.sort_array(F.collect_list(more)).alias("more"))
     # Of a repeated key the last counts.
     last = F.filter("pairs", lambda p: ~F.exists("pairs", lambda q: (q["key"] == p["key"]) & (q["pos"] > p["pos"])))
     rows = grouped.select(
-        "file", (F.col("block") - 1).cast("long").alias("idx"), "stamp",
+        "file", "line", F.col("record").alias("idx"), "stamp",
         F.map_from_entries(F.transform(last, lambda p: F.struct(p["key"], p["v"]))).alias("m"), F.transform("more", lambda x: x["v"]).alias("more"),
     )
     at = lambda k: F.element_at("m", F.lit(k))
@@ -152,9 +153,9 @@ def load_splunk(spark: SparkSession, path: str) -> Loaded:
         **message_fields(message),
         "source": F.lit("splunk-attack-data"),
     }
-    meta = {"dataset": F.lit("splunk-attack-data"), "row_index": F.col("idx"), **{k.lower(): clean(at(k)) for k in SPLUNK_META}, "message": F.substring(message, 1, 1000)}
+    meta = {"dataset": F.lit("splunk-attack-data"), "row_index": F.col("line"), **{k.lower(): clean(at(k)) for k in SPLUNK_META}, "message": F.substring(message, 1, 1000)}
     filled = (F.size("m") > 0) | (F.size("more") > 0)
-    return rows.where(filled).select("file", "idx", _record(values, meta).alias("raw")), _issue(rows.where(~filled), "block has no fields")
+    return rows.where(filled).select("file", "line", "idx", _record(values, meta).alias("raw")), _issue(rows.where(~filled), "block has no fields")
 
 
 def evtx_sample(rows: DataFrame, a_file: int = 60, in_all: int = 400) -> DataFrame:

@@ -1,20 +1,17 @@
-"""Scans of JSON and CSV telemetry files to raw records ``idx, raw`` and issues."""
+"""Scans of JSON telemetry files to raw records and issues; ``csv_files`` has those of CSV."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from chainspark.sources import splits as S
+
 # Keys under which a JSON object may hold its list of records, and keys that mark one record.
 LIST_KEYS = ("events", "records", "data", "items", "telemetry", "logs")
 RECORD_KEYS = ("event_type", "type", "timestamp", "EventID", "computer")
 
 
-def file_name() -> Column:
-    """Folder and name of the file a row comes from."""
-    return F.substring_index(F.input_file_name(), "/", -2).alias("file")
-
-
 def parse_json_texts(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``file, idx, raw`` of texts (``file, value``) that hold a list, an object with a list, or one record; issues for the rest.
 
@@ -36,36 +33,20 @@ def parse_json_texts(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def scan_json(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """Records and issues of JSON files, each read whole by one task."""
-    return parse_json_texts(spark.read.text(path, wholetext=True).select(file_name(), "value"))
-
-
-def scan_json_lines(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """Records and issues of files with one JSON object a line; files are split over tasks, so ``idx`` is a hash of place and line."""
-    lines = spark.read.text(path).where(F.trim("value") != "").select(file_name(), "value")
-    sound = F.from_json("value", "map<string,variant>").isNotNull()
-    idx = F.abs(F.xxhash64("file", "value")).alias("idx")
-    return lines.where(sound).select("file", idx, F.col("value").alias("raw")), lines.where(~sound).select("file", idx, F.lit("line is no JSON object").alias("message"))
-
-
-def sniff_separator(spark: SparkSession, path: str) -> str:
-    """The separator that stands most often in the first line among ``, ; tab |``."""
-    first = spark.read.text(path).where(F.trim("value") != "").first()
-    if first is None:
-        raise ValueError("empty CSV content")
-    return max(",;\t|", key=first[0].count)
+    """Records (``file, line, idx, raw``) and issues of JSON files, each read whole by one task.
 
+    ``line`` counts in the file; ``idx`` keeps the order of files and of records in them, with gaps.
+    """
+    texts = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
+    rows, issues = parse_json_texts(texts)
+    ranks = S.small(S.listed(spark, path).select("file", "rank"))
+    placed = rows.join(ranks, "file").select("file", F.col("idx").alias("line"), (F.shiftleft(F.col("rank").cast("long"), 32) + F.col("idx")).alias("idx"), "raw")
+    return placed, issues
 
-def scan_csv(spark: SparkSession, path: str, separator: str | None = None) -> DataFrame:
-    """Records (``file, idx, raw``) of CSV files with a header; names trimmed, empty cells and blank rows left out.
 
-    Files are split over tasks, so ``idx`` is a hash of file and row.
-    """
-    read = spark.read.csv(path, header=True, sep=separator or sniff_separator(spark, path), escape='"', multiLine=False)
-    if not read.columns:
-        raise ValueError("CSV has no header row")
-    names = {c: c.strip() for c in read.columns}
-    cells = F.struct(*[F.when(F.trim(F.col(f"`{c}`")) != "", F.col(f"`{c}`")).alias(n) for c, n in names.items()])
-    some = F.coalesce(*[cells[n] for n in names.values()]).isNotNull()
-    raw = F.to_json(cells)
-    return read.where(some).select(file_name(), F.abs(F.xxhash64(F.input_file_name(), raw)).alias("idx"), raw.alias("raw"))
+def scan_json_lines(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Records (``file, line, idx, raw``) and issues of files with one JSON object a line, numbered as they stand in files and over all files."""
+    read = S.lines(spark, path)
+    rows = S.numbered(read, S.count_splits(read)).where(F.trim("value") != "").withColumnRenamed("value", "raw")
+    sound = F.from_json("raw", "map<string,variant>").isNotNull()
+    return rows.where(sound).select("file", "line", "idx", "raw"), rows.where(~sound).select("file", "idx", F.lit("line is no JSON object").alias("message"))
