@@ -1,10 +1,11 @@
 """Candidate pairs, their scores and what explains them.
 
 Two events meet where they share an entity key, where one's process is the other's parent, or
-within ten minutes.  Without a cap, a pair that meets by time alone matters only where one event
-has no host: any other scores at most ``time_alone`` and cannot become an edge.  Each event
-carries its attributes to its keys, and a pair is made only under the smallest key both share, so
-one shuffle by key replaces the distinct and both joins back to the events.  With a cap, all
+within ten minutes.  Without a cap, only pairs that can become edges are made: ``blocking`` has those
+that share a key, and a pair that meets by time alone matters only where one event has no host: any
+other scores at most ``time_alone``.  Each event carries its attributes to its keys, and a pair is
+made only under the smallest key both share, so one shuffle by key replaces the distinct and both
+joins back to the events.  With a cap, all
 candidates are ranked before any is scored.
 """
 
@@ -16,6 +17,7 @@ from pyspark.sql import functions as F
 from chainspark.config import DEFAULT, Settings
 from chainspark.dims import tactic_index
 from chainspark.functions.scalars import basename, filled, process_value, text
+from chainspark.operators.blocking import bound_pairs
 
 SIGNALS = (
     "temporal", "same_host", "same_user", "same_source_ip", "same_destination_ip", "shared_domain",
@@ -104,7 +106,8 @@ def candidates(events: DataFrame, cfg: Settings = DEFAULT, isolate_by: tuple[str
         if isolate_by:
             raise ValueError("isolation needs weights under which time alone makes no edge")
         return as_pairs(all_candidates(events, cfg), events)
-    return entity_pairs(events, isolate_by).unionByName(near_pairs(events, cfg, isolate_by))
+    keyed = _keyed(events, isolate_by)
+    return bound_pairs(keyed, cfg, _ordered("a", "b"), isolate_by).unionByName(near_pairs(events, cfg, isolate_by))
 
 
 def _same(field: str) -> Column:
