@@ -22,14 +22,14 @@ def contained(needles: DataFrame, texts: DataFrame, by: str = "by") -> DataFrame
     Each needle is looked up by the one of its n-grams that fewest needles have (shorter needles by themselves),
     so a text meets only needles of which it holds that n-gram.  Nulls and empty needles match nothing.
     """
-    needles = cut(needles.where("by is not null and needle <> ''").select(by, "needle").distinct())
+    needles = cut(needles.where(F.col(by).isNotNull() & (F.col("needle") != "")).select(by, "needle").distinct())
     width = F.least(F.length("needle"), F.lit(GRAM)).alias("width")
     each = needles.select(by, "needle", width, F.explode(grams(F.col("needle"), F.least(F.length("needle"), F.lit(GRAM)))).alias("gram"))
     common = each.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
     key = each.join(common, "gram").groupBy(by, "needle").agg(F.min_by("gram", F.struct("n", F.xxhash64("gram"))).alias("gram"))
     # Needles of four widths at most, so the collected list is of that length.
     widths = [r[0] for r in needles.select(width).distinct().collect()]
-    texts = texts.where("by is not null and text is not null").select(by, "text").distinct()
+    texts = texts.where(F.col(by).isNotNull() & F.col("text").isNotNull()).select(by, "text").distinct()
     own = F.flatten(F.array(*[grams(F.col("text"), F.lit(w)) for w in widths])) if widths else F.array().cast("array<string>")
     met = texts.select(by, "text", F.explode(own).alias("gram")).join(key, [by, "gram"])
     return met.where(F.contains("text", F.col("needle"))).select(by, "needle", "text")

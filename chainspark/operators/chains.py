@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from chainspark.config import DEFAULT, Settings
 from chainspark.dims import SEVERITIES, severity_rank, suggestions, tactic_index, tactic_risk, tactic_stage, tactics
+from chainspark.functions.substrings import contained
 from chainspark.functions.scalars import basename, filled, text
 from chainspark.operators.components import components
 from chainspark.operators.correlate import GROUPS, LABELS, SIGNALS, as_pairs, pair_details, score_pairs
@@ -157,9 +158,12 @@ def missing_steps(chains: DataFrame, members: DataFrame, events: DataFrame, top:
     # One row a written name: a later run on its host, or anywhere if it was written without a host.
     made = made.where("base <> ''").groupBy("chain", "base", "made_host").agg(F.min("made_at").alias("made_at"))
     runs = ran.where("command <> '' or process <> ''").groupBy("chain", "host", "command", "process").agg(F.max("position").alias("position"))
-    named = F.col("command").contains(F.col("base")) | (F.col("base") == F.col("process"))
     there = F.col("made_host").isNull() | F.col("made_host").eqNullSafe(F.col("host"))
-    used = made.join(runs, "chain").where(named & there & (F.col("position") > F.col("made_at")))
+    held = contained(made.select("chain", F.col("base").alias("needle")), runs.select("chain", F.col("command").alias("text")), "chain")
+    in_command = made.join(held.withColumnRenamed("needle", "base"), ["chain", "base"]).join(runs.withColumnRenamed("command", "text"), ["chain", "text"])
+    by_name = made.join(runs.withColumn("base", F.col("process")), ["chain", "base"])
+    seen_run = ["chain", "made_host", "host", "made_at", "position"]
+    used = in_command.select(*seen_run).unionByName(by_name.select(*seen_run)).where(there & (F.col("position") > F.col("made_at")))
     executed = used.select("chain").distinct().join(seen.select("chain", "confidence", "techniques"), "chain")
     executed = executed.where(~F.exists("techniques", lambda t: t.startswith("T1204")))
     sure = F.when(F.col("confidence") >= 50, 61.0).otherwise(50.0)

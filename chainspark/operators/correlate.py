@@ -197,32 +197,42 @@ def temporal_pairs(events: DataFrame, cfg: Settings = DEFAULT) -> DataFrame:
     return met.where(after & (F.col("sec_b") - F.col("sec_a") <= width)).select("event_a", "event_b")
 
 
+def _lineage(events: DataFrame) -> DataFrame:
+    """Events ``x`` and their parents ``y`` with both times, on one host (or both without)."""
+    host = text(F.col("host")).alias("on_host")
+    child = events.where("parent_process_id is not null").select(F.col("event_id").alias("x"), F.col("sec").alias("sec_x"), host, F.col("parent_process_id").alias("pid"))
+    parent = events.where("process_id is not null").select(F.col("event_id").alias("y"), F.col("sec").alias("sec_y"), host, F.col("process_id").alias("pid"))
+    return child.join(parent, ["on_host", "pid"]).where("x <> y")
+
+
+def _pair(x: str, y: str) -> list[Column]:
+    return [F.least(x, y).alias("event_a"), F.greatest(x, y).alias("event_b")]
+
+
 def lineage_pairs(events: DataFrame) -> DataFrame:
     """``event_a, event_b``: a process and an event whose parent process it is, on one host (or both without)."""
-    host = text(F.col("host")).alias("on_host")
-    child = events.where("parent_process_id is not null").select(F.col("event_id").alias("x"), host, F.col("parent_process_id").alias("pid"))
-    parent = events.where("process_id is not null").select(F.col("event_id").alias("y"), host, F.col("process_id").alias("pid"))
-    met = child.join(parent, ["on_host", "pid"]).where("x <> y")
-    return met.select(F.least("x", "y").alias("event_a"), F.greatest("x", "y").alias("event_b")).distinct()
+    return _lineage(events).select(*_pair("x", "y")).distinct()
+
+
+def ranked_candidates(events: DataFrame, cfg: Settings = DEFAULT) -> DataFrame:
+    """``event_a, event_b, outside`` (smaller id first): every pair that shares a key, a lineage or ten minutes; ``outside`` is 1 beyond those."""
+    outside = lambda s, t: F.coalesce((F.abs(F.col(s) - F.col(t)) > cfg.broad_seconds).cast("int"), F.lit(1)).alias("outside")
+    shared = entity_pairs(events).select(*_pair("a.event_id", "b.event_id"), outside("a.sec", "b.sec"))
+    near = temporal_pairs(events, cfg).select(*_pair("event_a", "event_b"), F.lit(0).alias("outside"))
+    born = _lineage(events).select(*_pair("x", "y"), outside("sec_x", "sec_y"))
+    return shared.unionByName(near).unionByName(born).distinct()
 
 
 def all_candidates(events: DataFrame, cfg: Settings = DEFAULT) -> DataFrame:
-    """``event_a, event_b`` (smaller id first): every pair that shares a key, a lineage or ten minutes."""
-    shared = entity_pairs(events).select(F.col("a.event_id").alias("event_a"), F.col("b.event_id").alias("event_b"))
-    met = shared.unionByName(temporal_pairs(events, cfg)).unionByName(lineage_pairs(events))
-    return met.select(F.least("event_a", "event_b").alias("event_a"), F.greatest("event_a", "event_b").alias("event_b")).distinct()
+    """``event_a, event_b`` of ``ranked_candidates``."""
+    return ranked_candidates(events, cfg).select("event_a", "event_b")
 
 
-def cap_candidates(pairs: DataFrame, events: DataFrame, cfg: Settings = DEFAULT) -> DataFrame:
+def cap_candidates(pairs: DataFrame, cfg: Settings = DEFAULT) -> DataFrame:
     """Keep a candidate while either end ranks it among its first: those within ten minutes, then by id."""
-    times = events.select("event_id", "sec")
-    near = lambda side: times.withColumnsRenamed({"event_id": f"event_{side}", "sec": f"sec_{side}"})
-    timed = pairs.join(near("a"), "event_a").join(near("b"), "event_b")
-    outside = F.coalesce((F.abs(F.col("sec_a") - F.col("sec_b")) > cfg.broad_seconds).cast("int"), F.lit(1))
     ends = F.array(*[F.struct(F.col(f"event_{x}").alias("of"), F.col(f"event_{y}").alias("other")) for x, y in ("ab", "ba")])
-    sides = timed.select("event_a", "event_b", outside.alias("outside"), F.inline(ends))
     rank = F.row_number().over(Window.partitionBy("of").orderBy("outside", "other"))
-    kept = sides.withColumn("rank", rank).where(F.col("rank") <= cfg.max_candidates_per_event)
+    kept = pairs.select("event_a", "event_b", "outside", F.inline(ends)).withColumn("rank", rank).where(F.col("rank") <= cfg.max_candidates_per_event)
     return kept.select("event_a", "event_b").distinct()
 
 
@@ -237,7 +247,7 @@ def as_pairs(pairs: DataFrame, events: DataFrame) -> DataFrame:
 
 def correlate_capped(events: DataFrame, cfg: Settings = DEFAULT) -> DataFrame:
     """Edges among the capped candidates: at most forty a side, ranked before scoring."""
-    kept = cap_candidates(all_candidates(events, cfg), events, cfg)
+    kept = cap_candidates(ranked_candidates(events, cfg), cfg)
     return edges_of(score_pairs(as_pairs(kept, events), cfg), cfg)
 
 

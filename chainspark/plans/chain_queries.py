@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from chainspark.operators import chains as C
 from chainspark.operators import correlate as K
 from chainspark.operators import entities as E
-from chainspark.plans.oracle_parts import CAPPED, CHAINS, CORRELATE, DETECT, EVIDENCE, reach, with_
+from chainspark.plans.oracle_parts import CAPPED, CHAINS, CORRELATE, DETECT, EVIDENCE, PAIRS, reach, with_
 from chainspark.plans.queries import query
 from chainspark.plans.stored import derived
 
@@ -67,7 +67,7 @@ def edges_query(spark, sf_dir):
     return derived(spark, sf_dir).edges.select(*_SCORE)
 
 
-@query("edges_capped", with_("SELECT x AS event_a, y AS event_b, total FROM kept JOIN scores_of ON event_a = x AND event_b = y WHERE total >= 35 AND total > temporal + same_host", DETECT, CORRELATE, CAPPED))
+@query("edges_capped", with_("SELECT x AS event_a, y AS event_b, total FROM kept JOIN scores_of ON event_a = x AND event_b = y WHERE total >= 35 AND total > temporal + same_host", DETECT, PAIRS, CAPPED))
 def edges_capped(spark, sf_dir):
     return K.correlate_capped(derived(spark, sf_dir).events).select("event_a", "event_b", "total")
 
@@ -103,7 +103,17 @@ def adjacency(spark, sf_dir):
   count(*) FILTER (WHERE "window" = 'NORMAL') AS normal, count(*) FILTER (WHERE "window" = 'BROAD') AS broad FROM edges""", DETECT, CORRELATE, reach("cl", "edges"), recursive=True))
 def correlation_stats(spark, sf_dir):
     d = derived(spark, sf_dir)
-    return K.correlation_stats(d.events, d.edges, d.clusters, K.candidates(d.events).select("a.event_id"))
+    return K.correlation_stats(d.events, d.edges, d.clusters, K.entity_pairs(d.events).unionByName(K.near_pairs(d.events)).select("a.event_id"))
+
+
+@query("candidate_counts", with_("""SELECT count(*) AS candidates, count(*) FILTER (WHERE abs(a.sec - b.sec) > 600) AS outside, (SELECT count(*) FROM shared) AS by_key, (SELECT count(*) FROM lineage) AS by_lineage
+  FROM every JOIN p a ON a.event_id = x JOIN p b ON b.event_id = y""", DETECT, PAIRS, CAPPED))
+def candidate_counts(spark, sf_dir):
+    """Candidates before any bound, how many lie over ten minutes apart, and how many keys and lineage bring together."""
+    events = derived(spark, sf_dir).telemetry
+    count = lambda df: df.agg(F.count(F.lit(1))).scalar()
+    counted = K.ranked_candidates(events).agg(F.count(F.lit(1)).alias("candidates"), F.count_if(F.col("outside") == 1).alias("outside"))
+    return counted.select("*", count(K.entity_pairs(events)).alias("by_key"), count(K.lineage_pairs(events)).alias("by_lineage"))
 
 
 @query("clusters", with_("SELECT event_id, component FROM cl", DETECT, CORRELATE, reach("cl", "edges"), recursive=True))

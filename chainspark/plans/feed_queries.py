@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chainspark.operators import evaluate, indicators
-from chainspark.plans.oracle_parts import CHAINS, CORRELATE, DETECT, reach, with_
+from chainspark.operators import evaluate, indicators, rules
+from chainspark.plans.oracle_parts import CHAINS, CORRELATE, CROSSED, DETECT, P, isolated, reach, with_
 from chainspark.plans.queries import query
 from chainspark.plans.stored import Derived, derived
 from chainspark.sinks import tables
@@ -118,46 +118,52 @@ def ioc_issues(spark, sf_dir):
 # ------------------------------------------------------------- evaluation
 
 
-def _scenarios(d: Derived) -> DataFrame:
+def _scenarios(telemetry: DataFrame) -> DataFrame:
     """The last scenario counts as benign."""
-    return d.telemetry.select("scenario_id").distinct().withColumn("is_benign", F.col("scenario_id") == "SCN-5")
+    return telemetry.select("scenario_id").distinct().withColumn("is_benign", F.col("scenario_id") == "SCN-5")
 
 
-def _tagged(d: Derived) -> DataFrame:
-    """Enriched events of a scenario run, each tagged with its own id."""
-    return d.events.withColumn("gt_id", F.col("event_id"))
-
-
-def _truth(d: Derived) -> DataFrame:
+def _truth(telemetry: DataFrame) -> DataFrame:
     """What the attack scenarios are made of: remote executions, services and tools run by their accounts, with their techniques."""
-    attack = d.telemetry.where("scenario_id <> 'SCN-5' and event_type in ('REMOTE_EXECUTION', 'SERVICE_CREATED', 'PRIVILEGE_CHANGE')")
+    attack = telemetry.where("scenario_id <> 'SCN-5' and event_type in ('REMOTE_EXECUTION', 'SERVICE_CREATED', 'PRIVILEGE_CHANGE')")
     technique = F.when(F.col("event_type") == "SERVICE_CREATED", "T1543.003").when(F.col("event_type") == "PRIVILEGE_CHANGE", "T1078").otherwise("T1021.002")
     events = attack.select("scenario_id", F.lit("event").alias("level"), F.col("event_id").alias("item"))
     return events.unionByName(attack.select("scenario_id", F.lit("technique").alias("level"), technique.alias("item")).distinct())
 
 
 class Evaluated:
-    """Stages run with scenarios apart: edges only within a scenario, clusters and chains from those."""
+    """Every stage run with scenarios apart: counting rules, enrichment, edges, clusters and chains see one scenario at a time.
+
+    All scenarios go through one pass, the scenario in every key.  With ``crossed``, the scenarios take
+    turns every sixteen events, so that accounts and hosts stand in several.
+    """
 
-    def __init__(self, d: Derived):
+    def __init__(self, d: Derived, crossed: bool = False):
         from chainspark.operators import chains as C
+        from chainspark.operators import correlate as K
         from chainspark.operators.components import components
 
-        self.d = d
-        of = d.telemetry.select("event_id", "scenario_id")
-        a, b = (of.withColumnsRenamed({"event_id": f"event_{s}", "scenario_id": f"scn_{s}"}) for s in "ab")
-        self.edges = d.store.table("eval_edges", lambda: d.edges.join(a, "event_a").join(b, "event_b").where("scn_a = scn_b").drop("scn_a", "scn_b"))
-        self.clusters = d.store.table("eval_clusters", lambda: components(self.edges.select("event_a", "event_b")))
-        self.members = d.store.table("eval_members", lambda: C.chain_members(self.edges, d.events))
+        apart = ("scenario_id",)
+        self.d, table = d, lambda name, make: d.store.table(f"eval_{'crossed_' * crossed}{name}", make)
+        self.telemetry = d.telemetry
+        if crossed:
+            turn = F.floor(F.substring("event_id", 5, 12).cast("long") / 16) % 6
+            self.telemetry = d.telemetry.withColumn("scenario_id", F.concat(F.lit("SCN-"), turn.cast("string")))
+        self.detections = table("detections", lambda: rules.detect(self.telemetry, isolate_by=apart))
+        self.events = table("events", lambda: rules.enrich(self.telemetry, self.detections))
+        self.edges = table("edges", lambda: K.correlate(self.events, isolate_by=apart).drop("scenario_id"))
+        self.clusters = table("clusters", lambda: components(self.edges.select("event_a", "event_b")))
+        self.members = table("members", lambda: C.chain_members(self.edges, self.events))
 
         def build() -> DataFrame:
             conf = C.confidence(C.internal_edges(self.edges, self.members))
-            return C.verdicts(C.roll_up(self.members, d.events, d.detections), conf)
+            return C.verdicts(C.roll_up(self.members, self.events, self.detections), conf)
 
-        self.chains = d.store.table("eval_chains", build)
-        self.scenarios, self.truth = _scenarios(d), _truth(d)
-        make = lambda: evaluate.stage_predictions(_tagged(d), d.detections, self.clusters, self.members, self.chains)
-        self.predictions = d.store.table("eval_predictions", make)
+        self.chains = table("chains", build)
+        self.scenarios, self.truth = _scenarios(self.telemetry), _truth(self.telemetry)
+        #: A scenario run's events, each tagged with its own id.
+        self.tagged = self.events.withColumn("gt_id", F.col("event_id"))
+        self.predictions = table("predictions", lambda: evaluate.stage_predictions(self.tagged, self.detections, self.clusters, self.members, self.chains))
 
     @property
     def results(self) -> DataFrame:
@@ -197,8 +203,8 @@ def _ratios(rows: str) -> str:
     return f"""SELECT *, round_even(2 * "precision" * recall / nullif("precision" + recall, 0), 4) AS f1 FROM (SELECT *, round_even(tp / nullif(tp + fp, 0), 4) AS "precision", round_even(tp / nullif(tp + fn, 0), 4) AS recall FROM ({rows}))"""
 
 
-def _eval(select: str) -> str:
-    return with_(select, DETECT, CORRELATE, _EVAL, recursive=True)
+def _eval(select: str, crossed: bool = False) -> str:
+    return with_(select, isolated(DETECT), CORRELATE, _EVAL, recursive=True, p=CROSSED if crossed else P)
 
 
 @query("eval_scenarios", _eval(_ratios("SELECT scenario_id, is_benign, stage, level, tp, fp, fn, (is_benign AND tp + fp + fn = 0)::BIGINT AS tn FROM res")))
@@ -228,7 +234,7 @@ _LATENCY = """SELECT scenario_id, greatest(0, min(sec) FILTER (WHERE event_id IN
 @query("eval_latency", _eval(_LATENCY))
 def eval_latency(spark, sf_dir):
     e = Evaluated(derived(spark, sf_dir))
-    return evaluate.latency(_tagged(e.d), e.d.detections, e.truth, e.scenarios)
+    return evaluate.latency(e.tagged, e.detections, e.truth, e.scenarios)
 
 
 _CHAIN_F1 = """SELECT scenario_id, count(*) AS chains, count(*) FILTER (WHERE is_attack) AS attack_chains, round_even(max(CASE WHEN is_attack AND wanted > 0 THEN 2.0 * tp / (held + wanted) END), 4) AS chain_f1 FROM (
@@ -238,15 +244,33 @@ _CHAIN_F1 = """SELECT scenario_id, count(*) AS chains, count(*) FILTER (WHERE is
 @query("eval_chains", _eval(_CHAIN_F1))
 def eval_chains(spark, sf_dir):
     e = Evaluated(derived(spark, sf_dir))
-    return evaluate.chain_scores(e.members, e.chains, _tagged(e.d), e.truth)
+    return evaluate.chain_scores(e.members, e.chains, e.tagged, e.truth)
 
 
 @query("eval_summary", _eval(f"""SELECT sum(coalesce(chains, 0))::BIGINT AS chains, count(*) FILTER (WHERE NOT is_benign AND coalesce(chain_f1, 0) >= 0.5) AS correct_chains, count(*) AS scenarios, round_even(correct_chains / nullif(sum(chains), 0), 4) AS chain_accuracy,
   (SELECT round_even(avg(seconds), 3) FROM ({_LATENCY})) AS latency_mean, (SELECT round_even(max(seconds), 3) FROM ({_LATENCY})) AS latency_max, (SELECT count(seconds) FROM ({_LATENCY})) AS latency_samples FROM scn LEFT JOIN ({_CHAIN_F1}) USING (scenario_id)"""))
 def eval_summary(spark, sf_dir):
     e = Evaluated(derived(spark, sf_dir))
-    delays = evaluate.latency(_tagged(e.d), e.d.detections, e.truth, e.scenarios)
-    return evaluate.summary(evaluate.chain_scores(e.members, e.chains, _tagged(e.d), e.truth), delays, e.scenarios)
+    delays = evaluate.latency(e.tagged, e.detections, e.truth, e.scenarios)
+    return evaluate.summary(evaluate.chain_scores(e.members, e.chains, e.tagged, e.truth), delays, e.scenarios)
+
+
+@query("eval_crossed", _eval("SELECT scenario_id, is_benign, stage, level, tp, fp, fn FROM res", crossed=True))
+def eval_crossed(spark, sf_dir):
+    """Scenarios whose accounts and hosts cross: each is judged as if it ran alone."""
+    return Evaluated(derived(spark, sf_dir), crossed=True).results.select("scenario_id", "is_benign", "stage", "level", "tp", "fp", "fn")
+
+
+@query("eval_crossed_findings", with_("SELECT scenario_id, rule_id, count(*) AS n FROM det JOIN p USING (event_id) GROUP BY ALL", isolated(DETECT), p=CROSSED))
+def eval_crossed_findings(spark, sf_dir):
+    e = Evaluated(derived(spark, sf_dir), crossed=True)
+    return e.detections.join(e.telemetry.select("event_id", "scenario_id"), "event_id").groupBy("scenario_id", "rule_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("eval_crossed_chains", _eval(_CHAIN_F1, crossed=True))
+def eval_crossed_chains(spark, sf_dir):
+    e = Evaluated(derived(spark, sf_dir), crossed=True)
+    return evaluate.chain_scores(e.members, e.chains, e.tagged, e.truth)
 
 
 @query("eval_policy", _eval("SELECT scenario_id, stage, level, tp, fp, fn, if(is_benign, NULL, f1) AS f1, if(is_benign, 'no ground truth: counts only', NULL) AS note FROM (" + _ratios("SELECT scenario_id, is_benign, stage, level, tp, fp, fn FROM res") + ")"))
@@ -274,17 +298,17 @@ _RUNS = ", ".join(f"run{i} AS ({_ratios(f'SELECT stage, level, sum(tp)::BIGINT A
 _ALL_RUNS = "runs AS (" + " UNION ALL ".join(f"SELECT {i + 1} AS run_id, {1000 + i} AS created_at, (SELECT count(*) FROM p WHERE scenario_id >= 'SCN-{i}') AS events, stage, level, f1 FROM run{i}" for i in range(3)) + ")"
 
 
-@query("run_deltas", with_("SELECT r.run_id, r.level, r.stage, r.f1, round_even(r.f1 - x.f1, 4) AS delta FROM runs r JOIN runs x ON x.run_id = r.run_id AND x.level = r.level AND x.stage = 'raw_detection'", DETECT, CORRELATE, _EVAL, _RUNS, _ALL_RUNS, recursive=True))
+@query("run_deltas", with_("SELECT r.run_id, r.level, r.stage, r.f1, round_even(r.f1 - x.f1, 4) AS delta FROM runs r JOIN runs x ON x.run_id = r.run_id AND x.level = r.level AND x.stage = 'raw_detection'", isolated(DETECT), CORRELATE, _EVAL, _RUNS, _ALL_RUNS, recursive=True))
 def run_deltas(spark, sf_dir):
     return evaluate.deltas(_runs(Evaluated(derived(spark, sf_dir))))
 
 
-@query("run_latest", with_("SELECT * FROM runs WHERE run_id = 3", DETECT, CORRELATE, _EVAL, _RUNS, _ALL_RUNS, recursive=True))
+@query("run_latest", with_("SELECT * FROM runs WHERE run_id = 3", isolated(DETECT), CORRELATE, _EVAL, _RUNS, _ALL_RUNS, recursive=True))
 def run_latest(spark, sf_dir):
     return evaluate.latest(_runs(Evaluated(derived(spark, sf_dir))))
 
 
-@query("run_history", with_("SELECT DISTINCT run_id, created_at, events FROM runs ORDER BY created_at DESC LIMIT 2", DETECT, CORRELATE, _EVAL, _RUNS, _ALL_RUNS, recursive=True))
+@query("run_history", with_("SELECT DISTINCT run_id, created_at, events FROM runs ORDER BY created_at DESC LIMIT 2", isolated(DETECT), CORRELATE, _EVAL, _RUNS, _ALL_RUNS, recursive=True))
 def run_history(spark, sf_dir):
     return evaluate.history(_runs(Evaluated(derived(spark, sf_dir))), 2)
 

@@ -94,10 +94,28 @@ best AS (SELECT * FROM ranked WHERE rn = 1),
 e AS MATERIALIZED (SELECT p.*, b.technique_id, b.technique_name, b.tactic, coalesce(b.findings, 0) AS findings FROM p LEFT JOIN best b USING (event_id))"""
 
 
-def with_(select: str, *parts: str, recursive: bool = False) -> str:
-    return f"WITH {'RECURSIVE ' if recursive else ''}" + ",\n".join((DIMS, P, *parts)) + "\n" + select
+def with_(select: str, *parts: str, recursive: bool = False, p: str = P) -> str:
+    return f"WITH {'RECURSIVE ' if recursive else ''}" + ",\n".join((DIMS, p, *parts)) + "\n" + select
 
-_PAIRS = r"""keys AS MATERIALIZED (SELECT event_id, unnest([x for x in [
+
+def isolated(detect: str) -> str:
+    """Detection with every scenario by itself: its rules that count over events count within one."""
+    for whole, apart in (
+        ('"user" AS usr FROM p', '"user" AS usr, scenario_id AS scn FROM p'),
+        ("PARTITION BY src, usr", "PARTITION BY scn, src, usr"),
+        ("coalesce(host, 'unknown') AS src, row_number() OVER (PARTITION BY coalesce", "coalesce(host, 'unknown') AS src, scenario_id AS scn, row_number() OVER (PARTITION BY scenario_id, coalesce"),
+        ("OVER (PARTITION BY src ORDER BY sec) AS n FROM outs", "OVER (PARTITION BY scn, src ORDER BY sec) AS n FROM outs"),
+    ):
+        assert whole in detect
+        detect = detect.replace(whole, apart)
+    return detect
+
+
+#: The view with scenarios that take turns every sixteen events, so that accounts and hosts stand in several.
+CROSSED = P.replace("'SCN-' || (blk % 6) AS scenario_id", "'SCN-' || ((n // 16) % 6) AS scenario_id")
+
+
+PAIRS = r"""keys AS MATERIALIZED (SELECT event_id, unnest([x for x in [
     'h:' || host, 'u:' || "user", 'sip:' || source_ip, 'dip:' || destination_ip, 'dom:' || domain, 'f:' || lower(file_path),
     'p:' || coalesce(host || ':', '') || process_name, 'p:' || coalesce(host || ':', '') || parent_process,
     CASE WHEN host IS NULL THEN 'n:' || process_id END, CASE WHEN host IS NULL THEN 'n:' || parent_process_id END] if x IS NOT NULL]) AS key FROM p),
@@ -131,7 +149,7 @@ def _scores(pairs: str, suffix: str = "") -> str:
     return _SCORE.replace("@", suffix).replace("#CAND#", pairs)
 
 
-CORRELATE = f"""{_PAIRS},
+CORRELATE = f"""{PAIRS},
 {_scores("cand")},
 edges AS MATERIALIZED (SELECT * FROM scores WHERE total >= 35 AND total > temporal + same_host)"""
 
