@@ -9,7 +9,7 @@ from chainspark.operators import chains as C
 from chainspark.operators import correlate as K
 from chainspark.operators import filters, rules
 from chainspark.operators import normalize as N
-from chainspark.plans.oracle_parts import CHAINS, CORRELATE, DETECT, with_
+from chainspark.plans.oracle_parts import CHAINS, CORRELATE, DETECT, EVIDENCE, with_
 from chainspark.plans.queries import query
 from chainspark.plans.stored import Derived, derived
 from chainspark.sinks import tables
@@ -343,16 +343,19 @@ def without_dataset(spark, sf_dir):
     return views.counts(**left)
 
 
-@query("chain_tables", with_("""SELECT 'chains' AS name, count(*) AS n FROM ch UNION ALL SELECT 'members', count(*) FROM members""", DETECT, CORRELATE, CHAINS, recursive=True))
+@query("chain_tables", with_("""SELECT chain, risk_level, n AS members, events_in_order, facts FROM ch JOIN (SELECT chain, count(*) AS n, string_agg(event_id, ',' ORDER BY position) AS events_in_order FROM members GROUP BY chain) USING (chain)
+  JOIN (SELECT chain, string_agg(type || place, ',' ORDER BY type, place) AS facts FROM ev GROUP BY chain) USING (chain)""", DETECT, CORRELATE, CHAINS, EVIDENCE, recursive=True))
 def chain_tables(spark, sf_dir):
-    """Chain tables written twice over and read back."""
-    from chainspark.operators import views
-
+    """Chain tables written twice over and read back, each chain with its events and evidence."""
     d = derived(spark, sf_dir)
     folder = d.store.path("sink")
     for _ in range(2):
         tables.write_chains(folder, d.chains, d.members, d.evidence)
-    return views.counts(chains=spark.read.parquet(f"{folder}/chains"), members=spark.read.parquet(f"{folder}/members"))
+    chains, members, evidence = (spark.read.parquet(f"{folder}/{name}") for name in ("chains", "members", "evidence"))
+    ordered = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("position", "event_id"))), lambda x: x["event_id"]), ",")
+    held = members.groupBy("chain").agg(F.count(F.lit(1)).alias("members"), ordered.alias("events_in_order"))
+    facts = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("type", "place"))), lambda x: F.concat(x["type"], x["place"].cast("string"))), ",")
+    return chains.select("chain", "risk_level").join(held, "chain").join(evidence.groupBy("chain").agg(facts.alias("facts")), "chain")
 
 
 # ---------------------------------------------------------------- filters

@@ -56,6 +56,14 @@ for _name in RULES:
     _rule(_name)
 
 
+@query("powershell_markers", with_("""SELECT event_id, 'what stands out: ' || concat_ws(', ', if(regexp_matches(cmd, '(^|[^a-z0-9_-])-(enc|encodedcommand|ec)($|[^a-z0-9_-])'), 'encoded command', NULL),
+  if(regexp_matches(cmd, 'downloadstring|net[.]webclient'), 'download cradle', NULL), if(regexp_matches(cmd, '(^|[^a-z0-9_-])iex($|[^a-z0-9_-])'), 'invoke-expression', NULL)) AS why FROM det JOIN f USING (event_id) WHERE rule_id = 'SUSPICIOUS_POWERSHELL'""", DETECT))
+def powershell_markers(spark, sf_dir):
+    """What the evidence of suspicious commands says, by the markers they hold."""
+    found = derived(spark, sf_dir).detections.where("rule_id = 'SUSPICIOUS_POWERSHELL'")
+    return found.select("event_id", F.get(F.filter("evidence", lambda e: e["field"] == "command_line"), 0)["why"].alias("why"))
+
+
 @query("best_detection", with_("SELECT event_id, rule_id, severity, technique_id, tactic, findings FROM best", DETECT))
 def best_detection(spark, sf_dir):
     return rules.best_detection(derived(spark, sf_dir).detections).select("event_id", "rule_id", "severity", "technique_id", "tactic", "findings")

@@ -158,24 +158,30 @@ def chain_report(spark, sf_dir):
     return out.select("chain", _joined("story", "|"), _joined("findings", "|"), _joined("advice", "|"))
 
 
-@query("chain_detail", _chains("""SELECT chain, chain_no, n_members, n_evidence, coalesce(n_steps, 0) AS n_steps, coalesce(n_stages, 0) AS n_stages, last_event, first_stage FROM ch
-  JOIN (SELECT chain, count(*) AS n_members, arg_max(event_id, position) AS last_event FROM members GROUP BY chain) USING (chain) LEFT JOIN (SELECT chain, count(*) AS n_evidence FROM ev GROUP BY chain) USING (chain)
-  LEFT JOIN (SELECT chain, count(*) AS n_steps FROM steps GROUP BY chain) USING (chain)
-  LEFT JOIN (SELECT chain, count(*) AS n_stages, arg_min(tactic, place * 100 + sub) AS first_stage FROM path0 GROUP BY chain) USING (chain)""", EVIDENCE))
+@query("chain_detail", _chains("""SELECT chain, chain_no, n_members, n_evidence, coalesce(n_steps, 0) AS n_steps, coalesce(n_stages, 0) AS n_stages, last_event, first_stage, events_in_order, facts, coalesce(gaps, '') AS gaps, coalesce(stages, '') AS stages FROM ch
+  JOIN (SELECT chain, count(*) AS n_members, arg_max(event_id, position) AS last_event, string_agg(event_id, ',' ORDER BY position) AS events_in_order FROM members GROUP BY chain) USING (chain)
+  LEFT JOIN (SELECT chain, count(*) AS n_evidence, string_agg(type || place || summary, ';' ORDER BY type, place, summary) AS facts FROM ev GROUP BY chain) USING (chain)
+  LEFT JOIN (SELECT chain, count(*) AS n_steps, string_agg(kind || technique_id || tactic, ',' ORDER BY kind, technique_id, tactic) AS gaps FROM steps GROUP BY chain) USING (chain)
+  LEFT JOIN (SELECT chain, count(*) AS n_stages, arg_min(tactic, place * 100 + sub) AS first_stage, string_agg(tactic, ',' ORDER BY place, sub) AS stages FROM path0 GROUP BY chain) USING (chain)""", EVIDENCE))
 def chain_detail(spark, sf_dir):
-    """Everything of a chain in one row; its lists are counted here, with the last event and the first stage."""
+    """Everything of a chain in one row; its lists are counted and spelled out here."""
     d = derived(spark, sf_dir)
     path = C.attack_path(d.members, d.events, d.steps).select("chain", "stage", "kind", "tactic", "technique_id")
     whole = views.chain_detail(d.chains, members=d.members.select("chain", "position", "event_id"), evidence=d.evidence.select("chain", "type", "place", "summary"), steps=d.steps, path=path)
     n = lambda c: F.size(c).cast("long").alias(f"n_{'stages' if c == 'path' else c}")
-    return whole.select("chain", "chain_no", n("members"), n("evidence"), n("steps"), n("path"), F.element_at("members", -1)["event_id"].alias("last_event"), F.get("path", 0)["tactic"].alias("first_stage"))
+    return whole.select(
+        "chain", "chain_no", n("members"), n("evidence"), n("steps"), n("path"), F.element_at("members", -1)["event_id"].alias("last_event"), F.get("path", 0)["tactic"].alias("first_stage"),
+        F.array_join(F.transform("members", lambda m: m["event_id"]), ",").alias("events_in_order"), F.array_join(F.transform("evidence", lambda e: F.concat(e["type"], e["place"].cast("string"), e["summary"])), ";").alias("facts"),
+        F.array_join(F.array_sort(F.transform("steps", lambda x: F.concat(x["kind"], x["technique_id"], x["tactic"]))), ",").alias("gaps"), F.array_join(F.transform("path", lambda x: x["tactic"]), ",").alias("stages"),
+    )
 
 
-@query("investigation_bundle", _chains(f"""SELECT ch.chain, n_timeline, coalesce(n_processes, 0) AS n_processes, coalesce(n_network, 0) AS n_network, summary FROM ch JOIN (SELECT chain, count(*) AS n_timeline FROM members GROUP BY chain) USING (chain)
-  LEFT JOIN (SELECT chain, count(*) AS n_processes FROM nodes GROUP BY chain) USING (chain) LEFT JOIN (SELECT chain, count(*) AS n_network FROM me WHERE event_type IN ('NETWORK_CONNECTION', 'DNS_QUERY') GROUP BY chain) USING (chain)
+@query("investigation_bundle", _chains(f"""SELECT ch.chain, n_timeline, coalesce(n_processes, 0) AS n_processes, coalesce(n_network, 0) AS n_network, summary, events_in_order, coalesce(process_names, '') AS process_names, coalesce(targets, '') AS targets FROM ch JOIN (SELECT chain, count(*) AS n_timeline, string_agg(event_id, ',' ORDER BY position) AS events_in_order FROM members GROUP BY chain) USING (chain)
+  LEFT JOIN (SELECT chain, count(*) AS n_processes, string_agg(on_host || ':' || pid || ':' || process, ',' ORDER BY on_host, pid, process) AS process_names FROM nodes GROUP BY chain) USING (chain)
+  LEFT JOIN (SELECT chain, count(*) AS n_network, string_agg(event_id || '>' || coalesce(if(event_type = 'DNS_QUERY', domain, destination_ip), ''), ',' ORDER BY position) AS targets FROM me WHERE event_type IN ('NETWORK_CONNECTION', 'DNS_QUERY') GROUP BY chain) USING (chain)
   JOIN (SELECT chain, {_SAYS} AS summary FROM me WHERE position = 1) USING (chain) WHERE is_attack""", _TREE))
 def investigation_bundle(spark, sf_dir):
-    """Timeline, processes, network and report of every attack chain as one nested row, here as sizes and the first sentence."""
+    """Timeline, processes, network and report of every attack chain as one nested row, here spelled out."""
     d = derived(spark, sf_dir)
     attacks = d.chains.where("is_attack").select("chain", "chain_no")
     mine = d.members.join(attacks.select("chain"), "chain", "left_semi")
@@ -183,16 +189,22 @@ def investigation_bundle(spark, sf_dir):
     tree = graph.process_tree(mine, d.events).select("chain", "on_host", "pid", "process", "parent")
     whole = views.chain_detail(attacks, timeline=seen, processes=tree, network=graph.network_rows(mine, d.events))
     n = lambda c: F.size(c).cast("long").alias(f"n_{c}")
-    return whole.select("chain", n("timeline"), n("processes"), n("network"), F.get("timeline", 0)["summary"].alias("summary"))
+    shown = F.transform("network", lambda x: F.concat(x["event_id"], F.lit(">"), F.coalesce(x["target"], F.lit(""))))
+    names = F.transform("processes", lambda x: F.concat_ws(":", x["on_host"], x["pid"], x["process"]))
+    return whole.select(
+        "chain", n("timeline"), n("processes"), n("network"), F.get("timeline", 0)["summary"].alias("summary"), F.array_join(F.transform("timeline", lambda x: x["event_id"]), ",").alias("events_in_order"),
+        F.array_join(names, ",").alias("process_names"), F.array_join(shown, ",").alias("targets"),
+    )
 
 
-@query("event_detail", _chains("""SELECT e.event_id, e.event_type, coalesce(rules, '') AS rules, chain, position, things FROM e LEFT JOIN (SELECT event_id, string_agg(rule_id, ',' ORDER BY rule_id) AS rules FROM det GROUP BY event_id) USING (event_id)
-  LEFT JOIN (SELECT event_id, chain, position FROM members) USING (event_id) JOIN (SELECT event_id, len(list_distinct([x for x in ['HOST:' || host, 'USER:' || "user", 'IP:' || source_ip, 'IP:' || destination_ip, 'DOMAIN:' || domain,
-  'FILE:' || file_path, 'PROCESS:' || coalesce(host || ':', '') || process_name, 'PROCESS:' || coalesce(host || ':', '') || parent_process, 'TECHNIQUE:' || technique_id] if x IS NOT NULL]))::BIGINT AS things FROM e) USING (event_id)"""))
+@query("event_detail", _chains("""SELECT e.event_id, e.event_type, coalesce(rules, '') AS rules, chain, position, things, entities FROM e LEFT JOIN (SELECT event_id, string_agg(rule_id, ',' ORDER BY rule_id) AS rules FROM det GROUP BY event_id) USING (event_id)
+  LEFT JOIN (SELECT event_id, chain, position FROM members) USING (event_id) JOIN (SELECT event_id, len(listed)::BIGINT AS things, array_to_string(listed, ',') AS entities FROM (SELECT event_id, list_sort(list_distinct([x for x in ['HOST:' || host, 'USER:' || "user", 'IP:' || source_ip, 'IP:' || destination_ip, 'DOMAIN:' || domain,
+  'FILE:' || file_path, 'PROCESS:' || coalesce(host || ':', '') || process_name, 'PROCESS:' || coalesce(host || ':', '') || parent_process, 'TECHNIQUE:' || technique_id] if x IS NOT NULL])) AS listed FROM e)) USING (event_id)"""))
 def event_detail(spark, sf_dir):
     d = derived(spark, sf_dir)
     out = views.event_detail(d.events, d.detections, d.members)
-    return out.select("event_id", "event_type", _joined("rules"), "chain", "position", F.size("entities").cast("long").alias("things"))
+    named = F.array_join(F.array_sort(F.transform("entities", lambda x: F.regexp_replace(x, ":[^:]*$", ""))), ",").alias("entities")
+    return out.select("event_id", "event_type", _joined("rules"), "chain", "position", F.size("entities").cast("long").alias("things"), named)
 
 
 _FEEDBACK = """log AS (SELECT chain, start_sec AS "at", CASE WHEN start_sec % 9 = 8 THEN 'maybe' WHEN start_sec % 9 % 3 = 0 THEN 'CONFIRMED' WHEN start_sec % 9 % 3 = 1 THEN 'CLOSED' ELSE 'INVESTIGATING' END AS status FROM ch
@@ -215,12 +227,12 @@ def feedback_refused(spark, sf_dir):
     return views.apply_feedback(d.chains, d.feedback)[1].select("chain", "at", "status")
 
 
-@query("chain_filter", _chains("SELECT chain, chain_no FROM st WHERE status = 'CONFIRMED' AND is_attack AND confidence >= 50 AND list_contains(scn, 'SCN-1')", _FEEDBACK))
+@query("chain_filter", _chains("SELECT chain, chain_no FROM st WHERE status = 'FALSE_POSITIVE' AND is_attack AND confidence >= 45 AND list_contains(scn, 'SCN-1')", _FEEDBACK))
 def chain_filter(spark, sf_dir):
     d = derived(spark, sf_dir)
     judged, _ = views.apply_feedback(d.chains, d.feedback)
     scenarios = d.members.join(d.events.select("event_id", "scenario_id"), "event_id").groupBy("chain").agg(F.collect_set("scenario_id").alias("scenarios"))
-    found = filters.filter_chains(judged.join(scenarios, "chain"), status="confirmed", is_attack=True, scenario_id="SCN-1", min_confidence=50)
+    found = filters.filter_chains(judged.join(scenarios, "chain"), status="false_positive", is_attack=True, scenario_id="SCN-1", min_confidence=45)
     return found.select("chain", "chain_no")
 
 
