@@ -1,21 +1,16 @@
-"""Streaming forms: rules, counts, deduplication, failed logons with state, indicators, entities and chains by micro-batch."""
+"""Streaming forms: rules, counts, deduplication, indicators, and entities by micro-batch; ``logons`` and ``chain_store`` hold state."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from chainspark.config import DEFAULT, Settings
-from chainspark.functions.scalars import filled
 from chainspark.operators import indicators
-from chainspark.operators.chains import chain_members
-from chainspark.operators.correlate import candidates, edges_of, entity_keys, score_pairs
 from chainspark.operators.entities import event_entities
-from chainspark.operators.rules import detect, enrich, stateless
+from chainspark.operators.rules import stateless
 
 
 def stream_detections(events: DataFrame, cfg: Settings = DEFAULT) -> DataFrame:
@@ -35,47 +30,6 @@ def stream_distinct(events: DataFrame, late: str = "10 minutes") -> DataFrame:
     return events.withWatermark("timestamp", late).dropDuplicatesWithinWatermark(["event_id"])
 
 
-LOGON_FINDING = "event_id string, rule_id string, severity string, technique_id string, failures int"
-
-
-def stream_logons(events: DataFrame, cfg: Settings = DEFAULT, late: str = "10 minutes", forget_after: int = 86_400) -> DataFrame:
-    """Repeated failures of a source and account, and a success that follows them, with state a key.
-
-    The state holds at most fifty failure times since the last success and the count at the last
-    failure.  Rows of a batch are taken in order of time and id; a key without rows for
-    ``forget_after`` seconds of event time is forgotten.
-    """
-    source = F.lower(F.coalesce(filled(F.col("source_ip")), filled(F.col("host")), F.lit("unknown")))
-    account = F.lower(F.coalesce(filled(F.col("user")), F.lit("unknown")))
-    logons = events.where(F.col("event_type").isin("LOGIN_ATTEMPT", "LOGIN_SUCCESS") & F.col("sec").isNotNull()).withWatermark("timestamp", late)
-    rows = logons.select("event_id", "sec", "timestamp", F.col("event_type").alias("kind"), source.alias("source"), account.alias("account"))
-    window, enough = cfg.brute_force_window, cfg.brute_force_failures
-
-    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        times, last = state.get if state.exists else ([], 0)
-        times, found = list(times), []
-        for r in pd.concat(list(batches)).sort_values(["sec", "event_id"]).itertuples():
-            if r.kind == "LOGIN_ATTEMPT":
-                times = [t for t in times if t >= r.sec - window][-50:]
-                times.append(int(r.sec))
-                last = len(times)
-                if last >= enough:
-                    found.append((r.event_id, "AUTH_BRUTE_FORCE", "HIGH", "T1110.001", last))
-            else:
-                if min(last, 50) >= enough:
-                    found.append((r.event_id, "AUTH_SUCCESS_AFTER_FAILURES", "CRITICAL", "T1078", min(last, 50)))
-                times, last = [], 0
-        state.update((times[-50:], last))
-        state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs(), 0) + 1000 * forget_after)
-        yield pd.DataFrame(found, columns=["event_id", "rule_id", "severity", "technique_id", "failures"])
-
-    grouped = rows.groupBy("source", "account")
-    return grouped.applyInPandasWithState(run, LOGON_FINDING, "times array<long>, last int", "append", GroupStateTimeout.EventTimeTimeout)
-
-
 def stream_matches(events: DataFrame, listed: DataFrame) -> DataFrame:
     """Indicator matches of a stream against a static table."""
     return indicators.match(events, listed)
@@ -88,59 +42,18 @@ def stream_entities(events: DataFrame) -> DataFrame:
 
 
 def merge_entities(path: str) -> Callable[[DataFrame, int], None]:
-    """For ``foreachBatch`` of events: entity tables by version, each the one before merged with the batch.
+    """For ``foreachBatch`` of events: one folder a batch with the batch's own entities; ``read_entities`` adds them up.
 
-    A batch that is repeated after a failure writes its own version again.
+    A batch that is repeated after a failure writes its own folder again.
     """
 
     def merge(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        new = stream_entities(batch)
-        if batch_id:
-            new = spark.read.parquet(f"{path}/v{batch_id - 1}").unionByName(new)
-        merged = new.groupBy("entity_type", "value").agg(F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"), F.sum("events").alias("events"))
-        merged.write.mode("overwrite").parquet(f"{path}/v{batch_id}")
+        stream_entities(batch).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
     return merge
 
 
-def _touched(batch: DataFrame, stored: DataFrame, cfg: Settings) -> DataFrame:
-    """Stored events that can pair with a batch: those that share a key, or stand near in time to an event without a host."""
-    keys = batch.select(F.explode(entity_keys()).alias("key")).distinct()
-    by_key = stored.select("event_id", F.explode(entity_keys()).alias("key")).join(keys, "key", "left_semi").select("event_id")
-    width = cfg.broad_seconds
-    bucket = F.floor(F.col("sec") / width)
-    around = batch.where("sec is not null").select(F.explode(F.sequence(bucket - 1, bucket + 1)).alias("bucket"), filled(F.col("host")).isNull().alias("bare"))
-    around = around.groupBy("bucket").agg(F.max("bare").alias("bare"))
-    near = stored.where("sec is not null").withColumn("bucket", bucket).join(around, "bucket").where(F.col("bare") | filled(F.col("host")).isNull())
-    return stored.join(by_key.union(near.select("event_id")).distinct(), "event_id", "left_semi")
-
-
-def rebuild_chains(path: str, cfg: Settings = DEFAULT) -> Callable[[DataFrame, int], None]:
-    """For ``foreachBatch`` of canonical events: events, edges and chain members by version under ``path``.
-
-    Only pairs that hold a new event are scored, against the stored events they can meet; edges are
-    kept from version to version and components settled anew.  Stateful rules see the batch's
-    own events, so a key's failures should not be split over many small batches.
-    """
-
-    def rebuild(batch: DataFrame, batch_id: int) -> None:
-        spark: SparkSession = batch.sparkSession
-        read = lambda name: spark.read.parquet(f"{path}/{name}/v{batch_id - 1}")
-        write = lambda df, name: df.write.mode("overwrite").parquet(f"{path}/{name}/v{batch_id}")
-        new = enrich(batch, detect(batch, cfg)).withColumn("is_new", F.lit(True))
-        write(new.drop("is_new") if not batch_id else read("events").unionByName(new.drop("is_new")), "events")
-        events = spark.read.parquet(f"{path}/events/v{batch_id}")
-        fresh = batch.select("event_id")
-        old = events.join(fresh, "event_id", "left_anti")
-        around = events.join(fresh, "event_id", "left_semi").unionByName(_touched(batch, old, cfg)) if batch_id else events
-        edges = edges_of(score_pairs(candidates(around, cfg), cfg), cfg)
-        if batch_id:
-            ids = fresh.select(F.col("event_id").alias("id")).withColumn("hit", F.lit(True))
-            a, b = (ids.withColumnsRenamed({"id": f"event_{s}", "hit": f"hit_{s}"}) for s in "ab")
-            edges = edges.join(a, "event_a", "left").join(b, "event_b", "left").where("hit_a or hit_b").drop("hit_a", "hit_b")
-            edges = read("edges").unionByName(edges)
-        write(edges, "edges")
-        write(chain_members(spark.read.parquet(f"{path}/edges/v{batch_id}"), events, cfg), "members")
-
-    return rebuild
+def read_entities(spark: SparkSession, path: str) -> DataFrame:
+    """``entity_type, value, first_seen, last_seen, events`` over all batches."""
+    rows = spark.read.option("basePath", path).parquet(path)
+    return rows.groupBy("entity_type", "value").agg(F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"), F.sum("events").alias("events"))
