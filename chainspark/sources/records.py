@@ -44,9 +44,14 @@ def scan_json(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return placed, issues
 
 
+def line_records(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Records (``file, line, idx, raw``) and issues of numbered lines that hold one JSON object each."""
+    rows = rows.where(F.trim("value") != "").withColumnRenamed("value", "raw")
+    sound = F.from_json("raw", "map<string,variant>").isNotNull()
+    return rows.where(sound).select("file", "line", "idx", "raw"), rows.where(~sound).select("file", "line", "idx", F.lit("line is no JSON object").alias("message"))
+
+
 def scan_json_lines(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """Records (``file, line, idx, raw``) and issues of files with one JSON object a line, numbered as they stand in files and over all files."""
+    """Records and issues of files with one JSON object a line, numbered as they stand in files and over all files."""
     read = S.lines(spark, path)
-    rows = S.numbered(read, S.count_splits(read)).where(F.trim("value") != "").withColumnRenamed("value", "raw")
-    sound = F.from_json("raw", "map<string,variant>").isNotNull()
-    return rows.where(sound).select("file", "line", "idx", "raw"), rows.where(~sound).select("file", "idx", F.lit("line is no JSON object").alias("message"))
+    return line_records(S.numbered(read, S.count_splits(read)))

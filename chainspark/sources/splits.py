@@ -16,6 +16,11 @@ BROADCAST_ROWS = 100_000
 _SPLIT = ["file", "start", "task"]
 
 
+def place() -> list[Column]:
+    """File and first byte of the split that a line stands in."""
+    return [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start")]
+
+
 def small(df: DataFrame) -> DataFrame:
     """A cut table as a broadcast side if it has few rows."""
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
@@ -23,7 +28,11 @@ def small(df: DataFrame) -> DataFrame:
 
 def lines(spark: SparkSession, path: str) -> DataFrame:
     """``file, start, task, at, value``: lines of the files under ``path``, with the byte where their split begins and their order in their task."""
-    read = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), "value")
+    return placed(spark.read.text(path).select(*place(), "value"))
+
+
+def placed(read: DataFrame) -> DataFrame:
+    """``file, start, value`` with the order of each line in its task."""
     return read.select("file", "start", F.spark_partition_id().alias("task"), F.monotonically_increasing_id().alias("at"), "value")
 
 

@@ -5,12 +5,13 @@ import random
 
 from pyspark.sql import functions as F
 
-from chainspark.operators import entities
+from chainspark.operators import entities, normalize
 from chainspark.operators.chains import chain_members
 from chainspark.operators.correlate import correlate
 from chainspark.operators.rules import authentication, detect, enrich, fan_out
+from chainspark.sources import records
 from chainspark.sources.telemetry import telemetry
-from chainspark.streaming import chain_store, counting
+from chainspark.streaming import chain_store, counting, raw
 from chainspark.streaming import detections as streams
 
 
@@ -79,3 +80,45 @@ def test_counting_rules_keep_state_over_batches(spark, tmp_path):
     after = lambda rows: [r for r in key(rows) if int(r[0][4:]) >= 320]
     assert key(run(counting.stream_logons(late(), stored=half), "logons_late", tmp_path)) == after(authentication(events))
     assert key(run(counting.stream_fan_out(late(), stored=half), "reached_late", tmp_path)) == after(fan_out(events))
+
+
+def test_raw_lines_after_a_failure_equal_a_scan(spark, tmp_path):
+    folder, out = tmp_path / "in", str(tmp_path / "out")
+    folder.mkdir()
+    rng = random.Random(2)
+    kinds = [
+        {"action": "failed_logon", "time": "2024-05-01T10:00:00Z", "host": "h1", "user": "u", "src_ip": "10.0.0.1"},
+        {"EventID": 4688, "Computer": "H2", "Time": "2024-05-01 10:00:05", "Image": "c:\\w\\cmd.exe", "CommandLine": "cmd /c whoami"},
+        {"type": "netflow", "src": "10.0.0.2", "dst": "8.8.8.8", "dport": 99999, "time": 1714557600},
+    ]
+    for k in range(4):
+        lines = [json.dumps(rng.choice(kinds)) for _ in range(30)] + ["no json", "{}", ""]
+        rng.shuffle(lines)
+        (folder / f"f{k}.jsonl").write_text("\n".join(lines) + "\n")
+    failed = []
+
+    def fail_once(events, batch_id):
+        if batch_id == 2 and not failed:
+            failed.append(batch_id)
+            raise RuntimeError("lost")
+
+    def start():
+        lines = raw.read_lines(spark, str(folder), files_a_batch=1)
+        return lines.writeStream.foreachBatch(raw.ingest(out, fail_once)).trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "at")).start()
+
+    try:
+        start().awaitTermination(200)
+    except Exception:
+        assert failed == [2]
+    assert start().awaitTermination(200)
+    found, bad = records.scan_json_lines(spark, str(folder))
+    events = normalize.normalize(found)
+    typed = events.where("event_type is not null")
+    got = raw.read_events(spark, out)
+    assert sorted(r.event_id for r in got.collect()) == sorted(r.event_id for r in typed.collect()) and got.count() == 120
+    key = ["event_id", "rule_id", "severity", "title"]
+    assert sorted(detect(got).select(key).collect()) == sorted(detect(typed).select(key).collect()) and detect(got).count() > 0
+    issues = raw.read_issues(spark, out)
+    want = normalize.issue_rows(events).select("field", "message").unionAll(bad.select(F.lit("record"), "message"))
+    assert sorted(map(tuple, issues.select("field", "message").collect())) == sorted(map(tuple, want.collect()))
+    assert issues.select("file", "line").distinct().count() == issues.where("scope = 'record' or field = 'destination_port'").select("file", "line").distinct().count()
