@@ -93,6 +93,8 @@ TYPE_SEVERITY = {"LOGIN_ATTEMPT": "LOW", "PRIVILEGE_CHANGE": "MEDIUM", "SERVICE_
 ID_KEYS = ("event_id", "record_id", "telemetry_id", "unique_id", "uuid")
 GROUND_TRUTH_KEYS = ("gt_id", "_gt_id", "GT")
 COERCED = ("source_port", "destination_port", "process_id", "parent_process_id", "technique_id")
+#: The end of the year 2100.
+LAST_SECOND = 4_133_980_799
 TECHNIQUE = r"^T\d{4}(\.\d{3})?$"
 
 
@@ -117,11 +119,16 @@ def _number(text: Column) -> Column:
 def _time(value: Column, number: Column) -> Column:
     """ISO forms, day-first before month-first dates, and numeric epochs in seconds or milliseconds; 1970 to 2100."""
     text = F.trim(value)
-    patterns = ("yyyy/MM/dd HH:mm:ss", "dd/MM/yyyy HH:mm:ss", "MM/dd/yyyy HH:mm:ss")
-    parsed = F.coalesce(F.when(text.rlike(r"^\d{4}-\d\d-\d\d"), text.try_cast("timestamp")), *[F.try_to_timestamp(text, F.lit(p)) for p in patterns])
+    clock = r"(\d\d:\d\d:\d\d)"
+    shapes = ((rf"^(\d{{4}})/(\d\d)/(\d\d) {clock}$", r"$1-$2-$3 $4"), (rf"^(\d\d)/(\d\d)/(\d{{4}}) {clock}$", r"$3-$2-$1 $4"), (rf"^(\d\d)/(\d\d)/(\d{{4}}) {clock}$", r"$3-$1-$2 $4"))
+    iso, zoned = text.rlike(r"^\d{4}-\d\d-\d\d"), text.rlike(r"([Zz]|[+-]\d\d:?\d\d)$")
+    # A time without a zone is UTC, whatever the session's zone.
+    naive = F.coalesce(F.when(iso, text.try_cast("timestamp_ntz")), *[F.when(text.rlike(p), F.regexp_replace(text, p, to).try_cast("timestamp_ntz")) for p, to in shapes])
+    utc = F.timestamp_micros(F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast("timestamp_ntz"), naive))
+    parsed = F.when(iso & zoned, text.try_cast("timestamp")).otherwise(utc)
     epoch = F.timestamp_micros((F.when(number > 1e12, number / 1000).otherwise(number) * 1_000_000).cast("bigint"))
     out = F.when(number.isNotNull(), epoch).when(~text.rlike(r"^\d+$"), parsed)
-    return F.when(F.year(out).between(1970, 2100), out)
+    return F.when(F.unix_seconds(out).between(0, LAST_SECOND), out)
 
 
 def _fields() -> Column:

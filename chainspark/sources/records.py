@@ -5,8 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from chainspark.sinks.store import cut
 from chainspark.sources import splits as S
 
+#: Bytes of a JSON file up to which one task reads it whole.
+WHOLE_BYTES = 64 << 20
+
 # Keys under which a JSON object may hold its list of records, and keys that mark one record.
 LIST_KEYS = ("events", "records", "data", "items", "telemetry", "logs")
 RECORD_KEYS = ("event_type", "type", "timestamp", "EventID", "computer")
@@ -32,16 +36,56 @@ def parse_json_texts(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
     return rows, bad.select("file", F.lit(None).cast("long").alias("idx"), message.alias("message"))
 
 
-def scan_json(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """Records (``file, line, idx, raw``) and issues of JSON files, each read whole by one task.
+def scan_json(spark: SparkSession, path: str, whole: int = WHOLE_BYTES) -> tuple[DataFrame, DataFrame]:
+    """Records (``file, line, idx, raw``) and issues of JSON files.
 
-    ``line`` counts in the file; ``idx`` keeps the order of files and of records in them, with gaps.
+    A file of up to ``whole`` bytes is read by one task; a larger one is an array whose items are cut
+    out wherever its splits lie.  ``line`` counts in the file; ``idx`` keeps the order of files and of
+    records in them, with gaps.
     """
-    texts = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
+    size = F.col("_metadata.file_size")
+    texts = spark.read.text(path, wholetext=True).where(size <= whole).select(F.col("_metadata.file_path").alias("file"), "value")
     rows, issues = parse_json_texts(texts)
-    ranks = S.small(S.listed(spark, path).select("file", "rank"))
-    placed = rows.join(ranks, "file").select("file", F.col("idx").alias("line"), (F.shiftleft(F.col("rank").cast("long"), 32) + F.col("idx")).alias("idx"), "raw")
-    return placed, issues
+    rows = rows.select("file", F.col("idx").alias("line"), "raw")
+    files = S.listed(spark, path)
+    if not files.where(F.col("length") > whole).isEmpty():
+        found, bad = array_items(spark.read.option("lineSep", "}").text(path).where(size > whole).select(*S.place(), "value"))
+        rows, issues = rows.unionByName(found), issues.unionByName(bad)
+    ranks = S.small(files.select("file", "rank"))
+    return rows.join(ranks, "file").select("file", "line", (F.shiftleft(F.col("rank").cast("long"), 40) + F.col("line")).alias("idx"), "raw"), issues
+
+
+def array_items(pieces: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Items (``file, line, raw``) of files that hold one JSON array each, and issues; ``pieces`` are their texts cut at every ``}``.
+
+    The quotes before a piece tell whether it begins inside a string, the brackets outside strings how deep.  Both
+    are sums over the pieces before it, so splits only exchange theirs.  An item ends where a ``}`` leaves
+    the array's own depth.
+    """
+    read = S.placed(pieces)
+    counted = S.count_splits(read)
+    last = S.small(cut(counted.groupBy("file").agg((F.sum("n") - 1).alias("last"))))
+    rows = S.numbered(read, counted).join(last, "file")
+    bare = F.regexp_replace("value", r"(?s)\\.", "")
+    quotes = F.length(bare) - F.length(F.replace(bare, F.lit('"')))
+    rows = S.running(rows.withColumn("odd", quotes % 2), F.col("odd"), "quotes").withColumn("inside", F.col("quotes") % 2 == 1)
+    outside = F.when(F.col("inside"), F.regexp_replace(bare, r'(?s)^[^"]*("|\z)', "")).otherwise(bare)
+    outside = F.regexp_replace(outside, r'(?s)"[^"]*("|\z)', "")
+    closes = (F.col("line") < F.col("last")) & ((F.col("quotes") + F.col("odd")) % 2 == 0)
+    depth = F.regexp_count(outside, F.lit(r"[\[{]")) - F.regexp_count(outside, F.lit(r"\]")) - closes.cast("int")
+    rows = S.running(rows.withColumn("step", depth).drop("odd", "quotes"), F.col("step"), "depth")
+    rows = S.since(rows, (F.col("line") == 0) | ((F.col("depth") == 1) & ~F.col("inside")))
+    ended = F.concat("value", F.when(F.col("line") < F.col("last"), "}").otherwise(""))
+    parts = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line", ended.alias("text")))), lambda x: x["text"]), "")
+    # A record's pieces lie side by side; its place is that of its first.
+    one = rows.groupBy("file", "record").agg(F.min("start").alias("start"), F.min("line").alias("first"), F.max(F.col("line") == F.col("last")).alias("at_end"), parts.alias("text"))
+    text = F.when(F.col("first") == 0, F.regexp_replace("text", r"(?s)^\ufeff?\s*\[", "")).otherwise(F.regexp_replace("text", r"(?s)^\s*,", ""))
+    text = F.when(F.col("at_end"), F.regexp_replace(text, r"(?s)\]\s*\z", "")).otherwise(text)
+    items = one.withColumn("items", F.from_json(F.concat(F.lit("["), text, F.lit("]")), "array<variant>"))
+    placed = S.running(items, F.coalesce(F.size("items"), F.lit(0)), "before", "record")
+    found = placed.select("file", "before", F.posexplode("items").alias("pos", "item"))
+    bad = items.where("items is null").select("file", F.lit(None).cast("long").alias("idx"), F.lit("not valid JSON, or no list").alias("message"))
+    return found.select("file", (F.col("before") + F.col("pos")).alias("line"), F.to_json("item").alias("raw")), bad
 
 
 def line_records(rows: DataFrame) -> tuple[DataFrame, DataFrame]:

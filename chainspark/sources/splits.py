@@ -67,6 +67,16 @@ def since(rows: DataFrame, begins: Column) -> DataFrame:
     return rows.withColumn("own", own).join(earlier, ["file", "start"]).withColumn("record", F.coalesce("own", "carried")).drop("own", "carried")
 
 
+def running(rows: DataFrame, value: Column, name: str, order: str = "at") -> DataFrame:
+    """``rows`` (``file, start`` and an order in the split) with the sum of ``value`` over all earlier rows of the file."""
+    before = Window.partitionBy("file", "start").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    splits = rows.groupBy("file", "start").agg(F.sum(value).alias("sum"))
+    carried = F.sum("sum").over(Window.partitionBy("file").orderBy("start").rowsBetween(Window.unboundedPreceding, -1))
+    earlier = small(cut(splits.select("file", "start", F.coalesce(carried, F.lit(0)).alias("carried"))))
+    inside = F.coalesce(F.sum(value).over(before), F.lit(0))
+    return rows.withColumn(name, inside).join(earlier, ["file", "start"]).withColumn(name, F.col(name) + F.col("carried")).drop("carried")
+
+
 def listed(spark: SparkSession, path: str) -> DataFrame:
     """``file, length, rank``: files under ``path`` in order; their contents are not read."""
     files = spark.read.format("binaryFile").load(path).select(F.col("_metadata.file_path").alias("file"), "length")

@@ -153,3 +153,34 @@ def test_exports_keep_the_order_of_scanned_lines(spark, tmp_path):
     back, _ = records.scan_json(spark, str(tmp_path / "out"))
     assert [json.loads(r.raw)["z"] for r in back.orderBy("idx").collect()] == list(range(10))
     assert back.select(F.countDistinct("file")).first()[0] == 3
+
+
+def odd_array(seed):
+    rng = random.Random(seed)
+    words = ["plain", "a}b", "{x", "[", "]", 'quo"te', "back\\\\slash\\\\", "é", "", "line\nbreak", "},{"]
+    value = lambda d: rng.choice([rng.choice(words), rng.randrange(99), None, True, [rng.choice(words), {"k": rng.choice(words)}] if d else 1, {"n": rng.choice(words), "m": [1, {"o": "}"}]} if d else "z"])
+    return [rng.choice([{f"f{i}": value(1) for i in range(rng.randrange(0, 4))}, "bare", 7, [1, {"in": "list"}]]) if rng.random() < 0.3 else {"id": i, "t": value(1)} for i in range(rng.randrange(0, 80))]
+
+
+def test_large_arrays_are_cut_where_their_splits_lie(tiny_splits, tmp_path):
+    arrays = {f"a{k:02}__json": odd_array(k) for k in range(14)}
+    texts = {k: ("﻿" if i == 3 else "") + json.dumps(v, indent=rng_indent, ensure_ascii=False) for i, (k, v) in enumerate(arrays.items()) for rng_indent in [(None, 1)[i % 2]]}
+    path = write(tmp_path, **texts)
+    whole, none = records.scan_json(tiny_splits, path)
+    cut_up, bad = records.scan_json(tiny_splits, path, whole=0)
+    key = lambda df: sorted((r.file, r.line, r.idx, json.dumps(json.loads(r.raw))) for r in df.collect())
+    got = key(cut_up)
+    assert got == key(whole) and bad.count() == none.count() == 0
+    assert [json.loads(r[3]) for r in got] == [x for v in arrays.values() for x in v]
+
+
+def test_times_without_a_zone_are_utc(spark):
+    rows = [("2024-05-01T10:00:00",), ("2024-05-01 12:00:00+02:00",), ("2024-05-01T10:00:00Z",), ("2024/05/01 10:00:00",), ("01/05/2024 10:00:00",), ("05/13/2024 10:00:00",), ("31/31/2024 10:00:00",)]
+    was = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+        raw = spark.createDataFrame(rows, "t string").select(F.monotonically_increasing_id().alias("idx"), F.to_json(F.struct(F.col("t").alias("time"), F.lit("dns").alias("type"))).alias("raw"))
+        got = [r.sec for r in normalize.normalize(raw).orderBy("idx").collect()]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", was)
+    assert got == [1714557600] * 5 + [1715594400, None]
