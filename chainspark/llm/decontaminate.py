@@ -16,7 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chainspark.llm.common import SHINGLE, SIMILARITY_PERCENT, Words, distinct_counts, documents, fresh, shingle_hashes, slices
@@ -213,11 +213,18 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, percent: int = SIMILARITY_
 def drop_leaked(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs`` without those that hold a benchmark item, columns unchanged.
 
-    Rows fall by id, so of rows that share an id all fall if one leaks; rows without an id stay.
+    Rows fall by id, so of rows that share an id all fall if one leaks; rows without an id fall by their text.
     """
     name = fresh(docs.columns, "of_id")
-    leaked = find_leaks(docs, benchmark).select(F.col("doc_id").alias(name)).distinct()
-    return docs.join(leaked, F.col("doc_id") == F.col(name), "left_anti")
+
+    def kept(rows: DataFrame, key: Column) -> DataFrame:
+        leaked = find_leaks(rows.select(key.alias("doc_id"), "text"), benchmark).select(F.col("doc_id").alias(name)).distinct()
+        return rows.join(leaked, key == F.col(name), "left_anti")
+
+    nameless = docs.where("doc_id is null")
+    if nameless.isEmpty():
+        return kept(docs, F.col("doc_id"))
+    return kept(docs.where("doc_id is not null"), F.col("doc_id")).unionByName(kept(nameless, F.xxhash64("text")))
 
 
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,7 +15,7 @@ from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chainspark.llm.common import Words, documents, fresh, slices, utf8_buffers
@@ -251,12 +251,21 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``docs`` without those the classifier rejects, columns unchanged.
 
-    Rows fall by id, so of rows that share an id all fall if one is rejected; of rows without an
-    id, all stay.
+    Rows fall by id, so of rows that share an id all fall if one is rejected; rows without an id fall by
+    what the classifier sees of them.
     """
     name = fresh(docs.columns, "of_id")
-    rejected = classify(docs, labels).where("not keep").select(F.col("doc_id").alias(name))
-    return docs.join(rejected, F.col("doc_id") == F.col(name), "left_anti")
+    models = train(docs, labels)
+
+    def kept(rows: DataFrame, key: Column) -> DataFrame:
+        rejected = score(rows.withColumn("doc_id", key), models).where("not keep").select(F.col("doc_id").alias(name))
+        return rows.join(rejected, key == F.col(name), "left_anti")
+
+    nameless = docs.where("doc_id is null")
+    if nameless.isEmpty():
+        return kept(docs, F.col("doc_id"))
+    seen = F.xxhash64(*[c for c in ("text", "lang", "source", "n_chars") if c in docs.columns])
+    return kept(docs.where("doc_id is not null"), F.col("doc_id")).unionByName(kept(nameless, seen))
 
 
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
