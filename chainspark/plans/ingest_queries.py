@@ -106,6 +106,14 @@ def normalize_issues(spark, sf_dir):
     return N.issue_rows(N.normalize(odd_records(derived(spark, sf_dir)))).groupBy("scope", "field").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("first_issues", with_("""SELECT n AS idx, field FROM (SELECT event_id AS n, event_id % 10 AS k FROM events) JOIN (VALUES (0, 'record'), (1, 'record'), (2, 'event_type'), (3, 'destination_port'), (3, 'process_id'), (5, 'identity'), (6, 'timestamp'),
+  (8, 'destination_ip'), (8, 'technique_id'), (9, 'event_type'), (9, 'timestamp')) v(k, field) USING (k) ORDER BY n, field LIMIT 100"""))
+def first_issues(spark, sf_dir):
+    """The first hundred issues of an ingest (the feature)."""
+    issues = N.issue_rows(N.normalize(odd_records(derived(spark, sf_dir))))
+    return filters.page(issues.select("idx", "field"), [F.asc("idx"), F.asc("field")], 100, 0).select("idx", "field")
+
+
 @query("ingest_report", with_("""SELECT 2 * count(*) AS received, count(*) + count(*) FILTER (WHERE n % 10 NOT IN (0, 1, 2, 9)) AS stored, 0::BIGINT AS duplicates, count(*) FILTER (WHERE n % 10 IN (0, 1, 2, 9)) AS skipped,
   sum([1, 1, 1, 2, 0, 1, 1, 0, 2, 2][n % 10 + 1])::BIGINT AS issue_count, (SELECT count(*) FROM det) AS detections FROM (SELECT event_id AS n FROM events)""", DETECT))
 def ingest_report(spark, sf_dir):

@@ -44,7 +44,8 @@ class Derived:
 
     @property
     def internal(self) -> DataFrame:
-        return C.internal_edges(self.edges, self.members)
+        """Edges inside chains, joined to both ends once; its users only combine it by chain."""
+        return self.store.table("internal", lambda: C.internal_edges(self.edges, self.members))
 
     @property
     def confidence(self) -> DataFrame:

@@ -6,6 +6,7 @@ import pytest
 import __spark_entry__ as entry
 from chainspark.functions.scalars import is_private_ip
 from chainspark.operators import chains, correlate, entities, graph, rules
+from chainspark.plans.stored import derived
 from chainspark.sources.telemetry import COLUMNS
 
 KINDS = {"sec": "long", "destination_port": "int", "process_id": "int", "parent_process_id": "int", "timestamp": "timestamp"}
@@ -130,6 +131,15 @@ def test_details_explain_every_signal(spark):
     assert [r["group"] for r in one.reasons][:2] == ["temporal", "same_host"] and one.score == 76.0
 
 
+def test_users_of_internal_edges_shuffle_only_sums(spark):
+    """Confidence and the strongest links read the stored edges of chains; what is exchanged has been combined or cut by chain before."""
+    d = derived(spark, "/root/testdata/sf0.001")
+    plan = chains.confidence(d.internal)._jdf.queryExecution().sparkPlan().toString()
+    assert "Join" not in plan and "partial_avg" in plan
+    links = chains.evidence(d.members, d.events, d.detections, d.internal, d.steps).where("type = 'CORRELATION_LINK'")._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" in links and "event_b" in links
+
+
 def test_cycles_are_found(spark):
     members = spark.createDataFrame([("c", f"E{i}", i) for i in range(1, 4)] + [("d", "F1", 1), ("d", "F2", 2)], "chain string, event_id string, position int")
     line = [("c", "EVENT:E1", "EVENT:E2", "PRECEDES"), ("c", "EVENT:E2", "EVENT:E3", "PRECEDES"), ("d", "EVENT:F1", "EVENT:F2", "PRECEDES")]
