@@ -25,6 +25,8 @@ RADIUS = 18
 BLOCKS = 8
 BLOCK_CHARS = 4_000_000
 STRETCH = 1 << 16
+#: Fingerprints asked times fingerprints held that one step of a look-up compares.
+CELLS = 1 << 20
 FOUND = "doc_id long, item_id long, start_word long, end_word long, similarity double"
 
 _BITS = np.array([bin(x).count("1") for x in range(256)], np.uint8)
@@ -46,18 +48,33 @@ class HammingIndex:
 
     def __init__(self, prints: np.ndarray, radius: int = RADIUS):
         self.prints, self.radius = prints, radius
+        self.words = np.ascontiguousarray(prints).view(np.uint64).ravel()
         values = np.arange(256, dtype=np.uint8)
         # Which prints are near in a block, for each of its values.
         self.near = [_BITS[values[:, None] ^ prints[None, :, b]] <= radius // BLOCKS for b in range(BLOCKS)]
 
     def find(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Pairs (row of ``prints``, row of the index) within the radius."""
-        some = self.near[0][prints[:, 0]]
-        for b in range(1, BLOCKS):
-            some = some | self.near[b][prints[:, b]]
-        at, item = np.nonzero(some)
-        close = _BITS[self.prints[item] ^ prints[at]].sum(axis=1) <= self.radius
-        return at[close], item[close]
+        """Pairs (row of ``prints``, row of the index) within the radius, in order of both.
+
+        Equal fingerprints (windows a word apart often have one) are asked once, ``CELLS`` comparisons at a time.
+        """
+        once, first, of = np.unique(np.ascontiguousarray(prints).view(np.uint64).ravel(), return_index=True, return_inverse=True)
+        step = max(1, CELLS // max(1, len(self.prints)))
+        found = [np.zeros((2, 0), np.int64)]
+        for start in range(0, len(once), step):
+            asked = prints[first[start : start + step]]
+            some = self.near[0][asked[:, 0]]
+            for b in range(1, BLOCKS):
+                some |= self.near[b][asked[:, b]]
+            at, item = np.nonzero(some)
+            close = np.bitwise_count(self.words[item] ^ once[start + at]) <= self.radius
+            found.append(np.stack([start + at[close], item[close]]))
+        asker, item = np.concatenate(found, axis=1)
+        each = np.bincount(asker, minlength=len(once))
+        # Every row takes what its fingerprint found.
+        begin, count = (np.cumsum(each) - each)[of], each[of]
+        inside = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+        return np.repeat(np.arange(len(prints)), count), item[np.repeat(begin, count) + inside]
 
 
 def votes_of(shingles: np.ndarray) -> np.ndarray:

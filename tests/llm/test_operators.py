@@ -179,6 +179,34 @@ def test_hamming_index_is_complete():
         assert set(index.find(near[None])[1]) == set(np.flatnonzero(distance <= decontaminate.RADIUS))
 
 
+def test_hamming_index_holds_little_at_a_time(monkeypatch):
+    """Many repeated and near fingerprints: all pairs in order, whatever the step, in memory that does not follow their product."""
+    import tracemalloc
+
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    held = rng.integers(0, 256, (3000, 8), dtype=np.uint8)
+    asked = np.concatenate([held[:300], held[:300] ^ np.uint8(1), rng.integers(0, 256, (1400, 8), dtype=np.uint8), held[:300]])
+    index = decontaminate.HammingIndex(held)
+    distance = np.bitwise_count(held.view(np.uint64).ravel()[None] ^ asked.view(np.uint64).ravel()[:, None])
+    want = np.nonzero(distance <= decontaminate.RADIUS)
+    assert len(want[0]) >= 900
+    for cells in (1 << 20, 9000, 1):
+        monkeypatch.setattr(decontaminate, "CELLS", cells)
+        got = index.find(asked)
+        assert np.array_equal(got[0], want[0]) and np.array_equal(got[1], want[1])
+    monkeypatch.setattr(decontaminate, "CELLS", 1 << 16)
+    tracemalloc.start()
+    index.find(asked)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    # All cells at once would be 6.9 million flags and as many pairs of positions.
+    assert peak < 6_000_000
+    none = np.zeros((0, 8), np.uint8)
+    assert len(index.find(none)[0]) == len(decontaminate.HammingIndex(none).find(asked)[0]) == 0
+
+
 def test_repeated_passages(docs, empty, texts):
     own = defaultdict(set)
     w = {i: words_of(t) for i, t in texts.items()}
