@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chainspark.dims import STAGES, TACTICS, TECHNIQUES, tactic_stage, tactics
@@ -117,10 +117,33 @@ def counts(**tables: DataFrame) -> DataFrame:
     return out
 
 
+def tally(df: DataFrame, **when: Column) -> DataFrame:
+    """``name, n``: rows for which each condition holds, all counted in one pass."""
+    row = df.agg(*[F.count_if(c).alias(name) for name, c in when.items()])
+    return row.select(F.inline(F.array(*[F.struct(F.lit(name).alias("name"), F.col(name).alias("n")) for name in when])))
+
+
+def by_value(df: DataFrame, label: str, **columns: str) -> DataFrame:
+    """``label, name, n``: rows by each value of several columns, in one pass and one shuffle."""
+    cells = F.array(*[F.struct(F.lit(what).alias(label), F.col(c).alias("name")) for what, c in columns.items()])
+    return df.select(F.inline(cells)).groupBy(label, "name").agg(F.count(F.lit(1)).alias("n"))
+
+
 def store_stats(events: DataFrame, chains: DataFrame) -> DataFrame:
     """``what, name, n``: events by severity, chains by risk level and by status."""
-    by = lambda df, what, c: df.groupBy(F.lit(what).alias("what"), F.col(c).alias("name")).agg(F.count(F.lit(1)).alias("n"))
-    return by(events, "severity", "severity").unionByName(by(chains, "risk_level", "risk_level")).unionByName(by(chains, "status", "status"))
+    return by_value(events, "what", severity="severity").unionByName(by_value(chains, "what", risk_level="risk_level", status="status"))
+
+
+def run_counts(records: DataFrame, issues: DataFrame, events: DataFrame, detections: DataFrame, chains: DataFrame) -> DataFrame:
+    """``name, n`` of a dataset run: rows read, issues, events stored and skipped, findings, chains and attack chains.
+
+    ``rows_read`` are records and rows with an issue; ``events`` are the normalized records.  Each table is read once.
+    """
+    typed = F.col("event_type").isNotNull()
+    own = tally(records.select(F.lit(False).alias("bad")).unionByName(issues.select(F.lit(True).alias("bad"))), rows_read=F.lit(True), issues=F.col("bad"))
+    kept = tally(events, stored=typed, skipped=~typed)
+    told = tally(detections, detections=F.lit(True))
+    return own.unionByName(kept).unionByName(told).unionByName(tally(chains, chains=F.lit(True), attack_chains=F.col("is_attack")))
 
 
 def by_scenario(events: DataFrame, detections: DataFrame, members: DataFrame, chains: DataFrame) -> DataFrame:
@@ -137,8 +160,7 @@ def by_scenario(events: DataFrame, detections: DataFrame, members: DataFrame, ch
 
 def facets(events: DataFrame) -> DataFrame:
     """``facet, value``: distinct hosts and users."""
-    pick = lambda c: events.where(F.col(c).isNotNull()).select(F.lit(c).alias("facet"), F.col(c).alias("value")).distinct()
-    return pick("host").unionByName(pick("user"))
+    return by_value(events, "facet", host="host", user="user").where("name is not null").select("facet", F.col("name").alias("value"))
 
 
 def chain_detail(chains: DataFrame, **lists: DataFrame) -> DataFrame:

@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from chainspark.operators import chains as C
 from chainspark.operators import correlate as K
-from chainspark.operators import filters, rules
+from chainspark.operators import filters, rules, views
 from chainspark.operators import normalize as N
-from chainspark.plans.oracle_parts import CHAINS, CORRELATE, DETECT, EVIDENCE, with_
+from chainspark.plans.oracle_parts import CHAINS, CORRELATE, DETECT, EVIDENCE, P, with_
 from chainspark.plans.queries import query
 from chainspark.plans.stored import Derived, derived
 from chainspark.sinks import tables
@@ -238,21 +238,30 @@ def adapter_issues(spark, sf_dir):
     return adapters.load_otrf(spark, path)[1].groupBy("message").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("dataset_run", with_(f"""SELECT 'issues' AS name, count(*) FILTER (WHERE NOT {_BAD}) AS n FROM (SELECT substr(event_id, 5)::BIGINT AS n, * FROM p) WHERE {_WINDOWS} UNION ALL SELECT 'rows_read', count(*) FROM p WHERE {_WINDOWS}
-  UNION ALL SELECT 'stored', count(*) FILTER (WHERE {_BAD}) FROM (SELECT substr(event_id, 5)::BIGINT AS n, * FROM p) WHERE {_WINDOWS} UNION ALL SELECT 'skipped', 0
-  UNION ALL SELECT 'detections', count(*) FROM det JOIN (SELECT event_id, substr(event_id, 5)::BIGINT AS n FROM p) USING (event_id) WHERE rule_id = 'PRIVILEGED_LOGON' AND {_BAD}""", DETECT))
-def dataset_run(spark, sf_dir):
-    """Counts of a dataset run: rows read, issues, stored and skipped events, and findings (here of privileged logons)."""
-    from chainspark.operators import views
+#: The view as that dataset carries it: Windows events that are not bad, command and process number of started processes only, no parents and files.
+_AS_READ = P.replace("\np AS MATERIALIZED", "\nwhole AS MATERIALIZED") + f""",
+p AS MATERIALIZED (SELECT * EXCLUDE (m) REPLACE (NULL::VARCHAR AS parent_process, NULL::INT AS parent_process_id, NULL::VARCHAR AS file_path, NULL::VARCHAR AS note, NULL::VARCHAR AS scenario_id,
+  if(event_type = 'NETWORK_CONNECTION', 'tcp', NULL) AS protocol, if(event_type = 'PROCESS_CREATED', process_id, NULL) AS process_id, if(event_type = 'PROCESS_CREATED', command_line, NULL) AS command_line)
+  FROM (SELECT *, substr(event_id, 5)::BIGINT AS m FROM whole) WHERE {_WINDOWS} AND m % 97 NOT IN (1, 2))"""
+
 
+@query("dataset_run", with_(f"""SELECT 'rows_read' AS name, count(*) AS n FROM whole WHERE {_WINDOWS} UNION ALL SELECT 'issues', count(*) FROM whole WHERE {_WINDOWS} AND substr(event_id, 5)::BIGINT % 97 IN (1, 2)
+  UNION ALL SELECT 'stored', count(*) FROM p UNION ALL SELECT 'skipped', 0 UNION ALL SELECT 'detections', count(*) FROM det UNION ALL SELECT 'chains', count(*) FROM ch
+  UNION ALL SELECT 'attack_chains', count(*) FILTER (WHERE is_attack) FROM ch""", DETECT, CORRELATE, CHAINS, recursive=True, p=_AS_READ))
+def dataset_run(spark, sf_dir):
+    """Counts of a dataset run from its files to its chains."""
     d = derived(spark, sf_dir)
     path = d.store.files("otrf", lambda p: tables.export_json(_otrf_rows(d), p, 500))
-    found, issues = adapters.load_otrf(spark, path)
-    events = d.store.table("otrf_events", lambda: N.normalize(found))
+    records, issues = adapters.load_otrf(spark, path)
+    table = lambda name, make: d.store.table(f"otrf_{name}", make)
+    events = table("events", lambda: N.normalize(records))
     typed = events.where("event_type is not null")
-    rows = found.select("idx").unionByName(issues.select("idx"))
-    privileged = rules.detect(typed).where("rule_id = 'PRIVILEGED_LOGON'")
-    return views.counts(rows_read=rows, issues=issues, stored=typed, skipped=events.where("event_type is null"), detections=privileged)
+    found = table("detections", lambda: rules.detect(typed))
+    full = table("enriched", lambda: rules.enrich(typed, found))
+    edges = table("edges", lambda: K.correlate(full))
+    members = table("members", lambda: C.chain_members(edges, full))
+    chains = table("chains", lambda: C.verdicts(C.roll_up(members, full, found), C.confidence(C.internal_edges(edges, members))))
+    return views.run_counts(records, issues, events, found, chains)
 
 
 def _evtx_rows(d: Derived) -> DataFrame:
@@ -344,8 +353,6 @@ def add_events(spark, sf_dir):
 @query("without_dataset", with_("""SELECT 'chains' AS name, count(*) AS n FROM ch WHERE chain NOT IN (SELECT chain FROM me WHERE scenario_id = 'SCN-2') UNION ALL SELECT 'detections', count(*) FROM det WHERE event_id NOT IN (SELECT event_id FROM p WHERE scenario_id = 'SCN-2')
   UNION ALL SELECT 'events', count(*) FROM p WHERE scenario_id <> 'SCN-2' UNION ALL SELECT 'members', count(*) FROM members WHERE chain NOT IN (SELECT chain FROM me WHERE scenario_id = 'SCN-2')""", DETECT, CORRELATE, CHAINS, recursive=True))
 def without_dataset(spark, sf_dir):
-    from chainspark.operators import views
-
     d = derived(spark, sf_dir)
     left = tables.without_dataset({"events": d.events, "detections": d.detections, "members": d.members, "chains": d.chains}, scenarios=("SCN-2",))
     return views.counts(**left)

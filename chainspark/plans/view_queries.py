@@ -293,7 +293,10 @@ def store_stats(spark, sf_dir):
   UNION ALL SELECT 'chains', count(*) FROM ch UNION ALL SELECT 'steps', count(*) FROM steps UNION ALL SELECT 'evidence', count(*) FROM ev""", EVIDENCE))
 def stage_counts(spark, sf_dir):
     d = derived(spark, sf_dir)
-    return views.counts(events=d.events, detections=d.detections, edges=d.edges, members=d.members, chains=d.chains, steps=d.steps, evidence=d.evidence)
+    names = ("events", "detections", "edges", "members", "chains", "steps", "evidence")
+    for name in names:
+        getattr(d, name)
+    return d.store.rows(*names)
 
 
 @query("by_scenario", _chains("""SELECT scenario_id, count(*) AS events, (SELECT count(*) FROM det JOIN p x USING (event_id) WHERE x.scenario_id = p.scenario_id) AS detections, coalesce(any_value(c.chains), 0) AS chains,

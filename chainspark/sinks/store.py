@@ -7,10 +7,12 @@ import re
 import tempfile
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 _BUILT: dict[tuple[str, str], str] = {}
+#: Rows of each built table, seen by the pass that wrote it.
+_ROWS: dict[tuple[str, str], int] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -51,10 +53,16 @@ class Store:
     def table(self, name: str, make: Callable[[], DataFrame]) -> DataFrame:
         key = (self.spark.sparkContext.applicationId, self.path(name))
         if key not in _BUILT:
-            make().write.mode("overwrite").parquet(self.path(name))
-            _BUILT[key] = self.path(name)
+            seen = Observation()
+            make().observe(seen, F.count(F.lit(1)).alias("n")).write.mode("overwrite").parquet(self.path(name))
+            _BUILT[key], _ROWS[key] = self.path(name), seen.get["n"]
         return self.spark.read.parquet(self.path(name))
 
+    def rows(self, *names: str) -> DataFrame:
+        """``name, n``: how many rows the pass that wrote each table saw; no table is read."""
+        app = self.spark.sparkContext.applicationId
+        return self.spark.createDataFrame([(name, _ROWS[app, self.path(name)]) for name in names], "name string, n long")
+
     def files(self, name: str, write: Callable[[str], None]) -> str:
         """A folder of files in another format, written once by ``write(path)``."""
         key = (self.spark.sparkContext.applicationId, self.path(name))
