@@ -53,23 +53,29 @@ class HammingIndex:
         # Which prints are near in a block, for each of its values.
         self.near = [_BITS[values[:, None] ^ prints[None, :, b]] <= radius // BLOCKS for b in range(BLOCKS)]
 
+    def _within(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        some = self.near[0][prints[:, 0]]
+        for b in range(1, BLOCKS):
+            some |= self.near[b][prints[:, b]]
+        at, item = np.nonzero(some)
+        close = np.bitwise_count(self.words[item] ^ prints.view(np.uint64).ravel()[at]) <= self.radius
+        return at[close], item[close]
+
     def find(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Pairs (row of ``prints``, row of the index) within the radius, in order of both.
 
-        Equal fingerprints (windows a word apart often have one) are asked once, ``CELLS`` comparisons at a time.
+        At most ``CELLS`` comparisons are made at a time; beyond that, equal fingerprints (windows a word
+        apart often have one) are asked once.
         """
-        once, first, of = np.unique(np.ascontiguousarray(prints).view(np.uint64).ravel(), return_index=True, return_inverse=True)
-        step = max(1, CELLS // max(1, len(self.prints)))
-        found = [np.zeros((2, 0), np.int64)]
-        for start in range(0, len(once), step):
-            asked = prints[first[start : start + step]]
-            some = self.near[0][asked[:, 0]]
-            for b in range(1, BLOCKS):
-                some |= self.near[b][asked[:, b]]
-            at, item = np.nonzero(some)
-            close = np.bitwise_count(self.words[item] ^ once[start + at]) <= self.radius
-            found.append(np.stack([start + at[close], item[close]]))
-        asker, item = np.concatenate(found, axis=1)
+        prints = np.ascontiguousarray(prints)
+        if len(prints) * len(self.prints) <= CELLS:
+            return self._within(prints)
+        _, first, of = np.unique(prints.view(np.uint64).ravel(), return_index=True, return_inverse=True)
+        once, step = prints[first], max(1, CELLS // len(self.prints))
+        starts = range(0, len(once), step)
+        found = [self._within(once[start : start + step]) for start in starts]
+        asker = np.concatenate([start + at for start, (at, _) in zip(starts, found)])
+        item = np.concatenate([i for _, i in found])
         each = np.bincount(asker, minlength=len(once))
         # Every row takes what its fingerprint found.
         begin, count = (np.cumsum(each) - each)[of], each[of]
