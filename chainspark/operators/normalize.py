@@ -106,10 +106,14 @@ def _pick(key: Column, table: dict[str, str]) -> Column:
     return F.element_at(F.expr(f"map({', '.join(repr(x) for pair in table.items() for x in pair)})"), F.coalesce(key, F.lit("")))
 
 
+def _bare_names(names: tuple[str, ...]) -> Column:
+    return F.array(*[F.lit(n) for n in sorted({_bare(n) for n in names})])
+
+
 def _first(names: tuple[str, ...]) -> Column:
-    """The first key of the record, in its own order, that is one of the names and has a value."""
-    wanted = sorted({_bare(n) for n in names})
-    return F.get(F.filter("fields", lambda e: e["k"].isin(*wanted)), 0)
+    """The first key of the record, in its own order, that is one of the names and has a value; ``ks`` are the keys as compared."""
+    found = F.get(F.array_intersect("ks", _bare_names(names)), 0)
+    return F.get("fields", (F.array_position("ks", found) - 1).cast("int"))
 
 
 def _number(text: Column) -> Column:
@@ -132,18 +136,16 @@ def _time(value: Column, number: Column) -> Column:
 
 
 def _fields() -> Column:
-    """Entries of the record in its own order: key, key as compared, trimmed lower key, text, whether a number, whether an object."""
-    kind = lambda e: F.schema_of_variant(e["value"])
+    """Entries of the record in its own order: key, key as compared, trimmed lower key, text, value."""
     entry = lambda e: F.struct(
         e["key"].alias("key"),
         F.regexp_replace(F.lower(F.trim(e["key"])), "[^a-z0-9]", "").alias("k"),
         F.trim(F.lower(e["key"])).alias("name"),
         e["value"].cast("string").alias("s"),
-        kind(e).rlike("^(BIGINT|DOUBLE|DECIMAL)").alias("numeric"),
-        kind(e).startswith("OBJECT").alias("object"),
+        e["value"].alias("v"),
     )
     found = F.filter(F.transform(F.map_entries("m"), entry), lambda e: F.coalesce(e["s"] != "", F.lit(False)))
-    none = F.array().cast("array<struct<key:string,k:string,name:string,s:string,numeric:boolean,object:boolean>>")
+    none = F.array().cast("array<struct<key:string,k:string,name:string,s:string,v:variant>>")
     return F.coalesce(found, none)
 
 
@@ -153,7 +155,7 @@ def _metadata() -> Column:
     inner = F.filter(F.map_entries(F.from_json(given["s"], "map<string,string>")), lambda e: e["value"].isNotNull())
     pair = lambda k, v: F.struct(F.substring(k, 1, 64).alias("k"), F.substring(v, 1, 512).alias("v"))
     none = F.array().cast("array<struct<k:string,v:string>>")
-    own = F.when(given["object"], F.transform(F.slice(inner, 1, 32), lambda e: pair(e["key"], e["value"])))
+    own = F.when(F.schema_of_variant(given["v"]).startswith("OBJECT"), F.transform(F.slice(inner, 1, 32), lambda e: pair(e["key"], e["value"])))
     own = F.coalesce(own, F.when(given["s"].isNotNull(), F.array(pair(F.lit("note"), given["s"]))), none)
     used = sorted({_bare(n) for names in ALIASES.values() for n in names} | {_bare(n) for n in ALIASES})
     left = F.filter("fields", lambda e: ~(e["k"].isin(*used) | e["name"].isin(*ID_KEYS) | e["key"].isin(*GROUND_TRUTH_KEYS)))
@@ -172,12 +174,12 @@ def normalize(records: DataFrame, scenario_id: str | None = None) -> DataFrame:
     """
     place = ["file", "line"] if {"file", "line"} <= set(records.columns) else ["idx"]
     parsed = records.select("idx", "raw", F.concat_ws("|", *place).alias("place"), F.from_json("raw", "map<string,variant>").alias("m"))
-    rows = parsed.withColumn("fields", _fields())
+    rows = parsed.withColumn("fields", _fields()).withColumn("ks", F.transform("fields", lambda e: e["k"]))
     rows = rows.withColumns({f"f_{c}": _first(names)["s"] for c, names in ALIASES.items()})
     stamp = _first(ALIASES["timestamp"])
     told = F.trim(F.col("f_event_type"))
     by_id = F.get(F.filter("fields", lambda e: e["k"].isin("eventid", "eventidnumeric", "id") & e["s"].rlike(r"^\d+$")), 0)["s"]
-    has = lambda *names: F.exists("fields", lambda e: e["k"].isin(*names))
+    has = lambda *names: F.arrays_overlap("ks", F.array(*[F.lit(n) for n in names]))
     guess = F.when(has("queryname"), "DNS_QUERY").when(has("targetfilename") | (has("path") & ~has("image")), "FILE_CREATED").when(has("parentimage"), "PROCESS_CREATED")
     types = {t: t for t in TYPE_NAMES.values()}
     known = F.coalesce(_pick(F.lower(told), TYPE_NAMES), _pick(F.upper(told), types), _pick(told, WINDOWS_IDS), _pick(by_id, WINDOWS_IDS), guess)
@@ -197,7 +199,7 @@ def normalize(records: DataFrame, scenario_id: str | None = None) -> DataFrame:
     truth = F.get(truth, 0)["s"]
     out = {
         "event_id": F.coalesce(F.concat(F.lit("EVT-"), F.substring(given, 1, 32)), made),
-        "timestamp": _time(stamp["s"], F.when(stamp["numeric"], stamp["s"].try_cast("double"))),
+        "timestamp": _time(stamp["s"], F.when(F.schema_of_variant(stamp["v"]).rlike("^(BIGINT|DOUBLE|DECIMAL)"), stamp["s"].try_cast("double"))),
         "event_type": F.when(F.upper(told).rlike(TECHNIQUE), None).otherwise(known),
         "host": filled(low("host", 255)),
         "user": filled(user),
@@ -259,7 +261,8 @@ def capped_batch(records: DataFrame, most: int = DEFAULT.max_events_per_ingest)
 
 def issue_rows(events: DataFrame) -> DataFrame:
     """``idx, scope, field, message``: one row an issue."""
-    return events.select("idx", F.inline("issues"))
+    # An outer generator: an inner one has the planner filter by the issues first, which makes every field anew inside the filter.
+    return events.select("idx", F.inline_outer("issues")).where("scope is not null")
 
 
 def ingest_report(events: DataFrame, detections: DataFrame | None = None) -> DataFrame:
