@@ -119,8 +119,9 @@ def first_issues(spark, sf_dir):
 def ingest_report(spark, sf_dir):
     """The report of a batch of sound and odd records together; detections are those of the sound ones."""
     d = derived(spark, sf_dir)
-    sound, odd = N.normalize(raw_records(d)), N.normalize(odd_records(d))
-    return N.ingest_report(sound.unionByName(odd), rules.detect(sound))
+    # Stored once: the rules' filters would otherwise be pushed into the normalization and make its fields anew for each.
+    sound = d.store.table("raw_normalized", lambda: N.normalize(raw_records(d)))
+    return N.ingest_report(sound.unionByName(N.normalize(odd_records(d))), rules.detect(sound))
 
 
 @query("batch_cap", with_("SELECT least(count(*), 5000) AS taken, if(count(*) > 5000, 1, 0)::BIGINT AS issues FROM events"))
