@@ -96,18 +96,30 @@ def scan_csv(spark: SparkSession, path: str, separator: str | None = None) -> tu
     an error).  ``line`` and ``idx`` say where a record begins
     in its file and over all files.
     """
+    there = S.listed(spark, path).select("file")
+    if there.isEmpty():
+        raise ValueError(f"no CSV file with content under {path}")
+    return _scan(S.lines(spark, path), there, separator)
+
+
+def scan_csv_texts(texts: DataFrame, separator: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """``scan_csv`` of files that a stored table holds whole, one row (``file, value``) each.
+
+    For very many tiny files: on disk each costs a listing and a reader in every pass, in a table it is a row.
+    """
+    return _scan(S.text_lines(texts), texts.select("file"), separator)
+
+
+def _scan(read: DataFrame, there: DataFrame, separator: str | None) -> tuple[DataFrame, DataFrame]:
+    """``scan_csv`` of numbered ``lines`` and the files they are of."""
     if separator is not None and separator not in SEPARATORS:
         raise ValueError(f"separator {separator!r} is none of {SEPARATORS}")
-    read = S.lines(spark, path)
     left_open = {f"open_{i}": leaves_open(F.col("value"), s, False) for i, s in enumerate(SEPARATORS)}
     counted = S.count_splits(read, **left_open, filled=F.col("value").rlike(FILLED).cast("int"))
     rows = S.numbered(read, counted).withColumn("value", F.when(F.col("line") == 0, F.regexp_replace("value", "^﻿", "")).otherwise(F.col("value")))
     sep = F.lit(separator) if separator else sniffed(F.col("value"))
     sums = counted.groupBy("file").agg(F.sum("filled").alias("filled"), *[F.sum(c).alias(c) for c in left_open])
     heads = rows.where("line = 0").select("file", F.col("value").alias("header"), sep.alias("sep"))
-    there = S.listed(spark, path).select("file")
-    if there.isEmpty():
-        raise ValueError(f"no CSV file with content under {path}")
     files = there.join(sums, "file", "left").join(heads, "file", "left")
     is_open = by_separator(lambda s: F.col(f"open_{SEPARATORS.index(s)}")) > 0
     files = cut(files.select("file", "sep", "header", F.coalesce("filled", F.lit(0)).alias("filled"), F.coalesce(is_open, F.lit(False)).alias("broken")))

@@ -31,6 +31,14 @@ def lines(spark: SparkSession, path: str) -> DataFrame:
     return placed(spark.read.text(path).select(*place(), "value"))
 
 
+def text_lines(texts: DataFrame) -> DataFrame:
+    """``lines`` of files that a table holds whole, one row (``file, value``) each."""
+    parts = F.split("value", "\r\n|\r|\n")
+    # What ends with a line break has no line behind it.
+    ended = F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
+    return placed(texts.select("file", F.lit(0).cast("long").alias("start"), F.explode(ended).alias("value")))
+
+
 def placed(read: DataFrame) -> DataFrame:
     """``file, start, value`` with the order of each line in its task."""
     return read.select("file", "start", F.spark_partition_id().alias("task"), F.monotonically_increasing_id().alias("at"), "value")
