@@ -23,3 +23,11 @@ def test_issue_rows_filter_no_field_of_the_record(spark):
 def test_first_name_with_a_value_in_the_records_order_counts(spark):
     out = {r.idx: r for r in N.normalize(records(spark)).select("idx", "host", "sec", "metadata", F.size("issues").alias("n")).collect()}
     assert (out[0].host, out[0].sec, out[1].sec, out[3].metadata) == ("a", 1704067200, None, {"a": "1"})
+
+
+def test_first_issues_normalize_the_records_once(spark):
+    """A page and the number of its rows are two readings; the records must not be normalized in each."""
+    from chainspark.plans import ingest_queries
+
+    page = ingest_queries.first_issues(spark, "/root/testdata/sf0.001")
+    assert "from_json" not in page._jdf.queryExecution().optimizedPlan().toString() and page.count() == 100
