@@ -20,6 +20,10 @@ def test_kinds_parts_and_tallies_in_small_blocks(spark, seed, monkeypatch):
     want = edges.groupBy("window", *correlate.SIGNALS, "total").agg(F.count(F.lit(1)).alias("n"))
     got = chains.edge_kinds(events, cfg, most=0)
     assert rows(got.select(*want.columns)) == rows(want) and edges.where("window is not null").count() > 20
+    listed = ("event_a", "event_b", "window", "total", *correlate.SIGNALS)
+    for most in (3, 1000):
+        monkeypatch.setattr(beside, "FAR_ROWS", most)
+        assert rows(chains.every_edge(events, cfg, most=0).select(*listed)) == rows(edges.select(*listed))
     near = edges.where("window is not null and same_host > 0")
     ready = chains.prepared(events, cfg).localCheckpoint()
     assert beside.kinds(ready, cfg, (), correlate.SIGNALS).agg(F.sum("n")).first()[0] == near.count() or cfg.weights["same_host"] == 0
